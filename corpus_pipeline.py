@@ -1,25 +1,60 @@
-"""The corpus pipeline: quality rules, exact dedup, near dedup, mixing and BPE encoding, each stage written and reread."""
+"""The corpus pipeline: quality rules, exact dedup, near dedup, mixing to target weights, BPE encoding.
+
+Each stage takes what its predecessor kept; its result is written as Parquet and read again. All but the last return the
+columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from loomsift.llm.bpe import bpe_encode
+from loomsift.llm.exact_dedup import drop_exact_duplicates
+from loomsift.llm.mixing import mix_sources
+from loomsift.llm.near_dedup import drop_near_duplicates
 from loomsift.llm.quality import clean_lines
+from loomsift.llm.store import stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cleaned documents; the rejected go."""
+    """The documents that pass the line rules, cleaned; the rejected go."""
     return clean_lines(docs).select(*COLUMNS)
 
 
-STAGES: list[tuple[str, Stage]] = [("quality", quality)]
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each text."""
+    return drop_exact_duplicates(docs, *COLUMNS)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near copies."""
+    return drop_near_duplicates(docs, *COLUMNS)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of documents that the mixed blocks hold, each under its document's id."""
+    return mix_sources(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The tokens of each piece."""
+    return bpe_encode(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [("quality", quality), ("exact", exact), ("near", near), ("mixing", mixed), ("bpe", encoded)]
+
+#: Shingle similarity, permuted draws and BPE are beyond SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return docs

@@ -13,6 +13,7 @@ from loomsift.llm.licenses import license_scan
 from loomsift.llm.mixing import mix_sources
 from loomsift.llm.near_dedup import near_duplicates
 from loomsift.llm.quality import CLEAN_LINES_SQL, clean_lines
+from loomsift.llm.suffix_dedup import repeated_passages
 from loomsift.llm.token_count import token_counts
 from loomsift.llm.toxicity import toxic_documents
 
@@ -25,6 +26,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(read(spark, sf_dir, "documents"))
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(read(spark, sf_dir, "documents"))
 
@@ -59,6 +64,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_licenses": op3_licenses,
     "op4_bpe": op4_bpe,
     "op5_quality": op5_quality,
