@@ -100,7 +100,7 @@ def hygiene_fields(fields: tuple[str, ...] | None = None) -> Column:
         return every(fields)
     out = None
     for task, names in HYGIENE_FIELDS.items():
-        out = (out or F).when(F.col("task_type") == task, every(names))
+        out = (F if out is None else out).when(F.col("task_type") == task, every(names))
     return out.otherwise(every(ALL_FIELDS))
 
 

@@ -6,9 +6,11 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from loomsift.functions.samples import split_gate, with_provenance
 from loomsift.functions.store import checkpointed
@@ -54,7 +56,8 @@ def _meet(left: DataFrame, right: DataFrame, found: Callable[[pa.Table, pa.Table
     """Every block of left with every block of right, each pair in one task; of one table, each unordered pair once."""
     sizes = [max(1, -(-d.count() // BLOCK)) for d in (left, right)]
     place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    a = left.withColumn("x", place(sizes[0])).withColumn("y", F.explode(F.sequence(F.col("x") if triangle else F.lit(0), F.lit(sizes[1] - 1))))
+    right = right.select(F.col("id").alias("id"), F.col("vec").alias("vec"))  # columns of its own, should both be one table
+    a = left.select("id", "vec").withColumn("x", place(sizes[0])).withColumn("y", F.explode(F.sequence(F.col("x") if triangle else F.lit(0), F.lit(sizes[1] - 1))))
     b = right.withColumn("y", place(sizes[1])).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("y") if triangle else F.lit(sizes[0] - 1))))
     return a.groupBy("x", "y").cogroup(b.groupBy("x", "y")).applyInArrow(found, schema)
 
@@ -118,8 +121,8 @@ def greedy_diverse(vectors: DataFrame, threshold: float) -> tuple[DataFrame, Dat
     return kept, to_kept.groupBy(F.col("j").alias("id")).agg(F.max("similarity").alias("similarity"))
 
 
-@F.pandas_udf("string")
-def three_places(x):  # noqa: ANN001, ANN201
+@F.pandas_udf(StringType())
+def three_places(x: pd.Series) -> pd.Series:
     """Python's rounding, which is half to even of the exact value."""
     return x.map(lambda v: f"{v:.3f}")
 

@@ -31,7 +31,7 @@ def schema_reason(required: tuple[str, ...] | None = None, min_tokens: int = 10,
     if required is None:
         fields = None
         for task, names in REQUIRED.items():
-            fields = (fields or F).when(F.col("task_type") == task, missing(names))
+            fields = (F if fields is None else fields).when(F.col("task_type") == task, missing(names))
         fields = fields.otherwise(missing(REQUIRED_ELSE))
     else:
         fields = missing(required) if required else F.lit(None).cast("string")
@@ -88,8 +88,8 @@ def secret_findings(text: Column, code: bool = False, hex_limit: float = 3.0, ba
     parts = [F.array_repeat(F.lit(name), F.regexp_count(text, F.lit(p))) for name, p in plain.items()]
     for name, (p, _) in QUOTED.items():
         limit = hex_limit if name.startswith("Hex") else base64_limit
-        high = F.filter(F.regexp_extract_all(text, F.lit(p), F.lit(1)), lambda s, limit=limit: entropy(s) > limit)
-        parts.append(F.transform(high, lambda _, name=name: F.lit(name)))
+        high = F.filter(F.regexp_extract_all(text, F.lit(p), F.lit(1)), lambda s: entropy(s) > limit)  # noqa: B023
+        parts.append(F.transform(high, lambda _: F.lit(name)))
     return F.concat(*parts)
 
 

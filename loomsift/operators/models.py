@@ -175,7 +175,7 @@ def json_of(text: str) -> Any:
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, Any]], list[dict[str, Any]]]], schema: StructType) -> DataFrame:
     """Each row through a function made once for each task; rows out of it by the schema's names."""
-    arrow = to_arrow_schema(schema, timezone="UTC")
+    arrow = to_arrow_schema(schema)
     names = schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

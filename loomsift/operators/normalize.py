@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from loomsift.functions.samples import in_order, with_provenance
 from loomsift.functions.text import col, dedup_text, squeezed, strip
@@ -19,7 +20,7 @@ MOJIBAKE = [(good.encode().decode("latin-1"), plain) for good, plain in (("\u201
 TRANSFORMS = ("strip_html", "normalise_unicode", "fix_encoding_artifacts", "remove_control_chars", "collapse_whitespace")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
 
@@ -145,5 +146,5 @@ def assign_splits(samples: DataFrame, fractions: dict[str, float], seed: int = 4
     placed = hashed.join(F.broadcast(before), "_b").withColumn("_n", F.col("_base") + F.row_number().over(Window.partitionBy("_b").orderBy("_h", "id")) - 1)
     split = None
     for name, (_, end) in split_bounds(n, fractions).items():
-        split = (split or F).when(F.col("_n") < end, F.lit(name))
+        split = (F if split is None else split).when(F.col("_n") < end, F.lit(name))
     return placed.withColumn("split", split).drop("_h", "_b", "_n", "_base")

@@ -1,0 +1,401 @@
+"""The planner: one configuration to a fixed order of steps, run with counts, recovery, sinks and reports."""
+
+from __future__ import annotations
+
+import dataclasses
+import shutil
+import time
+from collections.abc import Callable
+from dataclasses import dataclass, field
+from pathlib import Path
+from typing import Any
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomsift.functions.samples import config_hash
+from loomsift.functions.store import checkpointed
+from loomsift.operators import chunking, embedding, gates, generate, judges, minhash, normalize, pii, recovery, sinks
+from loomsift.operators.models import LLM, ChatCompletionsLLM, FakeLLM, OllamaLLM
+from loomsift.sources.build import ingest
+from loomsift.sources.readers import Source
+
+DOCUMENT_SUFFIXES = (".html", ".htm", ".blocks")
+TASKS: dict[str, type[generate.Task]] = {
+    "qa": generate.QAGeneration,
+    "preference": generate.PreferenceGeneration,
+    "grpo": generate.GRPORollout,
+    "multiturn": generate.MultiTurn,
+    "evol": generate.EvolInstruct,
+    "cot": generate.ChainOfThought,
+    "adversarial_preference": generate.AdversarialPreference,
+    "adversarial_qa": generate.AdversarialQAGeneration,
+}
+
+
+@dataclass
+class Backend:
+    """Where a model is reached; what isn't given comes from the role, then from the run."""
+
+    model: str | None = None
+    api_base: str | None = None
+    api_key: str | None = None
+
+
+@dataclass
+class CuratorConfig:
+    """Everything a run depends on. Gates and models are off unless they are asked for."""
+
+    dataset: Any = ""
+    split: str = "train"
+    subset: str | None = None
+    columns: list[str] | None = None
+    max_samples: int | None = None
+    format: str = "auto"
+    field_mapping: dict[str, str] = field(default_factory=dict)
+    preprocessing_fn: Any = None
+    detection_sample_size: int = 10
+    data_key: str | None = None
+    delimiter: str | None = None
+
+    schema_gate: bool = True
+    min_tokens: int = 10
+    max_tokens: int = 2048
+    schema_required_fields: list[str] = field(default_factory=list)
+    schema_enforce_task_types: list[str] = field(default_factory=list)
+    schema_vocabulary: str | None = None
+
+    dedup: str = "exact"
+    minhash_threshold: float = 0.85
+    minhash_ngram: int = 3
+    minhash_num_perm: int = 128
+    minhash_seed: int = 42
+    minhash_bands: int | None = None
+    minhash_rows: int | None = None
+
+    clean: bool = True
+    clean_transforms: dict[str, bool] = field(default_factory=dict)
+    clean_fields: list[str] = field(default_factory=list)
+
+    secrets_gate: bool = False
+    secrets_code_corpus_mode: bool = False
+    secrets_fields: list[str] = field(default_factory=list)
+    secrets_hex_limit: float = 3.0
+    secrets_base64_limit: float = 4.5
+    pii_pseudonymize: bool = False
+    pii_entity_types: list[str] = field(default_factory=list)
+    pii_fields: list[str] = field(default_factory=list)
+    pii_score_threshold: float = 0.7
+    pii_faker_seed: int = 42
+    toxicity_gate: bool = False
+    toxicity_classifier_pass_threshold: float = 0.1
+    toxicity_classifier_reject_threshold: float = 0.5
+    toxicity_llm_judge: bool = False
+    toxicity_llm_reject_threshold: float = 0.5
+    toxicity_text_field: str = "auto"
+
+    llm_model: str | None = None
+    llm_temperature: float = 0.7
+    llm_max_tokens: int = 1024
+    llm_api_key: str | None = None
+    llm_api_base: str | None = None
+    llm_timeout: float = 120.0
+    llm_max_retries: int = 3
+    judge_llm_temperature: float = 0.1
+    judge_llm_max_tokens: int = 512
+    generator_llm: Backend = field(default_factory=Backend)
+    judge_llm: Backend = field(default_factory=Backend)
+    probe_llm: Backend = field(default_factory=Backend)
+    refiner_llm: Backend = field(default_factory=Backend)
+    hallucination_llm: Backend = field(default_factory=Backend)
+    reward_llm: Backend = field(default_factory=Backend)
+    toxicity_llm: Backend = field(default_factory=Backend)
+
+    generation_task: str | None = None
+    num_questions: int = 3
+    num_responses: int = 4
+    num_turns: int = 3
+    num_evolutions: int = 1
+    difficulty: str = "medium"
+    score_responses: bool = True
+    generate_answers: bool = True
+    cot_mode: str = "generate"
+    cot_marker: str | None = None
+    preference_mode: str = "single_call"
+    grpo_temperature_spread: float = 0.6
+    grpo_temperatures: list[float] | None = None
+    injection_rate: float = 0.5
+    injection_types: list[str] = field(default_factory=list)
+    injection_seed: int = 42
+    high_temp: float = 1.4
+
+    hallucination_threshold: float | None = None
+    reward_threshold: float | None = None
+    reward_dimensions: list[str] = field(default_factory=lambda: list(judges.DIMENSIONS[:3]))
+    reward_store_score: bool = True
+    enable_reward_refiner: bool = False
+    refine_instruction: bool = False
+    enable_diagnostic_probe: bool = False
+    probe_temperatures: list[float] = field(default_factory=lambda: [0.3, 0.5])
+    probe_score_split: float = 0.5
+    probe_extra_templates: dict[str, str] = field(default_factory=dict)
+
+    diversity_threshold: float | None = None
+    embedding_dedup: bool = False
+    embedding_index_dir: str = "output/embedding_index"
+    embedding_dedup_threshold: float = 0.92
+    embedding_reset_index: bool = False
+    resample: bool = False
+    target_distribution: dict[str, float] = field(default_factory=dict)
+    resample_field: str = "source_dataset"
+    resample_seed: int = 42
+
+    chunk_strategy: str = "heading"
+    chunk_max_tokens: int = 512
+    chunk_overlap_tokens: int = 50
+    chunk_extract_tables: bool = False
+    chunk_min_section_tokens: int = 30
+
+    output_dir: str | Path = "output"
+    export_formats: list[str] = field(default_factory=lambda: ["alpaca", "sharegpt", "dpo"])
+    output_split: dict[str, float] | None = None
+    output_split_seed: int = 42
+    single_file: bool = True
+    enable_checkpoint: bool = False
+    checkpoint_dir: str | None = None
+    name: str = "run"
+
+    def __post_init__(self) -> None:
+        for f in dataclasses.fields(self):
+            if f.name.endswith("_llm") and isinstance(value := getattr(self, f.name), dict):
+                setattr(self, f.name, Backend(**value))
+        if self.dedup not in ("exact", "minhash", "none"):
+            raise ValueError(f"unknown dedup: {self.dedup}")
+        if self.generation_task is not None and self.generation_task not in TASKS:
+            raise ValueError(f"unknown generation task: {self.generation_task}")
+
+    @classmethod
+    def from_yaml(cls, path: str | Path, **changes: Any) -> CuratorConfig:
+        import yaml
+
+        given = yaml.safe_load(Path(path).read_text()) or {}
+        return cls.from_dict(given | changes)
+
+    @classmethod
+    def from_dict(cls, given: dict[str, Any]) -> CuratorConfig:
+        names = {f.name for f in dataclasses.fields(cls)}
+        if unknown := sorted(given.keys() - names):
+            raise ValueError(f"unknown settings: {unknown}")
+        return cls(**given)
+
+    def hash(self) -> str:
+        """Of all settings but where the output goes."""
+        return config_hash({k: v for k, v in dataclasses.asdict(self).items() if k not in ("output_dir", "checkpoint_dir", "enable_checkpoint")})
+
+    def sources(self) -> list[Source]:
+        entries = self.dataset if isinstance(self.dataset, list) else [self.dataset]
+        fns = self.preprocessing_fn if isinstance(self.preprocessing_fn, list) else [self.preprocessing_fn] * len(entries)
+        if len(fns) != len(entries):
+            raise ValueError(f"{len(entries)} sources, but {len(fns)} preprocessing functions")
+        shared = {"format": self.format, "split": self.split, "subset": self.subset, "columns": self.columns, "field_mapping": self.field_mapping, "detection_sample_size": self.detection_sample_size, "data_key": self.data_key, "delimiter": self.delimiter}
+        return [Source.of(e, **(shared | {"preprocessing_fn": fn})) for e, fn in zip(entries, fns, strict=True)]
+
+    def llm(self, task: Backend, judge: bool = False) -> LLM:
+        """The backend of a task: its own settings, then its role's, then the run's."""
+        role = self.judge_llm if judge else self.generator_llm
+        model, base, key = (getattr(task, k) or getattr(role, k) or getattr(self, f"llm_{k}") for k in ("model", "api_base", "api_key"))
+        if not model:
+            raise ValueError("a model is needed: set llm_model")
+        common = {"model": model, "temperature": self.judge_llm_temperature if judge else self.llm_temperature, "max_tokens": self.judge_llm_max_tokens if judge else self.llm_max_tokens, "max_retries": self.llm_max_retries, "timeout": self.llm_timeout}
+        if model == "fake":
+            return FakeLLM(temperature=common["temperature"])
+        if model.startswith("ollama/"):
+            return OllamaLLM(**(common | {"model": model.removeprefix("ollama/")}), **({"url": base} if base else {}))
+        return ChatCompletionsLLM(**common, api_key=key or "", **({"url": base} if base else {}))
+
+    def task(self) -> generate.Task:
+        kind = TASKS[self.generation_task or "qa"]
+        given = {
+            "num_questions": self.num_questions, "difficulty": self.difficulty, "num_responses": self.num_responses, "temperature_spread": self.grpo_temperature_spread,
+            "temperatures": tuple(self.grpo_temperatures) if self.grpo_temperatures else None, "score_responses": self.score_responses, "num_turns": self.num_turns, "num_evolutions": self.num_evolutions,
+            "generate_answers": self.generate_answers, "injection_rate": self.injection_rate, "seed": self.injection_seed, "high_temp": self.high_temp, "mode": self.cot_mode if self.generation_task == "cot" else self.preference_mode,
+        }
+        if self.injection_types:
+            given["injection_types"] = tuple(self.injection_types)
+        if self.cot_marker is not None:
+            given["cot_marker"] = self.cot_marker
+        if self.generation_task == "multiturn":
+            del given["mode"]
+        names = {f.name for f in dataclasses.fields(kind)}
+        return kind(self.llm(Backend()), **{k: v for k, v in given.items() if k in names})
+
+
+Step = tuple[str, str, Callable[[DataFrame], Any]]  # name; gate, normalizer or generator; function
+
+
+@dataclass
+class Result:
+    passed: DataFrame
+    rejected: DataFrame
+    stage_counts: dict[str, dict[str, int]]
+    exported: dict[str, int] = field(default_factory=dict)
+    manifest: dict[str, Any] = field(default_factory=dict)
+
+
+def plan(c: CuratorConfig) -> list[Step]:
+    """The steps between sources and sinks: cheap gates first, models last."""
+    steps: list[Step] = []
+    if c.schema_gate:
+        options: dict[str, Any] = {"min_tokens": c.min_tokens, "max_tokens": c.max_tokens}
+        if c.schema_required_fields:
+            options["required"] = tuple(c.schema_required_fields)
+        if c.schema_enforce_task_types:
+            options["task_types"] = tuple(c.schema_enforce_task_types)
+        if c.schema_vocabulary:
+            from loomsift.functions.vocabulary import bpe_counter
+
+            options["counter"] = bpe_counter(c.schema_vocabulary)
+        steps.append(("SchemaGate", "gate", lambda df: gates.schema_gate(df, **options)))
+    if c.dedup in ("exact", "minhash"):
+        steps.append(("ExactDeduplicator", "normalizer", normalize.exact_dedup))
+    if c.dedup == "minhash":
+        steps.append(("MinHashDeduplicator", "normalizer", lambda df: minhash.minhash_dedup(df, c.minhash_threshold, c.minhash_ngram, c.minhash_num_perm, c.minhash_seed, c.minhash_bands, c.minhash_rows)))
+    if c.clean:
+        chosen = tuple(t for t in normalize.TRANSFORMS if c.clean_transforms.get(t, True))
+        steps.append(("TextCleaner", "normalizer", lambda df: normalize.clean_text(df, chosen, tuple(c.clean_fields) or ("instruction", "input", "output"))))
+    if c.secrets_gate:
+        steps.append(("SecretsGate", "gate", lambda df: gates.secrets_gate(df, tuple(c.secrets_fields) or None, c.secrets_code_corpus_mode, hex_limit=c.secrets_hex_limit, base64_limit=c.secrets_base64_limit)))
+    if c.pii_pseudonymize:
+        steps.append(("PIIPseudonymizer", "normalizer", lambda df: pii.pseudonymize(df, tuple(c.pii_entity_types) or pii.DEFAULT_TYPES, tuple(c.pii_fields) or None, c.pii_score_threshold, c.pii_faker_seed)))
+    if c.toxicity_gate:
+        judge = c.llm(c.toxicity_llm, True) if c.toxicity_llm_judge else None
+        steps.append(("ToxicityGate", "gate", lambda df: judges.toxicity_gate(df, c.toxicity_classifier_pass_threshold, c.toxicity_classifier_reject_threshold, judge, c.toxicity_llm_reject_threshold, text_field=c.toxicity_text_field)))
+    if c.generation_task:
+        steps.append((type(c.task()).__name__, "generator", lambda df: generate.generate(df, c.task())))
+    if c.hallucination_threshold is not None:
+        grounding = judges.GroundingJudge(c.llm(c.hallucination_llm, True), c.hallucination_threshold)
+        steps.append(("HallucinationGate", "gate", lambda df: judges.judge_gate(df, grounding)))
+    if c.reward_threshold is not None:
+        steps.append(("RewardGate", "gate", lambda df: judges.judge_gate(df, judges.RewardJudge(c.llm(c.reward_llm, True), c.reward_threshold, tuple(c.reward_dimensions)), c.reward_store_score)))
+    if c.diversity_threshold is not None:
+        steps.append(("DiversityGate", "gate", lambda df: embedding.diversity_gate(df, c.diversity_threshold)))
+    if c.embedding_dedup:
+        steps.append(("EmbeddingDeduplicator", "normalizer", lambda df: embedding.embedding_dedup(df, c.embedding_index_dir, c.embedding_dedup_threshold)))
+    if c.resample and c.target_distribution:
+        steps.append(("StratifiedSampler", "normalizer", lambda df: normalize.stratified_sample(df, c.target_distribution, c.resample_field, c.resample_seed)))
+    if c.max_samples is not None:
+        steps.append(("MaxSamplesTruncator", "normalizer", lambda df: normalize.truncate(df, c.max_samples)))
+    return steps
+
+
+def described(c: CuratorConfig) -> list[str]:
+    """The plan in words, for a dry run."""
+    reads = [f"read {s.path} as {s.format}" for s in c.sources()]
+    return [*reads, *(f"{kind} {name}" for name, kind, _ in plan(c)), *(f"export {f}" for f in c.export_formats)]
+
+
+class Curator:
+    """Runs a configuration. Every row read ends up in the output, among the rejects, or in a counted removal."""
+
+    def __init__(self, config: CuratorConfig, spark: SparkSession | None = None) -> None:
+        self.config = config
+        self.spark = spark or SparkSession.builder.getOrCreate()
+
+    def read(self) -> tuple[DataFrame, DataFrame, dict[str, dict[str, int]]]:
+        """Samples and rejects of all sources, in their order."""
+        c, samples, rejected, counts = self.config, None, None, {}
+        for i, source in enumerate(c.sources()):
+            if Path(source.path).suffix.lower() in DOCUMENT_SUFFIXES:
+                good, bad = self._documents(source)
+            else:
+                good, bad, _ = ingest(self.spark, source, i)
+            name = f"Source{i}:{Path(source.path).name}"
+            good, bad = checkpointed(good), checkpointed(bad)
+            counts[name] = {"output_count": good.count(), "rejected_count": bad.count()}
+            samples = good if samples is None else samples.unionByName(good)
+            rejected = bad if rejected is None else rejected.unionByName(bad)
+        return samples, rejected, counts
+
+    def _documents(self, source: Source) -> tuple[DataFrame, DataFrame]:
+        c = self.config
+        if source.path.endswith(".blocks"):
+            blocks = self.spark.read.parquet(source.path)
+        else:
+            pages = self.spark.read.text(source.path, wholetext=True).select(F.col("_metadata.file_path").alias("page_id"), F.col("value").alias("html"))
+            blocks = chunking.blocks_of_pages(pages)
+        chunks = chunking.chunk_blocks(blocks, c.chunk_strategy, c.chunk_max_tokens, c.chunk_overlap_tokens, c.chunk_extract_tables, c.chunk_min_section_tokens)
+        return chunking.chunk_samples(chunks, c.chunk_strategy)
+
+    def _stage(self, k: int, name: str, make: Callable[[], list[DataFrame]]) -> list[DataFrame]:
+        """A stage's frames: kept as Parquet by the run's hash and taken from there if they are, else checkpointed."""
+        c = self.config
+        if not c.enable_checkpoint:
+            return [checkpointed(df) for df in make()]
+        folder = f"{c.checkpoint_dir or Path(c.output_dir, 'checkpoints')}/{c.hash()}/{k:02d}-{name}"
+        out, made = [], None
+        for i in range(2):
+            path = f"{folder}-{i}"
+            try:
+                out.append(self.spark.read.parquet(path))
+                continue
+            except Exception as e:  # noqa: BLE001
+                if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+                    raise
+            made = make() if made is None else made
+            if i < len(made):
+                made[i].write.mode("overwrite").parquet(path)
+                out.append(self.spark.read.parquet(path))
+        return out
+
+    def steps(self, samples: DataFrame, rejected: DataFrame) -> Result:
+        """All steps on given samples, without sources and sinks."""
+        c, counts = self.config, {}
+        n = samples.count()
+        for k, (name, kind, fn) in enumerate(plan(c)):
+            label = name if name not in counts else f"{name}#{sum(x.split('#')[0] == name for x in counts) + 1}"
+            before = samples
+            frames = self._stage(k, name, lambda fn=fn, before=before: [x] if isinstance(x := fn(before), DataFrame) else list(x))
+            samples = frames[0]
+            out = samples.count()
+            match kind:
+                case "normalizer":
+                    counts[label] = {"input_count": n, "output_count": out}
+                case "generator":
+                    rejected = rejected.unionByName(frames[1].select(*rejected.columns))
+                    counts[label] = {"input_count": n, "output_count": out, "rejected_count": frames[1].count()}
+                case _:
+                    bad, recovered = frames[1].select(*rejected.columns), 0
+                    refused = bad.count()
+                    if name in ("HallucinationGate", "RewardGate") and c.enable_diagnostic_probe:
+                        again, bad = recovery.probe_rejected(bad, recovery.DiagnosticProbe(c.llm(c.probe_llm), self._judge(name), tuple(c.probe_temperatures), c.probe_score_split, c.probe_extra_templates))
+                        recovered = again.count()
+                        samples = recovery.with_recovered(samples, again)
+                    if name == "RewardGate" and c.enable_reward_refiner:
+                        again, bad = recovery.RewardRefiner(c.llm(c.refiner_llm), self._judge(name), c.refine_instruction).refine(bad)
+                        recovered += again.count()
+                        samples = recovery.with_recovered(samples, again)
+                    out += recovered
+                    rejected = rejected.unionByName(bad.select(*rejected.columns))
+                    counts[label] = {"input_count": n, "output_count": out, "probe_recovered": recovered, "rejected_count": refused}
+            n = out
+        return Result(samples, rejected, counts)
+
+    def _judge(self, name: str) -> recovery.Judge:
+        c = self.config
+        if name == "HallucinationGate":
+            return judges.GroundingJudge(c.llm(c.hallucination_llm, True), c.hallucination_threshold)
+        return judges.RewardJudge(c.llm(c.reward_llm, True), c.reward_threshold, tuple(c.reward_dimensions))
+
+    def run(self) -> Result:
+        c, began = self.config, time.monotonic()
+        if c.embedding_dedup and c.embedding_reset_index:
+            shutil.rmtree(c.embedding_index_dir, ignore_errors=True)
+        samples, rejected, counts = self.read()
+        result = self.steps(samples, rejected)
+        result.stage_counts = counts | result.stage_counts
+        result.exported = sinks.export(result.passed, c.export_formats, c.output_dir, c.output_split, c.output_split_seed, c.single_file)
+        result.stage_counts |= {f"export:{k}": {"exported_count": n} for k, n in result.exported.items()}
+        diagnostics = recovery.diagnostic_summary(result.rejected.where(F.col("diagnosis").isNotNull())) if c.enable_diagnostic_probe else None
+        result.manifest = sinks.manifest(result.passed, result.rejected, result.stage_counts, c.hash(), time.monotonic() - began, diagnostics)
+        sinks.write_reports(c.output_dir, result.manifest, result.rejected, c.single_file, diagnostics)
+        return result

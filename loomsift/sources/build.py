@@ -65,10 +65,10 @@ def mapped(raw: Column, mapping: dict[str, str]) -> Column:
     for source, target in mapping.items():
         if "." in source:
             value = F.get_json_object(out_text(out), "$." + source)
-            out = F.when(value.isNotNull(), F.map_concat(F.map_filter(out, lambda k, _, t=target: k != t), F.create_map(F.lit(target), value))).otherwise(out)
+            out = F.when(value.isNotNull(), F.map_concat(F.map_filter(out, lambda k, _: k != target), F.create_map(F.lit(target), value))).otherwise(out)
         else:
             has = F.map_contains_key(out, source)
-            out = F.when(has, F.map_concat(F.map_filter(out, lambda k, _, s=source, t=target: ~k.isin(s, t)), F.create_map(F.lit(target), out[source]))).otherwise(out)
+            out = F.when(has, F.map_concat(F.map_filter(out, lambda k, _: ~k.isin(source, target)), F.create_map(F.lit(target), out[source]))).otherwise(out)
     return out
 
 
@@ -162,7 +162,7 @@ def projection(found: Detection) -> tuple[dict[str, Column], Column]:
         case _:
             made = {"output": text("text"), "task_type": F.lit("language_modeling")}
     for name, value in extra:
-        rest = F.when(value.isNull(), rest).otherwise(F.map_concat(F.map_filter(rest, lambda k, _, n=name: k != n), F.create_map(F.lit(name), value)))
+        rest = F.when(value.isNull(), rest).otherwise(F.map_concat(F.map_filter(rest, lambda k, _: k != name), F.create_map(F.lit(name), value)))
     made["metadata"] = out_text(rest)
     return made, ok
 
