@@ -87,7 +87,8 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, parse
     cells = []
     for c in df.columns:
         text = F.coalesce(F.col(f"`{c}`"), F.lit(""))
-        plain = F.concat(F.lit('"'), F.regexp_replace(F.substring(F.to_json(F.struct(text.alias("x"))), 6, 1 << 30), r'"\}$', ""), F.lit('"'))
+        listed = F.to_json(F.array(text))
+        plain = F.substring(listed, F.lit(2), F.length(listed) - 2)
         if parse_json_cells:
             plain = F.when(text.rlike(r'^\s*[\[{"]') & F.expr(f"try_parse_json(coalesce(`{c}`, '')) IS NOT NULL"), text).otherwise(plain)
         cells.append(F.concat(F.lit(json.dumps(c, ensure_ascii=False) + ":"), plain))
