@@ -161,7 +161,7 @@ def _verifier(threshold: float):  # noqa: ANN202
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``d, label``: of each end of an edge the least one connected with it, by alternating large and small stars."""
+    """``d, label``: the least one connected with each end of an edge, but for that one itself; large and small stars."""
     now = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen = None
     while True:
