@@ -9,7 +9,7 @@ import sys
 from pathlib import Path
 
 from loomsift import __version__
-from loomsift.plans.curator import Curator, CuratorConfig, described
+from loomsift.plans.runner import Runner, RunConfig, described
 
 
 def parser() -> argparse.ArgumentParser:
@@ -32,11 +32,11 @@ def main(argv: list[str] | None = None) -> int:
     if args.reset_index:
         changes["embedding_reset_index"] = True
     try:
-        config = CuratorConfig.from_yaml(args.config, **changes)
+        config = RunConfig.from_yaml(args.config, **changes)
         if args.dry_run:
             print("\n".join(f"{i}. {line}" for i, line in enumerate(described(config), 1)))
             return 0
-        result = Curator(config).run()
+        result = Runner(config).run()
     except (OSError, ValueError) as e:
         print(f"loomsift: {e}", file=sys.stderr)
         return 2

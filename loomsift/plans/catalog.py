@@ -66,7 +66,7 @@ def dirty(documents: DataFrame) -> DataFrame:
     return documents.withColumn("text", made)
 
 
-# --- the flagship ---------------------------------------------------------------------------------------------------
+# the flagship
 
 
 @query(f"""
@@ -82,7 +82,7 @@ def curate_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.corpus_rows(clean).select(F.col("_seq").cast("string").alias("id"), "text", "source_file", "source_uri", "task_type")
 
 
-# --- gates ----------------------------------------------------------------------------------------------------------
+# gates
 
 
 @query(f"{Q.SCHEMA_CTE} SELECT doc_id::VARCHAR AS id, rejection_reason FROM gated")
@@ -164,7 +164,7 @@ def reward_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passed.select("id", F.lit(None).cast("string").alias("rejection_reason")).unionByName(rejected.select("id", "rejection_reason"))
 
 
-# --- normalizers ----------------------------------------------------------------------------------------------------
+# normalizers
 
 
 def _clean_query(name: str) -> None:
@@ -254,7 +254,7 @@ def pii_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("id", F.get_json_object(notes, "$.total_replacements").cast("long").alias("n")).where("n > 0")
 
 
-# --- similarity -----------------------------------------------------------------------------------------------------
+# similarity
 
 NEAR = 0.4
 
@@ -307,7 +307,7 @@ def retrieval_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.agg(F.count("*").alias("n"), F.sum(same).alias("correct"), F.round(F.avg(same), 6).alias("accuracy"))
 
 
-# --- ingest projections ---------------------------------------------------------------------------------------------
+# ingest projections
 
 
 def _turn_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -373,7 +373,7 @@ def union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm(spark, sf_dir).unionByName(items).select("source_uri", F.col("_seq").alias("item"), n_tokens("output").alias("n_tokens"))
 
 
-# --- chunking -------------------------------------------------------------------------------------------------------
+# chunking
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -404,7 +404,7 @@ def chunk_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_blocks(chunking.blocks_of_pages(table(spark, sf_dir, "pages")), "sentence")
 
 
-# --- exports --------------------------------------------------------------------------------------------------------
+# exports
 
 _FIRSTS = f"WITH t AS ({Q.TURNS}), s AS (SELECT conv_id, coalesce(list_filter(turns, lambda t: t.role = 'user')[1].content, '') AS instruction, coalesce(list_filter(turns, lambda t: t.role = 'assistant')[1].content, '') AS output FROM t)"
 
@@ -451,7 +451,7 @@ def export_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.corpus_rows(lm(spark, sf_dir)).drop("table_bbox").withColumnRenamed("_seq", "seq")
 
 
-# --- generation and recovery, by the deterministic stand-in model ---------------------------------------------------
+# generation and recovery, by the deterministic stand-in model
 
 
 def questions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -548,15 +548,15 @@ def injection_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{Q.SCHEMA_CTE}, g AS (SELECT * FROM gated WHERE rejection_reason IS NULL), e AS (SELECT count(DISTINCT sha256({Q.squeezed('lower(text)')})) AS k FROM g) SELECT 'SchemaGate' AS stage, (SELECT count(*) FROM gated) AS input_count, (SELECT count(*) FROM g) AS output_count UNION ALL SELECT 'ExactDeduplicator', (SELECT count(*) FROM g), (SELECT k FROM e) UNION ALL SELECT 'TextCleaner', (SELECT k FROM e), (SELECT k FROM e)")
 def stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows into and out of each step of a planned run."""
-    from loomsift.plans.curator import Curator, CuratorConfig
+    from loomsift.plans.runner import Runner, RunConfig
 
     samples = checkpointed(lm(spark, sf_dir))
     none = samples.where("false").withColumns({"rejection_reason": F.lit(""), "rejecting_step": F.lit(""), "diagnosis": F.lit(None).cast(S.DIAGNOSIS)})
-    counts = Curator(CuratorConfig(), spark).steps(samples, none).stage_counts
+    counts = Runner(RunConfig(), spark).steps(samples, none).stage_counts
     return spark.createDataFrame([(k, v["input_count"], v["output_count"]) for k, v in counts.items()], "stage string, input_count long, output_count long")
 
 
-# --- streaming ------------------------------------------------------------------------------------------------------
+# streaming
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type AS category, count(*) AS n FROM events GROUP BY 1, 2")

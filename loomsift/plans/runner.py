@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import dataclasses
 import shutil
 import time
@@ -38,159 +39,89 @@ class Backend:
     """Where a model is reached; what isn't given comes from the role, then from the run."""
 
     model: str | None = None
-    api_base: str | None = None
-    api_key: str | None = None
+    url: str | None = None
+    key: str | None = None
 
+    @classmethod
+    def of(cls, given: Backend | dict[str, Any] | None) -> Backend:
+        if isinstance(given, cls):
+            return given
+        given = dict(given or {})
+        return cls(given.get("model"), given.get("url", given.get("api_base")), given.get("key", given.get("api_key")))
+
+
+def _group(prefix: str, **settings: Any) -> dict[str, Any]:
+    return {f"{prefix}_{k}": v for k, v in settings.items()}
+
+
+#: Every setting of a run by its name, with what holds if it isn't given. Gates and models are off unless asked for.
+SETTINGS: dict[str, Any] = {
+    # sources
+    **dict(dataset="", name="run", split="train", format="auto"),
+    **dict.fromkeys(("subset", "columns", "max_samples", "preprocessing_fn", "data_key", "delimiter")),
+    **dict(detection_sample_size=10, field_mapping={}),
+    # validation, duplicates, cleaning
+    **dict(max_tokens=2048, min_tokens=10, dedup="exact", schema_gate=True, clean=True),
+    **_group("schema", vocabulary=None, required_fields=[], enforce_task_types=[]),
+    **_group("minhash", bands=None, rows=None, seed=42, threshold=0.85, num_perm=128, ngram=3),
+    **_group("clean", fields=[], transforms={}),
+    # hygiene
+    **dict.fromkeys(("pii_pseudonymize", "secrets_gate", "toxicity_gate"), False),
+    **_group("secrets", base64_limit=4.5, hex_limit=3.0, fields=[], code_corpus_mode=False),
+    **_group("pii", fields=[], entity_types=[], faker_seed=42, score_threshold=0.7),
+    **_group("toxicity", text_field="auto", llm_judge=False, llm_reject_threshold=0.5, classifier_reject_threshold=0.5, classifier_pass_threshold=0.1),
+    # models
+    **_group("llm", api_base=None, api_key=None, model=None, max_retries=3, timeout=120.0, max_tokens=1024, temperature=0.7),
+    **_group("judge_llm", max_tokens=512, temperature=0.1),
+    **dict.fromkeys(("generator_llm", "judge_llm", "probe_llm", "refiner_llm", "hallucination_llm", "reward_llm", "toxicity_llm")),
+    # generation
+    **_group("num", evolutions=1, questions=3, responses=4, turns=3),
+    **dict(generation_task=None, difficulty="medium", preference_mode="single_call", cot_marker=None, cot_mode="generate", high_temp=1.4, generate_answers=True, score_responses=True),
+    **_group("grpo", temperatures=None, temperature_spread=0.6),
+    **_group("injection", seed=42, rate=0.5, types=[]),
+    # judgement and recovery
+    **dict.fromkeys(("hallucination_threshold", "reward_threshold", "diversity_threshold")),
+    **_group("reward", store_score=True, dimensions=list(judges.DIMENSIONS[:3])),
+    **dict.fromkeys(("enable_reward_refiner", "refine_instruction", "enable_diagnostic_probe", "enable_checkpoint"), False),
+    **_group("probe", extra_templates={}, score_split=0.5, temperatures=[0.3, 0.5]),
+    # similarity across runs, resampling
+    **_group("embedding", dedup=False, dedup_threshold=0.92, reset_index=False, index_dir="output/embedding_index"),
+    **dict(resample=False, resample_seed=42, resample_field="source_dataset", target_distribution={}),
+    # documents
+    **_group("chunk", min_section_tokens=30, extract_tables=False, overlap_tokens=50, max_tokens=512, strategy="heading"),
+    # output
+    **dict(export_formats=["alpaca", "sharegpt", "dpo"], single_file=True, checkpoint_dir=None),
+    **_group("output", split_seed=42, split=None, dir="output"),
+}
 
-@dataclass
-class CuratorConfig:
-    """Everything a run depends on. Gates and models are off unless they are asked for."""
-
-    dataset: Any = ""
-    split: str = "train"
-    subset: str | None = None
-    columns: list[str] | None = None
-    max_samples: int | None = None
-    format: str = "auto"
-    field_mapping: dict[str, str] = field(default_factory=dict)
-    preprocessing_fn: Any = None
-    detection_sample_size: int = 10
-    data_key: str | None = None
-    delimiter: str | None = None
-
-    schema_gate: bool = True
-    min_tokens: int = 10
-    max_tokens: int = 2048
-    schema_required_fields: list[str] = field(default_factory=list)
-    schema_enforce_task_types: list[str] = field(default_factory=list)
-    schema_vocabulary: str | None = None
-
-    dedup: str = "exact"
-    minhash_threshold: float = 0.85
-    minhash_ngram: int = 3
-    minhash_num_perm: int = 128
-    minhash_seed: int = 42
-    minhash_bands: int | None = None
-    minhash_rows: int | None = None
-
-    clean: bool = True
-    clean_transforms: dict[str, bool] = field(default_factory=dict)
-    clean_fields: list[str] = field(default_factory=list)
-
-    secrets_gate: bool = False
-    secrets_code_corpus_mode: bool = False
-    secrets_fields: list[str] = field(default_factory=list)
-    secrets_hex_limit: float = 3.0
-    secrets_base64_limit: float = 4.5
-    pii_pseudonymize: bool = False
-    pii_entity_types: list[str] = field(default_factory=list)
-    pii_fields: list[str] = field(default_factory=list)
-    pii_score_threshold: float = 0.7
-    pii_faker_seed: int = 42
-    toxicity_gate: bool = False
-    toxicity_classifier_pass_threshold: float = 0.1
-    toxicity_classifier_reject_threshold: float = 0.5
-    toxicity_llm_judge: bool = False
-    toxicity_llm_reject_threshold: float = 0.5
-    toxicity_text_field: str = "auto"
-
-    llm_model: str | None = None
-    llm_temperature: float = 0.7
-    llm_max_tokens: int = 1024
-    llm_api_key: str | None = None
-    llm_api_base: str | None = None
-    llm_timeout: float = 120.0
-    llm_max_retries: int = 3
-    judge_llm_temperature: float = 0.1
-    judge_llm_max_tokens: int = 512
-    generator_llm: Backend = field(default_factory=Backend)
-    judge_llm: Backend = field(default_factory=Backend)
-    probe_llm: Backend = field(default_factory=Backend)
-    refiner_llm: Backend = field(default_factory=Backend)
-    hallucination_llm: Backend = field(default_factory=Backend)
-    reward_llm: Backend = field(default_factory=Backend)
-    toxicity_llm: Backend = field(default_factory=Backend)
-
-    generation_task: str | None = None
-    num_questions: int = 3
-    num_responses: int = 4
-    num_turns: int = 3
-    num_evolutions: int = 1
-    difficulty: str = "medium"
-    score_responses: bool = True
-    generate_answers: bool = True
-    cot_mode: str = "generate"
-    cot_marker: str | None = None
-    preference_mode: str = "single_call"
-    grpo_temperature_spread: float = 0.6
-    grpo_temperatures: list[float] | None = None
-    injection_rate: float = 0.5
-    injection_types: list[str] = field(default_factory=list)
-    injection_seed: int = 42
-    high_temp: float = 1.4
-
-    hallucination_threshold: float | None = None
-    reward_threshold: float | None = None
-    reward_dimensions: list[str] = field(default_factory=lambda: list(judges.DIMENSIONS[:3]))
-    reward_store_score: bool = True
-    enable_reward_refiner: bool = False
-    refine_instruction: bool = False
-    enable_diagnostic_probe: bool = False
-    probe_temperatures: list[float] = field(default_factory=lambda: [0.3, 0.5])
-    probe_score_split: float = 0.5
-    probe_extra_templates: dict[str, str] = field(default_factory=dict)
-
-    diversity_threshold: float | None = None
-    embedding_dedup: bool = False
-    embedding_index_dir: str = "output/embedding_index"
-    embedding_dedup_threshold: float = 0.92
-    embedding_reset_index: bool = False
-    resample: bool = False
-    target_distribution: dict[str, float] = field(default_factory=dict)
-    resample_field: str = "source_dataset"
-    resample_seed: int = 42
-
-    chunk_strategy: str = "heading"
-    chunk_max_tokens: int = 512
-    chunk_overlap_tokens: int = 50
-    chunk_extract_tables: bool = False
-    chunk_min_section_tokens: int = 30
-
-    output_dir: str | Path = "output"
-    export_formats: list[str] = field(default_factory=lambda: ["alpaca", "sharegpt", "dpo"])
-    output_split: dict[str, float] | None = None
-    output_split_seed: int = 42
-    single_file: bool = True
-    enable_checkpoint: bool = False
-    checkpoint_dir: str | None = None
-    name: str = "run"
-
-    def __post_init__(self) -> None:
-        for f in dataclasses.fields(self):
-            if f.name.endswith("_llm") and isinstance(value := getattr(self, f.name), dict):
-                setattr(self, f.name, Backend(**value))
+
+class RunConfig:
+    """A run's settings as attributes, those of SETTINGS."""
+
+    def __init__(self, **given: Any) -> None:
+        if unknown := sorted(given.keys() - SETTINGS.keys()):
+            raise ValueError(f"unknown settings: {unknown}")
+        self.settings = copy.deepcopy(SETTINGS) | given
         if self.dedup not in ("exact", "minhash", "none"):
             raise ValueError(f"unknown dedup: {self.dedup}")
         if self.generation_task is not None and self.generation_task not in TASKS:
             raise ValueError(f"unknown generation task: {self.generation_task}")
 
+    def __getattr__(self, name: str) -> Any:
+        if name == "settings" or name not in self.settings:
+            raise AttributeError(name)
+        return self.settings[name]
+
     @classmethod
-    def from_yaml(cls, path: str | Path, **changes: Any) -> CuratorConfig:
+    def from_yaml(cls, path: str | Path, **changes: Any) -> RunConfig:
         import yaml
 
         given = yaml.safe_load(Path(path).read_text()) or {}
-        return cls.from_dict(given | changes)
-
-    @classmethod
-    def from_dict(cls, given: dict[str, Any]) -> CuratorConfig:
-        names = {f.name for f in dataclasses.fields(cls)}
-        if unknown := sorted(given.keys() - names):
-            raise ValueError(f"unknown settings: {unknown}")
-        return cls(**given)
+        return cls(**(given | changes))
 
     def hash(self) -> str:
         """Of all settings but where the output goes."""
-        return config_hash({k: v for k, v in dataclasses.asdict(self).items() if k not in ("output_dir", "checkpoint_dir", "enable_checkpoint")})
+        return config_hash({k: v for k, v in self.settings.items() if k not in ("output_dir", "checkpoint_dir", "enable_checkpoint")})
 
     def sources(self) -> list[Source]:
         entries = self.dataset if isinstance(self.dataset, list) else [self.dataset]
@@ -200,10 +131,11 @@ class CuratorConfig:
         shared = {"format": self.format, "split": self.split, "subset": self.subset, "columns": self.columns, "field_mapping": self.field_mapping, "detection_sample_size": self.detection_sample_size, "data_key": self.data_key, "delimiter": self.delimiter}
         return [Source.of(e, **(shared | {"preprocessing_fn": fn})) for e, fn in zip(entries, fns, strict=True)]
 
-    def llm(self, task: Backend, judge: bool = False) -> LLM:
+    def llm(self, task: Backend | dict[str, Any] | None, judge: bool = False) -> LLM:
         """The backend of a task: its own settings, then its role's, then the run's."""
-        role = self.judge_llm if judge else self.generator_llm
-        model, base, key = (getattr(task, k) or getattr(role, k) or getattr(self, f"llm_{k}") for k in ("model", "api_base", "api_key"))
+        whole = Backend(self.llm_model, self.llm_api_base, self.llm_api_key)
+        chain = [Backend.of(task), Backend.of(self.judge_llm if judge else self.generator_llm), whole]
+        model, base, key = (next((v for b in chain if (v := getattr(b, k))), None) for k in ("model", "url", "key"))
         if not model:
             raise ValueError("a model is needed: set llm_model")
         common = {"model": model, "temperature": self.judge_llm_temperature if judge else self.llm_temperature, "max_tokens": self.judge_llm_max_tokens if judge else self.llm_max_tokens, "max_retries": self.llm_max_retries, "timeout": self.llm_timeout}
@@ -227,7 +159,7 @@ class CuratorConfig:
         if self.generation_task == "multiturn":
             del given["mode"]
         names = {f.name for f in dataclasses.fields(kind)}
-        return kind(self.llm(Backend()), **{k: v for k, v in given.items() if k in names})
+        return kind(self.llm(None), **{k: v for k, v in given.items() if k in names})
 
 
 Step = tuple[str, str, Callable[[DataFrame], Any]]  # name; gate, normalizer or generator; function
@@ -242,7 +174,7 @@ class Result:
     manifest: dict[str, Any] = field(default_factory=dict)
 
 
-def plan(c: CuratorConfig) -> list[Step]:
+def plan(c: RunConfig) -> list[Step]:
     """The steps between sources and sinks: cheap gates first, models last."""
     steps: list[Step] = []
     if c.schema_gate:
@@ -288,16 +220,16 @@ def plan(c: CuratorConfig) -> list[Step]:
     return steps
 
 
-def described(c: CuratorConfig) -> list[str]:
+def described(c: RunConfig) -> list[str]:
     """The plan in words, for a dry run."""
     reads = [f"read {s.path} as {s.format}" for s in c.sources()]
     return [*reads, *(f"{kind} {name}" for name, kind, _ in plan(c)), *(f"export {f}" for f in c.export_formats)]
 
 
-class Curator:
+class Runner:
     """Runs a configuration. Every row read ends up in the output, among the rejects, or in a counted removal."""
 
-    def __init__(self, config: CuratorConfig, spark: SparkSession | None = None) -> None:
+    def __init__(self, config: RunConfig, spark: SparkSession | None = None) -> None:
         self.config = config
         self.spark = spark or SparkSession.builder.getOrCreate()
 

@@ -9,7 +9,7 @@ from loomsift.cli import main
 from loomsift.operators import chunking, generate, recovery, sinks
 from loomsift.operators.judges import GroundingJudge, RewardJudge, judge_gate
 from loomsift.operators.models import FakeLLM, json_of, without_thinking
-from loomsift.plans.curator import Curator, CuratorConfig, described
+from loomsift.plans.runner import Runner, RunConfig, described
 from loomsift.streaming import ingest as streams
 
 LONG = "The {} was measured in several places, by several people, over the whole of a long and dry summer."
@@ -26,7 +26,7 @@ def messy(path):
 
 def test_a_whole_run(spark, tmp_path):
     out = tmp_path / "out"
-    result = Curator(CuratorConfig(dataset=messy(tmp_path / "seed.jsonl"), output_dir=out, export_formats=["alpaca", "sharegpt"]), spark).run()
+    result = Runner(RunConfig(dataset=messy(tmp_path / "seed.jsonl"), output_dir=out, export_formats=["alpaca", "sharegpt"]), spark).run()
     counts = {k.split(":")[0]: v for k, v in result.stage_counts.items()}
     assert counts["Source0"] == {"output_count": 14, "rejected_count": 1}
     assert counts["SchemaGate"] == {"input_count": 14, "output_count": 10, "probe_recovered": 0, "rejected_count": 4}
@@ -54,29 +54,29 @@ def test_command_line(spark, tmp_path, capsys):
 
 
 def test_stages_are_taken_up_again(spark, tmp_path):
-    config = CuratorConfig(dataset=messy(tmp_path / "seed.jsonl"), output_dir=tmp_path / "o", enable_checkpoint=True, export_formats=[])
-    first = Curator(config, spark).run()
+    config = RunConfig(dataset=messy(tmp_path / "seed.jsonl"), output_dir=tmp_path / "o", enable_checkpoint=True, export_formats=[])
+    first = Runner(config, spark).run()
     made = sorted((tmp_path / "o" / "checkpoints").rglob("_SUCCESS"))
     stamps = [p.stat().st_mtime_ns for p in made]
-    second = Curator(config, spark).run()
+    second = Runner(config, spark).run()
     assert made and [p.stat().st_mtime_ns for p in made] == stamps
     assert first.rejected.count() == second.rejected.count() == 5 and second.passed.count() == 8
 
 
 def test_plan_order():
-    c = CuratorConfig(dataset="x.jsonl", dedup="minhash", secrets_gate=True, pii_pseudonymize=True, toxicity_gate=True, llm_model="fake", generation_task="qa", hallucination_threshold=0.5, reward_threshold=0.5, diversity_threshold=0.9, embedding_dedup=True, resample=True, target_distribution={"a": 1.0}, max_samples=5)
+    c = RunConfig(dataset="x.jsonl", dedup="minhash", secrets_gate=True, pii_pseudonymize=True, toxicity_gate=True, llm_model="fake", generation_task="qa", hallucination_threshold=0.5, reward_threshold=0.5, diversity_threshold=0.9, embedding_dedup=True, resample=True, target_distribution={"a": 1.0}, max_samples=5)
     names = [x.split()[1] for x in described(c)[1:-3]]
     assert names == ["SchemaGate", "ExactDeduplicator", "MinHashDeduplicator", "TextCleaner", "SecretsGate", "PIIPseudonymizer", "ToxicityGate", "QAGeneration", "HallucinationGate", "RewardGate", "DiversityGate", "EmbeddingDeduplicator", "StratifiedSampler", "MaxSamplesTruncator"]
     with pytest.raises(ValueError, match="unknown generation"):
-        CuratorConfig(generation_task="nonsense")
+        RunConfig(generation_task="nonsense")
     with pytest.raises(ValueError, match="model"):
-        CuratorConfig(dataset="x", generation_task="qa").task()
+        RunConfig(dataset="x", generation_task="qa").task()
 
 
 def test_generated_and_judged_run(spark, tmp_path):
     (tmp_path / "t.jsonl").write_text("".join(json.dumps({"text": LONG.format(f"lake {i}")}) + "\n" for i in range(4)))
-    c = CuratorConfig(dataset=str(tmp_path / "t.jsonl"), output_dir=tmp_path / "o", llm_model="fake", generation_task="qa", num_questions=2, hallucination_threshold=0.7, reward_threshold=0.5, enable_diagnostic_probe=True, enable_reward_refiner=True, diversity_threshold=0.999)
-    result = Curator(c, spark).run()
+    c = RunConfig(dataset=str(tmp_path / "t.jsonl"), output_dir=tmp_path / "o", llm_model="fake", generation_task="qa", num_questions=2, hallucination_threshold=0.7, reward_threshold=0.5, enable_diagnostic_probe=True, enable_reward_refiner=True, diversity_threshold=0.999)
+    result = Runner(c, spark).run()
     assert result.stage_counts["QAGeneration"] == {"input_count": 4, "output_count": 8, "rejected_count": 0}
     assert result.stage_counts["HallucinationGate"]["output_count"] == 8
     assert result.manifest["token_stats"]["QAGeneration"]["calls"] >= 4 and (tmp_path / "o" / "diagnostic_summary.json").exists()
