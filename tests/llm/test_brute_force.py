@@ -37,7 +37,7 @@ def test_query_has_rows(spark, sf, name):
     assert queries.QUERIES[name](spark, sf).count() > 0
 
 
-# --- text primitives ------------------------------------------------------------------------------------------------
+# text primitives
 
 
 def test_pretokens_are_the_patterns(texts):
@@ -69,7 +69,7 @@ def test_prefix_hashes_tell_strings_apart():
         assert seen.setdefault(x, data[i:j]) == data[i:j]
 
 
-# --- token counts and BPE -------------------------------------------------------------------------------------------
+# token counts and BPE
 
 
 def naive_count(piece, ranks):
@@ -115,7 +115,7 @@ def test_chunks_are_reused_and_joints_repaired(vocabulary):
     assert c.reused > 20 and c.repaired > 0
 
 
-# --- exact dedup ----------------------------------------------------------------------------------------------------
+# exact dedup
 
 
 def test_cuckoo_index_is_a_counter():
@@ -141,7 +141,7 @@ def test_deleted_documents_have_no_duplicates(spark):
     assert {(r.doc_id, r.duplicate_of) for r in exact_duplicates(docs, gone).collect()} == {(3, 2)}
 
 
-# --- near dedup -----------------------------------------------------------------------------------------------------
+# near dedup
 
 
 def test_near_recall_and_precision(docs, texts):
@@ -199,7 +199,7 @@ def test_components(spark):
     assert got == {x: r for x, r in root.items() if x != r}
 
 
-# --- repeated passages ----------------------------------------------------------------------------------------------
+# repeated passages
 
 
 def brute_passages(texts, least):
@@ -257,7 +257,7 @@ def test_suffixes_are_sorted():
     assert s.extension(a, b).tolist() == want
 
 
-# --- licences -------------------------------------------------------------------------------------------------------
+# licences
 
 
 @pytest.mark.parametrize(
@@ -309,7 +309,7 @@ def test_license_phrases_against_plain_search(docs, texts):
         assert want <= got[i]
 
 
-# --- quality, pages, mixing, toxicity -------------------------------------------------------------------------------
+# quality, pages, mixing, toxicity
 
 
 def test_quality_agrees_with_labels(spark, sf):
