@@ -116,7 +116,8 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, n_bloc
     turns = drawn.withColumn("ended", F.sum("count").over(Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)))
     slots = turns.mapInArrow(place, "source string, block long, shard long, slot long")
 
-    use = pieces.join(slots, ["source", "block"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("shard", "slot", "block", "position", "first", "after")).alias("pieces"))
+    # the planner takes the slots for as few as the shards they come from; they grow with the corpus and aren't broadcast
+    use = pieces.join(slots.hint("merge"), ["source", "block"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("shard", "slot", "block", "position", "first", "after")).alias("pieces"))
     texts = keyed
     if any(r.copies > 1 for r in stats.values()):
         texts = texts.withColumn("copy", F.row_number().over(Window.partitionBy("k1", "k2").orderBy("k1"))).where("copy = 1").drop("copy")
