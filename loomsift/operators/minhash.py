@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomsift.functions.samples import with_provenance
@@ -112,9 +112,9 @@ def minhash_dedup(samples: DataFrame, threshold: float = 0.85, ngram: int = 3, n
     if bands * rows != num_perm:
         raise ValueError(f"bands * rows must be num_perm: {bands} * {rows} != {num_perm}")
     signed = signatures(samples, ngram, num_perm, seed)
-    firsts = checkpointed(signed.groupBy("signature").agg(F.min("_seq").alias("_seq"), F.collect_list("_seq").alias("all")))
-    edges = candidate_pairs(firsts.select("_seq", "signature"), bands, rows, num_perm).where(F.col("similarity") >= threshold)
-    later = firsts.where(F.size("all") > 1).select("_seq", F.explode("all").alias("j")).where("j > _seq").select("j")
+    placed = checkpointed(signed.withColumn("first", F.min("_seq").over(Window.partitionBy("signature"))))
+    edges = candidate_pairs(placed.where("_seq = first").select("_seq", "signature"), bands, rows, num_perm).where(F.col("similarity") >= threshold)
+    later = placed.where("_seq > first").select(F.col("_seq").alias("j"))
     gone = fallen(edges).union(later).distinct().withColumnRenamed("j", "_seq")
     notes = {"minhash_threshold": threshold, "ngram": ngram, "num_perm": num_perm, "lsh_bands": bands, "lsh_rows": rows}
     return with_provenance(samples.join(gone, "_seq", "left_anti"), "MinHashDeduplicator", notes, notes | {"seed": seed})

@@ -162,7 +162,11 @@ def manifest(passed: DataFrame, rejected: DataFrame, stage_counts: dict[str, dic
 def write_checksums(folder: str | Path) -> dict[str, str]:
     """``sha256  path`` of all files under the folder but this one."""
     root = Path(folder)
-    sums = {str(p.relative_to(root)): hashlib.sha256(p.read_bytes()).hexdigest() for p in sorted(root.rglob("*")) if p.is_file() and p.name != "checksums.txt" and not p.name.startswith(".")}
+    sums = {}
+    for p in sorted(root.rglob("*")):
+        if p.is_file() and p.name != "checksums.txt" and not p.name.startswith("."):
+            with p.open("rb") as f:
+                sums[str(p.relative_to(root))] = hashlib.file_digest(f, "sha256").hexdigest()
     (root / "checksums.txt").write_text("".join(f"{h}  {name}\n" for name, h in sums.items()))
     return sums
 

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Splits up to which their table is broadcast; beyond it lines are joined with it by shuffle.
+MOST_SPLITS = 100_000
 RAW_DDL = "line long, raw string, error string"
 ENVELOPE = ("data", "examples", "samples", "records", "items", "dataset", "train")
 
@@ -29,7 +31,7 @@ def _numbered(df: DataFrame) -> DataFrame:
         base.append((r.file, r.start, at - r.first))
         at += r.n
     table = df.sparkSession.createDataFrame(base or [("", 0, 0)], "file string, start long, shift long")
-    return placed.join(F.broadcast(table), ["file", "start"]).select((F.col("order") + F.col("shift") + 1).alias("line"), "value")
+    return placed.join(F.broadcast(table) if len(base) <= MOST_SPLITS else table, ["file", "start"]).select((F.col("order") + F.col("shift") + 1).alias("line"), "value")
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
