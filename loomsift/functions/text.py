@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: What separates tokens; Java's \s alone lacks most of Unicode's white space.
 WHITE = r"\s\x0b\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: The same characters one by one.
+BLANKS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 PREFERENCE = ("preference", "implicit_preference")
 
 
@@ -29,7 +31,7 @@ def squeezed(text: Column | str) -> Column:
 
 
 def strip(text: Column | str) -> Column:
-    return F.regexp_replace(col(text), f"^[{WHITE}]+|[{WHITE}]+$", "")
+    return F.btrim(col(text), F.lit(BLANKS))  # looks at the ends only
 
 
 def is_task(*names: str) -> Column:
