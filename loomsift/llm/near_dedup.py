@@ -21,6 +21,8 @@ SHINGLE = 3
 COMPONENTS, BANDS, ROWS = 128, 42, 3
 #: Probability Jaccard from which two texts are near copies; at it 99.6 % of pairs share a band, at 0.6 99.997 %.
 THRESHOLD = 0.5
+#: Partners that one text is compared with in a task, on average; more of them are parted.
+HUB_PARTNERS = 512
 
 
 def shingles(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -186,8 +188,9 @@ def _grouped(rows: DataFrame, threshold: float) -> DataFrame:
     ends = edges.select(F.explode(F.array("a", "b")).alias("d")).distinct()
     texts = ids.join(ends, "d").groupBy("d").agg(F.min("doc_id").alias("doc_id")).join(keyed, ["doc_id", "d"]).dropDuplicates(["d"]).select("d", "text")
     texts = checkpointed(texts)
-    # a hub's text goes to as many tasks as its partners are spread over
-    salted = edges.withColumn("salt", F.pmod("b", F.lit(8)).cast("int"))
+    # a hub's partners are spread over as many groups as their number asks for, to each of which its text goes once
+    groups = F.ceil(F.count("*").over(Window.partitionBy("a")) / F.lit(HUB_PARTNERS))
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("b"), groups).cast("int"))
     hubs = salted.select("a", "salt").distinct().join(texts.withColumnRenamed("d", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
     partners = salted.join(texts.withColumnRenamed("d", "b"), "b").select("a", "salt", "b", "text")
     gathered = hubs.union(partners).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
