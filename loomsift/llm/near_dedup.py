@@ -23,6 +23,10 @@ COMPONENTS, BANDS, ROWS = 128, 42, 3
 THRESHOLD = 0.5
 #: Partners that one text is compared with in a task, on average; more of them are parted.
 HUB_PARTNERS = 512
+#: Bytes of text and number of texts of a block of a large band.
+BLOCK_BYTES, BLOCK_TEXTS = 1 << 22, 1024
+#: Pairs of texts that a shingle has in common from which it is a column of a dense matrix.
+DENSE_PAIRS = 256
 
 
 def shingles(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -119,7 +123,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in order of band and text: each text with its band's first and with the one before it."""
+    """Of rows in order of band and text: each text but the first with its band, its band's first and the one before it."""
     hub = last = band = None
     for batch in batches:
         b, d = (c.to_numpy() for c in batch.columns)
@@ -135,10 +139,7 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.where(start >= 0, d[start], d[0] if hub is None else hub)
         own = ~new & (d != before)
         hub, last, band = first[-1], d[-1], b[-1]
-        a = np.concatenate([first[own], before[own]])
-        c = np.concatenate([d[own], d[own]])
-        pairs = np.unique(np.stack([a, c], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        yield pa.record_batch([pa.array(x[own]) for x in (b, first, before, d)], ["band", "hub", "before", "d"])
 
 
 def _weighted(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -162,6 +163,157 @@ def _verifier(threshold: float):  # noqa: ANN202
     return verify
 
 
+Sets = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def shared_weights(a: Sets, b: Sets, na: int, nb: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of na texts and each of nb others the weight of their common shingles, in the one and in the other.
+
+    Rows, hashes and weights of the two sides; shingles of many pairs are multiplied as dense matrices, others pair by pair.
+    """
+    common = np.intersect1d(np.unique(a[1]), np.unique(b[1]), assume_unique=True)
+    out = [np.zeros(na * nb), np.zeros(na * nb)]
+    if not len(common):
+        return out[0].reshape(na, nb), out[1].reshape(na, nb)
+    sides = []
+    for row, h, w in (a, b):
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        own = np.flatnonzero(common[at] == h)
+        own = own[np.argsort(at[own], kind="stable")]
+        sides.append((row[own], at[own], w[own].astype(float), np.bincount(at[own], minlength=len(common))))
+    (ra, ca, wa, fa), (rb, cb, wb, fb) = sides
+    dense = fa * fb >= DENSE_PAIRS
+    light = np.flatnonzero(~dense[ca])
+    first = np.cumsum(fb) - fb
+    cost = np.cumsum(fb[ca[light]])
+    for part in np.split(light, np.searchsorted(cost, np.arange(1 << 20, cost[-1] if len(cost) else 0, 1 << 20))):
+        k = fb[ca[part]]
+        x = np.repeat(part, k)
+        y = np.arange(len(x)) - np.repeat(np.cumsum(k) - k, k) + np.repeat(first[ca[part]], k)
+        pair = ra[x] * nb + rb[y]
+        out[0] += np.bincount(pair, wa[x], na * nb)
+        out[1] += np.bincount(pair, wb[y], na * nb)
+    sums = [x.reshape(na, nb) for x in out]
+    heavy = np.flatnonzero(dense)
+    for cut in range(0, len(heavy), 2048):
+        columns = heavy[cut : cut + 2048]
+        place = np.full(len(common), -1)
+        place[columns] = np.arange(len(columns))
+        (xa, ia), (xb, ib) = ((np.zeros((n, len(columns))), np.zeros((n, len(columns)))) for n in (na, nb))
+        for r, c, w, x, i in ((ra, ca, wa, xa, ia), (rb, cb, wb, xb, ib)):
+            own = place[c] >= 0
+            x[r[own], place[c[own]]] = w[own]
+            i[r[own], place[c[own]]] = 1
+        sums[0] += xa @ ib.T
+        sums[1] += ia @ xb.T
+    return sums[0], sums[1]
+
+
+def bounds(a: Sets, b: Sets, na: int, nb: int) -> np.ndarray:
+    """Upper bounds of the probability Jaccard of each of na texts with each of nb others, exact where weights are equal.
+
+    With X, Y the weights of two texts and x, y those of their common shingles, the similarity is at most
+    xy / (Xy + (Y - y)x), for the sum over the common shingles is of a concave function of degree one; and so with the sides changed.
+    """
+    x, y = shared_weights(a, b, na, nb)
+    whole_x, whole_y = np.bincount(a[0], a[2], na)[:, None], np.bincount(b[0], b[2], nb)[None, :]
+    least = np.maximum(whole_x * y + (whole_y - y) * x, whole_y * x + (whole_x - x) * y)
+    return np.divide(x * y, least, out=np.zeros_like(x), where=least > 0)
+
+
+def _met(side: np.ndarray, d: np.ndarray, label: np.ndarray, sets: Sets, threshold: float) -> list[tuple[int, int]]:
+    """Edges that join all near copies of different labels of two blocks, or of one block if there is one side."""
+    row, h, w = sets
+    one = int((side == 0).sum())
+    cut = np.searchsorted(row, one)
+    a = (row[:cut], h[:cut], w[:cut])
+    alone = one == len(d)
+    b = a if alone else (row[cut:] - one, h[cut:], w[cut:])
+    shift = 0 if alone else one
+    close = bounds(a, b, one, len(d) - shift) >= threshold - 1e-9
+    close &= label[:one, None] != label[None, shift:]
+    if alone:
+        close = np.triu(close, 1)
+    at = np.searchsorted(row, np.arange(len(d) + 1))
+    above = {x: x for x in label.tolist()}
+
+    def root(x: int) -> int:
+        while above[x] != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    found = []
+    for i, j in np.argwhere(close) + [0, shift]:
+        p, q = root(int(label[i])), root(int(label[j]))
+        if p != q and similarity((h[at[i] : at[i + 1]], w[at[i] : at[i + 1]]), (h[at[j] : at[j + 1]], w[at[j] : at[j + 1]])) >= threshold:
+            above[p] = q
+            found.append((int(d[i]), int(d[j])))
+    return found
+
+
+def _meeter(threshold: float):  # noqa: ANN202
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows in order of band, i, j, side and d; those of one band, i and j meet."""
+        key, held = None, []
+
+        def done() -> list[tuple[int, int]]:
+            sizes = np.cumsum([0, *(len(x[0]) for x in held)])
+            side, d, label = (np.concatenate([x[k] for x in held]) for k in range(3))
+            row = np.concatenate([x[3] + n for x, n in zip(held, sizes, strict=False)])
+            return _met(side, d, label, (row, *(np.concatenate([x[k] for x in held]) for k in (4, 5))), threshold)
+
+        def answer(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.record_batch([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            for part, data, at in slices(batch, "text", 1 << 19):
+                row, h, w = shingles(data, at)
+                band, i, j, side, d, label = (part.column(k).to_numpy() for k in range(6))
+                edge = np.flatnonzero((band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+                found = []
+                for s, e in zip([0, *edge.tolist()], [*edge.tolist(), len(d)], strict=True):
+                    now = (band[s], i[s], j[s])
+                    if held and now != key:
+                        found += done()
+                        held.clear()
+                    key = now
+                    p, q = np.searchsorted(row, [s, e])
+                    held.append((side[s:e], d[s:e], label[s:e], row[p:q] - s, h[p:q], w[p:q]))
+                yield answer(found)
+        if held:
+            yield answer(done())
+
+    return meet
+
+
+def _crowds(linked: DataFrame, labels: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """``a, b``: near copies among all pairs of a band whose ends aren't connected yet, as far as connecting them asks.
+
+    In a band of up to three texts the links were all pairs. Larger ones are cut into blocks in order of label, and each
+    pair of blocks that has two labels is a group of its own.
+    """
+    many = linked.groupBy("band").agg(F.count("*").alias("n"), F.first("hub").alias("hub")).where("n > 2")
+    members = linked.join(many.select("band"), "band").select("band", "d").union(many.select("band", F.col("hub").alias("d")))
+    members = members.join(labels, "d", "left").withColumn("label", F.coalesce("label", "d"))
+    # bands of equal texts are met once
+    sums = members.groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n"), F.sum(F.xxhash64("d").cast("decimal(20,0)")).alias("h"))
+    kept = sums.where("least < most").groupBy("n", "h").agg(F.min("band").alias("band")).select("band")
+    sizes = texts.select("d", F.octet_length("text").cast("long").alias("size"))
+    placed = members.join(kept, "band").join(sizes, "d")
+    order = Window.partitionBy("band").orderBy("label", "d")
+    before = F.sum("size").over(order) - F.col("size")
+    by_bytes, by_texts = F.floor(before / F.lit(BLOCK_BYTES)), F.floor((F.row_number().over(order) - 1) / F.lit(BLOCK_TEXTS))
+    block = by_bytes + by_texts
+    placed = checkpointed(placed.withColumn("block", block).select("band", "block", "d", "label"))
+    blocks = placed.groupBy("band", "block").agg(F.min("label").alias("least"), F.max("label").alias("most"))
+    other = blocks.select("band", F.col("block").alias("j"), F.col("least").alias("least_j"), F.col("most").alias("most_j"))
+    tasks = blocks.withColumnRenamed("block", "i").join(other, "band").where("i <= j AND (least < most OR least_j < most_j OR least <> least_j)").select("band", "i", "j")
+    sides = tasks.select("band", "i", "j", F.lit(0).alias("side"), F.col("i").alias("block")).union(tasks.where("i < j").select("band", "i", "j", F.lit(1).alias("side"), F.col("j").alias("block")))
+    rows = sides.join(placed, ["band", "block"]).join(texts, "d").select("band", "i", "j", "side", "d", "label", "text")
+    gathered = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "side", "d")
+    return gathered.mapInArrow(_meeter(threshold), "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``d, label``: the least one connected with each end of an edge, but for that one itself; large and small stars."""
     now = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
@@ -182,8 +334,9 @@ def components(edges: DataFrame) -> DataFrame:
 def _grouped(rows: DataFrame, threshold: float) -> DataFrame:
     """``doc_id, d, group_id, n`` of the documents in groups; n is their place in the group by ``doc_id``."""
     keyed = rows.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("d"), "text")
-    pairs = keyed.select("d", "text").mapInArrow(_sign, "band long, d long").repartition("band").sortWithinPartitions("band", "d").mapInArrow(_link, "a long, b long")
-    edges = checkpointed(pairs.distinct())
+    signed = keyed.select("d", "text").mapInArrow(_sign, "band long, d long").repartition("band").sortWithinPartitions("band", "d")
+    linked = checkpointed(signed.mapInArrow(_link, "band long, hub long, before long, d long"))
+    edges = checkpointed(linked.select(F.explode(F.array("hub", "before")).alias("a"), F.col("d").alias("b")).distinct())
     ids = keyed.select("doc_id", "d").distinct()
     ends = edges.select(F.explode(F.array("a", "b")).alias("d")).distinct()
     texts = ids.join(ends, "d").groupBy("d").agg(F.min("doc_id").alias("doc_id")).join(keyed, ["doc_id", "d"]).dropDuplicates(["d"]).select("d", "text")
@@ -194,7 +347,9 @@ def _grouped(rows: DataFrame, threshold: float) -> DataFrame:
     hubs = salted.select("a", "salt").distinct().join(texts.withColumnRenamed("d", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
     partners = salted.join(texts.withColumnRenamed("d", "b"), "b").select("a", "salt", "b", "text")
     gathered = hubs.union(partners).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    labels = components(gathered.mapInArrow(_verifier(threshold), "a long, b long"))
+    labels = checkpointed(components(gathered.mapInArrow(_verifier(threshold), "a long, b long")))
+    # what hubs and neighbours have connected needs no more pairs; all other pairs of the bands are met
+    labels = components(labels.select(F.col("d").alias("a"), F.col("label").alias("b")).union(_crowds(linked, labels, texts, threshold)))
     of = ids.join(labels, "d", "left").withColumn("label", F.coalesce("label", "d"))
     own = Window.partitionBy("label")
     placed = of.withColumns({"group_id": F.min("doc_id").over(own), "size": F.count("*").over(own), "n": F.row_number().over(own.orderBy("doc_id", "d"))})
@@ -205,8 +360,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, group_id``: each document of a group of near copies but its first, and the id of that first one.
 
     Two texts are near copies if the probability Jaccard of their weighted shingles is ``threshold`` or over; groups are
-    connected by such pairs, those that share a band and are linked to its first or to each other in order. Equal texts
-    are of one group. Null texts and ids are in none; texts without a word, empty ones included, have equal texts only as
+    connected by such pairs, all of those that share a band. Equal texts are of one group. Null texts and ids are in none; texts without a word, empty ones included, have equal texts only as
     copies. Rows equal in id and text count as one. Other columns are ignored; an empty table gives no rows.
     """
     return _grouped(pick(docs, "doc_id", "text"), threshold).where("n > 1").select("doc_id", "group_id")

@@ -163,6 +163,48 @@ def test_near_recall_and_precision(docs, texts):
     assert all(root[i] == root[g] for i, g in group.items())
 
 
+def test_near_copies_in_a_crowd(spark):
+    """Thousands of texts share a passage that makes them 0.47 alike; each has one copy at 0.519."""
+    words = lambda name, n: " ".join(f"{name}x{k}" for k in range(n))
+    rows = [(2 * i + k, f"{words('p', 194)} {words(f'a{i}', 13)} {words(f'b{i}k{k}', 95)}") for i in range(1500) for k in (0, 1)]
+    sets = [near_dedup._weighted(t) for _, t in rows]
+    assert near_dedup.similarity(sets[0], sets[2]) == pytest.approx(192 / 408)
+    assert near_dedup.similarity(sets[0], sets[1]) == pytest.approx(205 / 395)
+    sizes = [len(h) for h, _ in sets]
+    h, w = (np.concatenate([x[k] for x in sets]) for k in (0, 1))
+    keys = near_dedup.bands(near_dedup.signatures(np.repeat(np.arange(len(rows)), sizes), h, w, len(rows)))
+    candidates = {2 * i + 1: 2 * i for i in range(1500) if (keys[2 * i] == keys[2 * i + 1]).any()}
+    assert len(candidates) >= 0.99 * 1500
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.group_id for r in got} == candidates
+
+
+@pytest.mark.parametrize("dense", [1, 16, 1 << 30])
+def test_bounds_of_blocks(monkeypatch, dense):
+    monkeypatch.setattr(near_dedup, "DENSE_PAIRS", dense)
+    rng = np.random.default_rng(4)
+    for most in (1, 5):
+        sides = [[(h := np.unique(rng.integers(0, 40, 30).astype(np.uint64)), rng.integers(1, most + 1, len(h))) for _ in range(n)] for n in (7, 9)]
+        flat = [(np.repeat(np.arange(len(s)), [len(h) for h, _ in s]), *(np.concatenate([x[k] for x in s]) for k in (0, 1))) for s in sides]
+        got = near_dedup.bounds(*flat, 7, 9)
+        want = np.array([[near_dedup.similarity(x, y) for y in sides[1]] for x in sides[0]])
+        assert (got >= want - 1e-12).all()
+        if most == 1:
+            assert got == pytest.approx(want)
+
+
+def test_blocks_of_a_band_meet(spark, monkeypatch):
+    """Bands cut into many small blocks give the groups of all pairs that share a band."""
+    monkeypatch.setattr(near_dedup, "BLOCK_TEXTS", 7)
+    words = lambda name, n: " ".join(f"{name}x{k}" for k in range(n))
+    rows = [(2 * i + k, f"{words('p', 194)} {words(f'a{i}', 13)} {words(f'b{i}k{k}', 95)}") for i in range(40) for k in (0, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    small = {(r.doc_id, r.group_id) for r in near_dedup.near_duplicates(df).collect()}
+    monkeypatch.undo()
+    assert small == {(r.doc_id, r.group_id) for r in near_dedup.near_duplicates(df).collect()}
+    assert len(small) >= 39
+
+
 def test_similarity_by_definition():
     rng = random.Random(6)
     for _ in range(20):
