@@ -21,6 +21,9 @@ DIMENSIONS = ("helpfulness", "honesty", "instruction_following", "correctness",
 Scorer = Callable[[list[str]], list[float]]
 LEXICON = frozenset("idiot moron scum trash loser stupid disgusting worthless clown pathetic".split())
 
+#: Characters of a text that the toxicity judge is asked about at a time.
+JUDGE_WINDOW = 1500
+
 
 def lexicon_scorer(texts: list[str]) -> list[float]:
     """The built-in scorer: words of a small list, four of which make a certainty."""
@@ -51,14 +54,26 @@ def score_in(text: str, key: str) -> tuple[float, dict[str, Any]]:
     return clamp(x / 10 if x > 1 else x), {}
 
 
-def toxicity_scores(samples: DataFrame, scorer: Scorer = lexicon_scorer, text_field: str = "auto") -> DataFrame:
-    """``samples`` with ``_scores``, an array of (field, score, text) of the texts that aren't blank."""
+def windows(text: str, size: int | None) -> list[str]:
+    """The text in windows of ``size`` characters, a quarter of which each shares with the next; whole without a size."""
+    if size is None or len(text) <= size:
+        return [text]
+    step = max(1, size - size // 4)
+    return [text[i : i + size] for i in range(0, len(text) - size + step, step)]
+
+
+def toxicity_scores(samples: DataFrame, scorer: Scorer = lexicon_scorer, text_field: str = "auto", window: int | None = None) -> DataFrame:
+    """``samples`` with ``_scores``, an array of (field, score, text) of the texts that aren't blank.
+
+    Whole texts are scored; for a scorer with a limit of length, ``window`` is its characters, and a text's score is that of its worst window.
+    """
 
     @F.pandas_udf("array<double>")
     def score(texts: pd.Series) -> pd.Series:
-        flat = [x[:2048] for row in texts for x in row]
+        parts = [[windows(x, window) for x in row] for row in texts]
+        flat = [p for row in parts for text in row for p in text]
         found = iter(scorer(flat) if flat else [])
-        return pd.Series([[float(next(found)) for _ in row] for row in texts])
+        return pd.Series([[max(float(next(found)) for _ in text) for text in row] for row in parts])
 
     one = lambda f: F.array(F.struct(F.lit(f).alias("field"), F.col(f).alias("text")))
     rollouts = F.transform("responses", lambda x, i: F.struct(F.concat(F.lit("response_"), i.cast("string")).alias("field"), x.alias("text")))
@@ -68,10 +83,10 @@ def toxicity_scores(samples: DataFrame, scorer: Scorer = lexicon_scorer, text_fi
     return texts.withColumn("_scores", F.zip_with("_fields", "_s", lambda f, s: F.struct(s.alias("score"), f["field"].alias("field"), f["text"].alias("text")))).drop("_fields", "_s")
 
 
-def toxicity_gate(samples: DataFrame, pass_threshold: float = 0.1, reject_threshold: float = 0.5, llm: LLM | None = None, llm_reject_threshold: float = 0.5, scorer: Scorer = lexicon_scorer, text_field: str = "auto") -> tuple[DataFrame, DataFrame]:
+def toxicity_gate(samples: DataFrame, pass_threshold: float = 0.1, reject_threshold: float = 0.5, llm: LLM | None = None, llm_reject_threshold: float = 0.5, scorer: Scorer = lexicon_scorer, text_field: str = "auto", window: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Low scores pass, high ones are rejected; between them a judge decides, without one the sample is rejected.
 
-    A judge that fails counts as a score of 1.
+    The judge sees a long text in windows, the worst of which counts. A judge that fails counts as a score of 1.
     """
     if not pass_threshold < reject_threshold:
         raise ValueError("pass_threshold must be under reject_threshold")
@@ -88,7 +103,7 @@ def toxicity_gate(samples: DataFrame, pass_threshold: float = 0.1, reject_thresh
                 reason = f"toxic_content:classifier:{s:.3f}"
             elif s >= pass_threshold:
                 try:
-                    judged, reply = score_in(llm.generate(prompt(task="toxicity", answer=t[:1500]), temperature=0.0).text, "toxicity_score")
+                    judged, reply = max((score_in(llm.generate(prompt(task="toxicity", answer=p), temperature=0.0).text, "toxicity_score") for p in windows(t, JUDGE_WINDOW)), key=lambda x: x[0])
                 except Exception:  # noqa: BLE001
                     judged, reply = 1.0, {}
                 notes |= {"phase": "llm_judge", "llm_score": judged, "categories": reply.get("categories", []), "reasoning": reply.get("reasoning", "")}
@@ -98,7 +113,7 @@ def toxicity_gate(samples: DataFrame, pass_threshold: float = 0.1, reject_thresh
             out.append((reason, json.dumps(notes)))
         return pd.DataFrame(out, columns=["reason", "notes"])
 
-    scored = toxicity_scores(samples, scorer, text_field).withColumn("_worst", F.array_max("_scores")).withColumn("_d", decide("_worst.score", "_worst.field", "_worst.text"))
+    scored = toxicity_scores(samples, scorer, text_field, window).withColumn("_worst", F.array_max("_scores")).withColumn("_d", decide("_worst.score", "_worst.field", "_worst.text"))
     config = {"pass": pass_threshold, "reject": reject_threshold, "llm": llm.config_hash() if llm else None}
     marked = with_provenance(scored, "ToxicityGate", F.col("_d.notes"), config)
     passed, rejected = split_gate(marked, F.col("_d.reason"), "ToxicityGate")

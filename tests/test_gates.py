@@ -89,6 +89,25 @@ def test_toxicity_bands(spark):
         judges.toxicity_gate(sample(spark, rows), 0.5, 0.5)
 
 
+def test_toxicity_of_whole_texts(spark):
+    rows = [{"output": "kind " * 500 + "idiot moron scum trash"}, {"output": "kind " * 500 + "an idiot"}, {"output": "kind " * 500 + "such trash"}]
+    _, rejected = judges.toxicity_gate(sample(spark, rows), llm=FakeLLM())
+    assert {r.id: r.rejection_reason for r in rejected.collect()} == {"0": "toxic_content:classifier:1.000", "1": "toxic_content:llm_judge:0.900"}
+    first = lambda texts: [float("scum" in t[:100]) for t in texts]
+    rows = [{"output": "kind " * 500 + "scum"}, {"output": "kind " * 500}]
+    _, rejected = judges.toxicity_gate(sample(spark, rows), scorer=first, window=100)
+    assert [r.id for r in rejected.collect()] == ["0"]
+
+
+def test_windows_cover_a_text():
+    for n in (0, 1, 99, 100, 101, 174, 175, 176, 1000):
+        text = "".join(chr(0x4E00 + i) for i in range(n))
+        parts = judges.windows(text, 100)
+        assert max(map(len, parts)) <= 100 and text.startswith(parts[0]) and text.endswith(parts[-1])
+        assert all(b[0] in a for a, b in zip(parts, parts[1:], strict=False))
+        assert judges.windows(text, None) == [text]
+
+
 def broken():
     class Broken(FakeLLM):  # local, so that it is sent to the workers by value
         def answer(self, task, prompt, temperature):
