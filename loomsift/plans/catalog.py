@@ -210,6 +210,12 @@ def minhash_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.signatures(items, num_perm=16).select(F.col("_seq").alias("item_id"), F.posexplode("signature").alias("component", "value"))
 
 
+@query()
+def minhash_document_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The signature of each document, of the permutations that ``minhash_dedup`` has; tested against the definition."""
+    return minhash.signatures(lm(spark, sf_dir)).select(F.col("_seq").alias("doc_id"), "signature")
+
+
 @query("SELECT doc_id::VARCHAR AS id FROM documents ORDER BY doc_id LIMIT 100")
 def truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize.truncate(lm(spark, sf_dir), 100).select("id")

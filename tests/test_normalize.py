@@ -65,6 +65,21 @@ def test_minhash_against_python(spark, sf):
     assert sorted(r._seq for r in kept.collect()) == [ids[k] for k in scan(len(ids), similar)]
 
 
+def test_minhash_signature_of_each_document(spark, sf):
+    import hashlib
+
+    from loomsift.plans import catalog
+
+    got = {r.doc_id: r.signature for r in catalog.QUERIES["minhash_document_signature"](spark, sf).collect()}
+    texts = {r.doc_id: (r.text or "").lower() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert got.keys() == texts.keys() and {len(s) for s in got.values()} == {128}
+    pairs = minhash.coefficients(128, 42)
+    for i in sorted(texts, key=lambda i: (len(texts[i]), i))[:20]:
+        t = texts[i]
+        hashes = {int(hashlib.md5(t[k : k + 3].encode()).hexdigest()[-8:], 16) for k in range(len(t) - 2)}
+        assert got[i] == [min([(a * h + b) % minhash.PRIME & minhash.LOW for h in hashes], default=minhash.LOW) for a, b in pairs]
+
+
 def test_minhash_signature_by_definition():
     import hashlib
 
