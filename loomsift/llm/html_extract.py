@@ -50,6 +50,9 @@ def text_nodes(page: str) -> list[tuple[str, int, str]]:
                 while stack.pop() != name:
                     pass
         else:
+            if (name == "body" or name in _BLOCK) and "head" in stack and "template" not in stack:
+                while stack.pop() != "head":
+                    pass
             if name in _BLOCK and "p" in stack:
                 while stack.pop() != "p":
                     pass

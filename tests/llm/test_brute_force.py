@@ -370,6 +370,12 @@ def test_main_text_of_a_page():
     assert text.count("committee") == 15 and "Link" not in text and "var x" not in text and "About" not in text and nodes > kept == 5
 
 
+@pytest.mark.parametrize("body", ["<body>", ""])
+def test_page_that_leaves_out_the_end_of_its_head(body):
+    page = "<html><head><title>no</title>{}" + body + "<p>All of this is read.</p><p>And this.</p></html>"
+    assert content(page.format("")) == content(page.format("</head>")) == ("All of this is read.\nAnd this.", 2, 2)
+
+
 @pytest.fixture(scope="module")
 def blocks(docs):
     return mixing.mix_sources(docs, block_tokens=64, shard_blocks=32).collect()
