@@ -9,19 +9,24 @@ whose words prove equal are a repeat.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomsift.llm.arrays import SPACE, Prefix, pick, rows_of, runs, slices, utf8
-from loomsift.llm.store import checkpointed
+from loomsift.llm.store import stored
 
 #: Words of the shortest repeat, and of the grams that suffixes are sent by.
 LEAST, GRAM = 50, 8
-#: Suffixes sorted at a time, but for those of one gram, which stay together.
-BLOCK = 1 << 18
+#: Words of the rows that are sorted at a time; those of one gram stay together.
+BLOCK_WORDS, BYTES_A_WORD = 1 << 17, 5
+#: Rows of a gram up to which its suffixes are sorted together. Those of a more frequent gram, which may be in any share of
+#: all texts, are grouped by a 128-bit digest of all of their LEAST words instead; the passages are the same either way.
+CROWD = 2048
 
 
 def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -119,39 +124,16 @@ def _send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, at in slices(batch, "text"):
             row, gram, place, low, high = anchors(data, at)
             text = part.column(0).to_numpy()[row]
-            yield pa.record_batch([pa.array(gram.view(np.int64)), pa.array(text, pa.int64()), *(pa.array(x.astype(np.int32)) for x in (place, low, high))], ["gram", "d", "place", "low", "high"])
+            yield pa.record_batch(
+                [pa.array(gram.view(np.int64)), pa.array(text, pa.int64()), *(pa.array(x.astype(np.int32)) for x in (place, low, high))],
+                ["gram", "d", "place", "low", "high"],
+            )
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in order of gram and text: those whose gram is of several texts, or whose text comes again; each place once."""
-    held: pa.RecordBatch | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        both = pa.Table.from_batches([held, batch] if held is not None else [batch]).combine_chunks().to_batches()[0]
-        gram = both.column(0).to_numpy()
-        cut = int(np.searchsorted(gram, gram[-1]))  # the last gram may go on
-        yield _several(both.slice(0, cut))
-        held = both.slice(cut)
-    if held is not None:
-        yield _several(held)
-
-
-def _several(batch: pa.RecordBatch) -> pa.RecordBatch:
-    gram, d, place = (batch.column(k).to_numpy() for k in range(3))
-    if not len(gram):
-        return batch
-    new = np.concatenate([[True], gram[1:] != gram[:-1]])
-    group = np.cumsum(new) - 1
-    begin = np.flatnonzero(new)
-    several = np.minimum.reduceat(d, begin) != np.maximum.reduceat(d, begin)
-    once = new | np.concatenate([[True], (d[1:] != d[:-1]) | (place[1:] != place[:-1])])
-    again = np.append(~once[1:], False)
-    return batch.take(pa.array(np.flatnonzero((several[group] | again) & once)))
-
-
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words that each anchor's suffixes begin with, LEAST of the last one, joined by single spaces."""
+def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """By slices of texts: the text's number, gram, place, first and last suffix of its anchors, and a function that gives
+    the words from one number to another, joined by single spaces.
+    """
     for batch in batches:
         for part, data, at in slices(batch, "text"):
             starts, ends = runs(~SPACE[data], at)
@@ -160,29 +142,71 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
             a = lists.flatten()
             gram, place, low, high = (a.field(k).to_numpy() for k in ("gram", "place", "low", "high"))
+            fits = high.astype(np.int64) + LEAST <= np.diff(first)[row]  # an anchor of another text of the same d may not
+            row, gram, place, low, high = (x[fits] for x in (row, gram, place, low, high))
             raw = data.tobytes()
-            i, j = first[row] + low, first[row] + high + LEAST - 1
-            plain = np.concatenate([[0], np.cumsum(np.concatenate([starts[1:] - ends[:-1] != 1, [True]]) | np.concatenate([data[ends[:-1]] != 32, [True]]))])
-            single = plain[j] == plain[i]
-            texts = [raw[s:e] if one else b" ".join(raw[s:e].split()) for s, e, one in zip(starts[i].tolist(), ends[j].tolist(), single.tolist(), strict=True)]
-            yield pa.record_batch([pa.array(gram), part.column(0).take(pa.array(row)), pa.array(place - low), pa.array(low), pa.array(texts, pa.binary()), part.column(2).take(pa.array(row))], ["gram", "doc_id", "before", "low", "words", "most_id"])
+            gaps = np.concatenate([starts[1:] - ends[:-1] != 1, [True]]) | np.concatenate([data[ends[:-1]] != 32, [True]]) if len(starts) else np.zeros(0, bool)
+            plain = np.concatenate([[0], np.cumsum(gaps)])
+
+            def words(i: np.ndarray, j: np.ndarray, raw: bytes = raw, starts: np.ndarray = starts, ends: np.ndarray = ends, plain: np.ndarray = plain) -> list[bytes]:
+                single = plain[j] == plain[i]
+                return [raw[s:e] if one else b" ".join(raw[s:e].split()) for s, e, one in zip(starts[i].tolist(), ends[j].tolist(), single.tolist(), strict=True)]
+
+            yield part, row, first[row], gram, place, low, high, words
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words that each anchor's suffixes begin with, LEAST of the last one."""
+    for part, row, first, gram, place, low, high, words in _regions(batches):
+        for some in _parted(high - low + LEAST):
+            of = pa.array(row[some])
+            texts = words(first[some] + low[some], first[some] + high[some] + LEAST - 1)
+            yield pa.record_batch(
+                [pa.array(gram[some]), part.column(0).take(of), pa.array(place[some] - low[some]), pa.array(low[some]), pa.array(texts, pa.binary()), part.column(2).take(of)],
+                ["gram", "doc_id", "before", "low", "words", "most_id"],
+            )
+
+
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A digest of the LEAST words of each suffix of the anchors."""
+    for part, row, first, _, _, low, high, words in _regions(batches):
+        size = high.astype(np.int64) - low + 1
+        for some in _parted(size * LEAST):
+            each = np.repeat(some, size[some])
+            suffix = low[each] + np.arange(len(each)) - np.repeat(np.cumsum(size[some]) - size[some], size[some])
+            begin = first[each] + suffix
+            keys = np.frombuffer(b"".join([blake2b(w, digest_size=16).digest() for w in words(begin, begin + LEAST - 1)]), np.int64).reshape(-1, 2)
+            of = pa.array(row[each])
+            yield pa.record_batch([pa.array(keys[:, 0]), pa.array(keys[:, 1]), part.column(0).take(of), part.column(2).take(of), pa.array(suffix)], ["k1", "k2", "doc_id", "most_id", "start_word"])
+
+
+def _parted(words: np.ndarray) -> Iterator[np.ndarray]:
+    """Numbers of rows, in runs of about BLOCK_WORDS words."""
+    total = np.cumsum(words, dtype=np.int64)
+    edges = np.searchsorted(total, np.arange(BLOCK_WORDS, total[-1] if len(total) else 0, BLOCK_WORDS), "right")
+    yield from (x for x in np.split(np.arange(len(words)), edges) if len(x))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of gram, in blocks that keep a gram together."""
+    """Rows in order of gram, in blocks of about BLOCK_WORDS words that keep a gram together."""
     held: list[pa.RecordBatch] = []
-    size = 0
+    size, last = 0, None
     for batch in batches:
         if not batch.num_rows:
             continue
-        held.append(batch)
-        size += batch.column(4).nbytes // 6
         gram = batch.column(0).to_numpy()
-        cut = int(np.searchsorted(gram, gram[-1]))
-        if size > BLOCK and cut:
-            held[-1] = batch.slice(0, cut)
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, size = [batch.slice(cut)], 0
+        edges = np.flatnonzero(np.concatenate([[last is None or gram[0] != last], gram[1:] != gram[:-1]]))
+        last = gram[-1]
+        total = np.concatenate([[0], np.cumsum(pc.binary_length(batch.column(4)).to_numpy() // BYTES_A_WORD)])
+        done = 0
+        for edge in edges.tolist():
+            if size + total[edge] - total[done] >= BLOCK_WORDS:
+                held.append(batch.slice(done, edge - done))
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size, done = [], 0, edge
+        if done < batch.num_rows:
+            held.append(batch.slice(done))
+            size += total[-1] - total[done]
     if held:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
@@ -269,31 +293,43 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     A passage is the union of all runs of LEAST words, equal and in the same order in another text, that overlap; words
     are separated by ASCII white space, of which kind and amount don't matter. ``start_word`` counts from 0, ``end_word``
     is the one after. ``is_first``: no document of a lesser id has it; passages of which that differs are separate rows.
-    Of documents with equal texts all but the one of the least id are copies as a whole.
+    Of documents with equal texts all but the one of the least id are copies as a whole; texts of equal hashes are
+    compared where they meet, and two that differ stop the job.
 
     Null ids and texts, and texts under LEAST words, have no passages; repeats within one text alone don't count; rows
     equal in id and text count as one; ids must be whole numbers, and of texts under one id each is seen by itself. Other
     columns are ignored; an empty table gives no rows.
     """
     rows = pick(docs, "doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    keyed = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("d"), "text")
-    sent = keyed.select("d", "text").mapInArrow(_send, "gram long, d long, place int, low int, high int")
-    shared = sent.repartition("gram").sortWithinPartitions("gram", "d", "place").mapInArrow(_shared, "gram long, d long, place int, low int, high int")
-    lists = shared.groupBy("d").agg(F.collect_list(F.struct("gram", "place", "low", "high")).alias("anchors"))
-
-    ids = keyed.select("doc_id", "d").distinct()
-    copies = ids.groupBy("d").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("most_id"))
-    texts = keyed.join(copies.join(lists, "d").select("d", "doc_id", "most_id", "anchors"), ["d", "doc_id"]).select("doc_id", "text", "most_id", "anchors")
-    cut = texts.mapInArrow(_cut, "gram long, doc_id long, before int, low int, words binary, most_id long")
-    found = cut.repartition("gram").sortWithinPartitions("gram").mapInArrow(_find, "doc_id long, start_word long, end_word long, is_first boolean")
+    keyed = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("d"), F.xxhash64(F.lit(2), "text").alias("e"), "text")
+    # counted before any row of a gram meets another one, so that a gram of a third of all texts is no task of its own
+    sent = stored(keyed.select("d", "text").mapInArrow(_send, "gram long, d long, place int, low int, high int"), "anchors")
+    several = sent.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram", (F.col("n") > CROWD).alias("crowded"))
+    anchored = sent.join(several, "gram")
+
+    ids = keyed.select("doc_id", "d", "e").distinct()
+    texts = keyed.groupBy("d", "e").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("most_id"), F.collect_set("text").alias("same"))
+    texts = texts.withColumn("text", F.expr("if(size(same) = 1, same[0], raise_error('two texts have the same hashes'))"))
+
+    def met(crowded: bool) -> DataFrame:
+        own = anchored.where(F.col("crowded") == crowded).groupBy("d").agg(F.collect_set(F.struct("gram", "place", "low", "high")).alias("anchors"))
+        lists = own.join(ids.select("d", "e").distinct(), "d")
+        return texts.join(lists, ["d", "e"]).select("doc_id", "text", "most_id", "anchors")
+
+    cut = met(False).mapInArrow(_cut, "gram long, doc_id long, before int, low int, words binary, most_id long")
+    sorted_ = cut.repartition("gram").sortWithinPartitions("gram").mapInArrow(_find, "doc_id long, start_word long, end_word long, is_first boolean")
+    suffixes = met(True).mapInArrow(_digest, "k1 long, k2 long, doc_id long, most_id long, start_word long")
+    shared = suffixes.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.max("most_id").alias("most")).where("least < most").drop("most")
+    grouped = suffixes.join(shared, ["k1", "k2"]).select("doc_id", "start_word", (F.col("start_word") + LEAST).alias("end_word"), (F.col("doc_id") == F.col("least")).alias("is_first"))
+    found = sorted_.unionByName(grouped)
 
     order = Window.partitionBy("doc_id", "is_first").orderBy("start_word", "end_word")
     reach = F.max("end_word").over(order.rowsBetween(Window.unboundedPreceding, -1))
     parted = found.withColumn("new", F.when(F.coalesce(F.col("start_word") > reach, F.lit(True)), 1).otherwise(0)).withColumn("passage", F.sum("new").over(order))
-    spans = checkpointed(parted.groupBy("doc_id", "is_first", "passage").agg(F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word")).drop("passage"))
+    spans = parted.groupBy("doc_id", "is_first", "passage").agg(F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word")).drop("passage")
 
-    several = copies.where("most_id > doc_id").select("d", F.col("doc_id").alias("first_id"))
-    sizes = keyed.select("doc_id", "d", F.regexp_count("text", F.lit("[^ \\t\\n\\x0B\\f\\r]+")).cast("long").alias("end_word"))
-    whole = sizes.join(several, "d").where((F.col("doc_id") > F.col("first_id")) & (F.col("end_word") >= LEAST)).select("doc_id", F.lit(False).alias("is_first"), F.lit(0).cast("long").alias("start_word"), "end_word")
+    firsts = texts.where("most_id > doc_id").select("d", "e", F.col("doc_id").alias("first_id"), F.regexp_count("text", F.lit("[^ \\t\\n\\x0B\\f\\r]+")).cast("long").alias("end_word"))
+    whole = ids.join(firsts.where(F.col("end_word") >= LEAST), ["d", "e"]).where("doc_id > first_id").select("doc_id", F.lit(False).alias("is_first"), F.lit(0).cast("long").alias("start_word"), "end_word")
     both = spans.unionByName(whole)
-    return both.groupBy("doc_id", "is_first", "start_word", "end_word").agg((F.col("end_word") - F.col("start_word")).alias("n_words")).select("doc_id", "start_word", "end_word", "n_words", "is_first")
+    n_words = (F.col("end_word") - F.col("start_word")).alias("n_words")
+    return both.groupBy("doc_id", "is_first", "start_word", "end_word").agg(n_words).select("doc_id", "start_word", "end_word", "n_words", "is_first")
