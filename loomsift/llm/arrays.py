@@ -25,10 +25,14 @@ WORDY[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = Tru
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_TABLE = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Modulus of the prefix hashes, a Mersenne prime: modulo 2**64 strings that fold evenly collide whatever the base.
+PRIME = (1 << 61) - 1
+_P, _31, _30, _61 = np.uint64(PRIME), np.uint64(31), np.uint64(30), np.uint64(61)
+_LOW31, _LOW30 = np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+_BASE = 0x1E3779B97F4A7C15 % PRIME
+#: Elements whose halves are summed before the sums are reduced.
+_RUN = 1 << 22
+_powers = [np.ones(1, np.uint64)] * 2
 
 
 def pick(docs: DataFrame, *names: str) -> DataFrame:
@@ -103,13 +107,44 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return low
 
 
+def folded(x: np.ndarray) -> np.ndarray:
+    """Modulo PRIME, but for results of up to PRIME + 7."""
+    y = x >> _61
+    y += x & _P
+    return y
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    """Modulo PRIME."""
+    x = folded(x)
+    x -= _P * (x >= _P)
+    return x
+
+
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Modulo PRIME, of folded factors: 2**61 is 1 there, so the upper bits are added to the lower ones."""
+    a1, a0, b1, b0 = a >> _31, a & _LOW31, b >> _31, b & _LOW31
+    middle = a1 * b0
+    middle += a0 * b1
+    a1 *= b1
+    a1 <<= np.uint64(1)
+    a0 *= b0
+    a1 += folded(a0)
+    a1 += middle >> _30
+    middle &= _LOW30
+    middle <<= _31
+    a1 += middle
+    return reduced(a1)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers, over n of them, of the base and of its inverse."""
     if len(_powers[0]) <= n:
-        size = max(n + 1, 2 * len(_powers[0]), SLICE_BYTES + 1)
-        for i, base in enumerate((_BASE, _BASE_INVERSE)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _powers[i] = np.cumprod(p, dtype=np.uint64)
+        for i, base in enumerate((_BASE, pow(_BASE, -1, PRIME))):
+            p = np.ones(1, np.uint64)
+            while len(p) < max(n, SLICE_BYTES) + 1:
+                p = np.concatenate([p, product(p, np.uint64(pow(base, len(p), PRIME)))[: max(n, SLICE_BYTES) + 1 - len(p)]])
+            _powers[i] = p
     return _powers[0], _powers[1]
 
 
@@ -119,18 +154,44 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _summed(x: np.ndarray) -> np.ndarray:
+    """Sums before each element and after the last, modulo PRIME but not reduced."""
+    out = np.zeros(len(x) + 1, np.uint64)
+    for i in range(0, len(x), _RUN):
+        np.cumsum(x[i : i + _RUN], out=out[i + 1 : i + 1 + _RUN])
+        if i:
+            out[i + 1 : i + 1 + _RUN] += np.uint64(int(out[i]) % PRIME)
+    return out
+
+
 class Prefix:
-    """Prefix polynomial hashes modulo 2**64 of a sequence: the hash of any range takes one subtraction and product."""
+    """Prefix polynomial hashes modulo 2**61 - 1 of a sequence: the hash of any range takes one subtraction and product.
+
+    Terms are summed as halves of 30 and 31 bits.
+    """
 
     def __init__(self, values: np.ndarray) -> None:
         """values: bytes, or 64-bit hashes of words."""
         n = len(values)
         up, self.down = powers(n)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((_TABLE[values] if values.dtype == np.uint8 else values) * up[:n], out=self.sums[1:], dtype=np.uint64)
+        if values.dtype == np.uint8:
+            v = values.astype(np.uint64) + np.uint64(1)
+            self.high, self.low = _summed(v * (up[:n] >> _31)), _summed(v * (up[:n] & _LOW31))
+        else:
+            v = product(folded(values), up[:n])
+            self.high, self.low = _summed(v >> _31), _summed(v & _LOW31)
 
     def raw(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return (self.sums[ends] - self.sums[starts]) * self.down[starts]
+        high, low = folded(self.high[ends]), folded(self.low[ends])
+        for sums, x in ((self.high, high), (self.low, low)):
+            x += np.uint64(2 * PRIME)
+            x -= folded(sums[starts])
+        high = folded(high)
+        low += high >> _30
+        high &= _LOW30
+        high <<= _31
+        low += high
+        return product(folded(low), self.down[starts])
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix(self.raw(starts, ends) + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,54 +17,156 @@ from pyspark.sql import DataFrame
 
 from loomsift.llm.arrays import pick, type_of
 
-_PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S | re.I)
+_NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9]*)")
+#: Text and a tag without ``<`` in it, as nearly all are; a look that fails ends at the next ``<``.
+_PLAIN = re.compile(r"([^<]*)<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^<>\"']|\"[^\"<>]*\"|'[^'<>]*')*+)>")
+_MARK = re.compile(r"[>\"']")
+#: Elements whose text is none of the page's, with their ends.
+_HIDDEN = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("script", "style", "noscript", "template")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Opening one of these ends a paragraph, whatever is left open in it.
 _BLOCK = frozenset("address article aside blockquote dd details div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td th thead tr ul".split())
 #: Opening one ends an open one of its kind.
 _SIBLINGS = frozenset("li dt dd td th tr option".split())
+_LISTS = ("ul", "ol", "table", "dl")
 _PUNCTUATION = re.compile(r"[.,;:!?、。！？，；…]")
 _WHITE = re.compile(r"\s+")
 #: A Gaussian of standard deviation 1 over a node and one on each side.
 KERNEL = np.array([0.6065306597126334, 1.0, 0.6065306597126334])
 
 
-def text_nodes(page: str) -> list[tuple[str, int, str]]:
+class TagEnds:
+    """Where tags end: at the first ``>`` outside quotation marks. Each place is looked at a few times, however many tags
+    have no end, for whatever is passed outside quotation marks on the way to none is known to lead there.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.begins: list[int] = []  # of the stretches that lead to no end, in order
+        self.stops: list[int] = []
+
+    def find(self, start: int) -> int:
+        """The place after the end of a tag whose name ends at ``start``; -1 if it has none."""
+        passed, at = [], start
+        while True:
+            k = bisect_right(self.begins, at) - 1
+            m = None if k >= 0 and at <= self.stops[k] else _MARK.search(self.page, at)
+            if m and m.group() == ">":
+                return m.end()
+            passed.append((at, m.start() if m else len(self.page)))
+            after = self.page.find(m.group(), m.end()) if m else -1
+            if after < 0:
+                break
+            at = after + 1
+        known = dict(zip(self.begins, self.stops, strict=True))
+        for s, e in passed:
+            known[s] = max(e, known.get(s, 0))
+        self.begins, self.stops = [], []
+        for s, e in sorted(known.items()):
+            if self.stops and s <= self.stops[-1]:
+                self.stops[-1] = max(self.stops[-1], e)
+            else:
+                self.begins.append(s)
+                self.stops.append(e)
+        return -1
+
+
+def pieces(page: str) -> Iterator[tuple[str, bool, str | None]]:
+    """Texts, with no name, and tags, with whether they close, their lower-case name, and "/" where they close themselves.
+
+    Comments, declarations and what isn't shown are left out; a ``<`` without an end is text.
+    """
+    ends, at, n = TagEnds(page), 0, len(page)
+    begin, last = 0, page.rfind(">")  # of the text that goes on at ``at``
+    plain = _PLAIN.match
+    while at < n:
+        if m := plain(page, at):
+            text, closing, name, attributes = m.groups()
+            if begin < at:
+                text = page[begin : at + len(text)]
+            if text:
+                yield text, False, None
+            end, name, slash = m.end(), name.lower(), "/" if attributes[-1:] == "/" else ""
+        else:
+            open_ = page.find("<", at)
+            if open_ < 0:
+                break
+            if page.startswith("<!--", open_):
+                end = page.find("-->", open_ + 4) + 3
+                end = n if end < 3 else end
+            elif open_ > last:  # no tag ends any more, but a comment may begin
+                open_ = end = page.find("<!--", open_)
+                if end < 0:
+                    break
+            elif page[open_ + 1] in "!?":
+                end = page.find(">", open_) + 1
+            elif not (m := _NAME.match(page, open_ + 1)) or (end := ends.find(m.end())) < 0:
+                at = open_ + 1
+                continue
+            if begin < open_:
+                yield page[begin:open_], False, None
+            begin = at = end
+            if m is None:
+                continue
+            closing, name, slash = m.group(1), m.group(2).lower(), "/" if page[end - 2] == "/" else ""
+        if name in _HIDDEN and not closing:
+            shut = _HIDDEN[name].search(page, end)
+            end = shut.end() if shut else n
+        else:
+            yield slash, bool(closing), name
+        begin = at = end
+    if begin < n:
+        yield page[begin:], False, None
+
+
+class Stack:
+    """Open elements and the number of their path; closing and looking up take no longer for a deep page."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.paths = [0]
+        self.known: dict[tuple[int, str], int] = {}
+        self.places: dict[str, list[int]] = {}
+
+    def __contains__(self, name: str) -> bool:
+        return bool(self.places.get(name))
+
+    def last(self, name: str) -> int:
+        return self.places[name][-1] if name in self else -1
+
+    def push(self, name: str) -> None:
+        self.places.setdefault(name, []).append(len(self.names))
+        self.names.append(name)
+        self.paths.append(self.known.setdefault((self.paths[-1], name), len(self.known) + 1))
+
+    def cut(self, depth: int) -> None:
+        while len(self.names) > depth:
+            self.places[self.names.pop()].pop()
+            self.paths.pop()
+
+
+def text_nodes(page: str) -> list[tuple[int, int, str]]:
     """Path, block and text of each text node that isn't blank, outside the head; a block's nodes belong to one line."""
-    stack: list[str] = []
-    path, block, stale = "", 0, False
+    stack, block = Stack(), 0
     out = []
-    for m in _PIECE.finditer(page):
-        closing, name, attributes = m.group(2), m.group(3), m.group(4)
+    for text, closing, name in pieces(page):
         if name is None:
-            if m.group(0)[0] == "<" and len(m.group(0)) > 1:
-                continue
-            text = m.group(0)
             if not text.isspace() and "head" not in stack:
-                if stale:
-                    path, stale = "/".join(stack), False
-                out.append((path, block, text))
+                out.append((stack.paths[-1], block, text))
             continue
-        name = name.lower()
         if closing:
             if name in stack:
-                while stack.pop() != name:
-                    pass
+                stack.cut(stack.last(name))
         else:
-            if (name == "body" or name in _BLOCK) and "head" in stack and "template" not in stack:
-                while stack.pop() != "head":
-                    pass
+            if (name == "body" or name in _BLOCK) and "head" in stack:
+                stack.cut(stack.last("head"))
             if name in _BLOCK and "p" in stack:
-                while stack.pop() != "p":
-                    pass
-            if name in _SIBLINGS and name in stack:
-                k = len(stack) - 1 - stack[::-1].index(name)
-                if not {"ul", "ol", "table", "dl"} & {*stack[k:]}:
-                    del stack[k:]
-            if name not in _VOID and not attributes.endswith("/"):
-                stack.append(name)
+                stack.cut(stack.last("p"))
+            if name in _SIBLINGS and stack.last(name) > max(map(stack.last, _LISTS)):
+                stack.cut(stack.last(name))
+            if name not in _VOID and text != "/":
+                stack.push(name)
         block += name in _BLOCK or name == "br"
-        stale = True
     return out
 
 
@@ -72,8 +175,7 @@ def content(page: str) -> tuple[str, int, int]:
     nodes = [(p, b, t) for p, b, raw in text_nodes(page) if (t := _WHITE.sub(" ", entities.unescape(raw)).strip())]
     if not nodes:
         return "", 0, 0
-    ids: dict[str, int] = {}
-    path = np.array([ids.setdefault(p, len(ids)) for p, _, _ in nodes])
+    _, path = np.unique([p for p, _, _ in nodes], return_inverse=True)
     fused = np.ones(len(nodes))
     count = np.bincount(path)
     for measure in ([len(t) for _, _, t in nodes], [len(_PUNCTUATION.findall(t)) for _, _, t in nodes]):
@@ -87,16 +189,15 @@ def content(page: str) -> tuple[str, int, int]:
     # the threshold is over paths: all nodes of a path are content or none is
     score = np.bincount(path, fused) / count
     keep = (score >= score.std())[path]
-    lines: list[str] = []
-    last = -1
+    parts: list[str] = []
+    last = None
     for (_, b, t), k in zip(nodes, keep.tolist(), strict=True):
         if k:
-            if b == last:
-                lines[-1] += " " + t
-            else:
-                lines.append(t)
+            if parts:
+                parts.append(" " if b == last else "\n")
+            parts.append(t)
             last = b
-    return "\n".join(lines), len(nodes), int(keep.sum())
+    return "".join(parts), len(nodes), int(keep.sum())
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

@@ -62,7 +62,18 @@ NOTICES = {
 }
 
 _FOLD = bytes(32 if i in (9, 10, 11, 12, 13) else i + 32 if 65 <= i <= 90 else i for i in range(256))
+#: After GNU names a notice goes on as the Free Software Foundation asks it to.
+_GNU = {"gnu general public license": ("GPL", ("2", "3")), "gnu lesser general public license": ("LGPL", ("2.1", "3")), "gnu library general public license": ("LGPL", ("2",)), "gnu affero general public license": ("AGPL", ("3",))}
+for _name, (_short, _versions) in _GNU.items():
+    for _v in _versions:
+        for _sign in (",", ";"):
+            for _word, _end in (("either version", "or-later"), ("version", "only")):
+                NOTICES[f"{_name} as published by the free software foundation{_sign} {_word} {_v}"] = f"{_short}-{_v if '.' in _v else _v + '.0'}-{_end}"
+
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.\-+:]*")
+#: The next token of a line, after blanks only.
+_NEXT = re.compile(rb"(?:[ \t\x0b\x0c]|\xc2\xa0)*([()]|[A-Za-z0-9][A-Za-z0-9.\-+:]*)")
+_BREAK = re.compile(rb"[\r\n]")
 _PRIORITY = {"or": 1, "and": 2, "with": 3}
 
 
@@ -130,22 +141,37 @@ def evaluate(rpn: list[str]) -> int:
     return stack[0][0]
 
 
-def prefix_of_expression(line: str) -> tuple[list[str], str]:
-    """The longest beginning of ``line`` that parses, as postfix order and text; what follows is a comment's end or prose."""
-    tokens = []
-    at = 0
-    for m in _TOKEN.finditer(line):
-        if line[at : m.start()].strip():  # something that can't be in an expression
-            break
-        tokens.append(m)
-        at = m.end()
-    for n in range(len(tokens), 0, -1):
-        text = line[tokens[0].start() : tokens[n - 1].end()]
-        try:
-            return postfix(text), text
-        except ValueError:
-            continue
-    return [], ""
+def prefix_of_expression(source: bytes, start: int, stop: int) -> tuple[list[str], str]:
+    """The longest beginning of ``source[start:stop]`` that parses, as postfix order and text, in one pass over its tokens;
+    what follows is a comment's end, prose or another tag.
+    """
+    begin = end = None
+    operand, depth = True, 0  # whether one is due, and parentheses open
+    while m := _NEXT.match(source, start, stop):
+        token = m.group(1).lower()
+        if token == b"(" or token not in (b")", b"or", b"and", b"with"):
+            if not operand or token.startswith(TAG.encode()):  # another tag ends this one
+                break
+            depth += token == b"("
+            operand = token == b"("
+        else:
+            if operand or (token == b")" and not depth):
+                break
+            depth -= token == b")"
+            operand = token != b")"
+        begin, start = m.start(1) if begin is None else begin, m.end()
+        if not operand and not depth:
+            end = start
+    if end is None:
+        return [], ""
+    text = source[begin:end].decode("utf-8", "replace")
+    return postfix(text), text
+
+
+def _alone(raw: bytes, start: int, end: int) -> bool:
+    """Whether no letter or digit touches a phrase, and no further part of a version follows it."""
+    before, after = raw[max(0, start - 4) : start].decode("utf-8", "ignore")[-1:], raw[end : end + 4].decode("utf-8", "ignore")
+    return not (before.isalnum() or after[:1].isalnum() or (after[:1] == "." and after[1:2].isdigit() and raw[end - 1 : end].isdigit()))
 
 
 def scan(raw: bytes, machine: ahocorasick.Automaton) -> tuple[list[str], list[str], int | None]:
@@ -155,31 +181,31 @@ def scan(raw: bytes, machine: ahocorasick.Automaton) -> tuple[list[str], list[st
     if b"  " in folded:
         folded = re.sub(rb" +", b" ", folded)
         original = re.sub(rb"[ \t]*([ \t\n\x0b\x0c\r])[ \t\n\x0b\x0c\r]*", rb"\1", raw)
-    text = folded.decode("latin-1")
+    # a tag's expression ends with its line, which the folded text no longer shows
+    source = original if len(original) == len(folded) else folded
     names: set[str] = set()
-    expressions: list[str] = []
+    expressions: dict[str, None] = {}
     worst: int | None = None
-    for end, phrase in machine.iter(text):
-        start = end + 1 - len(phrase)
+    stop = -1
+    for last, phrase in machine.iter(folded.decode("latin-1")):
+        end = last + 1
         if phrase == TAG:
-            # a tag's expression ends with its line, which the folded text no longer shows
-            source = original if len(original) == len(folded) else folded
-            stop = min((p for p in (source.find(b"\n", end + 1), source.find(b"\r", end + 1)) if p >= 0), default=len(source))
-            rpn, expression = prefix_of_expression(source[end + 1 : stop].decode("utf-8", "replace"))
+            if stop < end:
+                stop = m.start() if (m := _BREAK.search(source, end)) else len(source)
+            rpn, expression = prefix_of_expression(source, end, stop)
             if not rpn:
                 continue
             category = evaluate(rpn)
             names.update(CATEGORY.get(t.lower(), (t, 0))[0] for i, t in enumerate(rpn) if t.lower() not in _PRIORITY and not (i + 1 < len(rpn) and rpn[i + 1] == "with"))
         else:
-            if text[start - 1 : start].isalnum() or text[end + 1 : end + 2].isalnum():
+            if not _alone(folded, end - len(phrase), end):
                 continue
             expression = NOTICES[phrase]
             category = CATEGORY[expression.lower()][1]
             names.add(expression)
-        if expression not in expressions:
-            expressions.append(expression)
+        expressions[expression] = None
         worst = category if worst is None else max(worst, category)
-    return sorted(names), expressions, worst
+    return sorted(names), [*expressions], worst
 
 
 def license_scan(docs: DataFrame, allow: tuple[str, ...] = ("none", "permissive", "weak_copyleft")) -> DataFrame:

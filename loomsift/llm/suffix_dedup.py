@@ -22,8 +22,8 @@ from loomsift.llm.store import stored
 
 #: Words of the shortest repeat, and of the grams that suffixes are sent by.
 LEAST, GRAM = 50, 8
-#: Words of the rows that are sorted at a time; those of one gram stay together.
-BLOCK_WORDS, BYTES_A_WORD = 1 << 17, 5
+#: Words of the rows that are sorted at a time, those of one gram together, and bytes of text cut up at a time.
+BLOCK_WORDS, BYTES_A_WORD, SLICE = 1 << 16, 5, 1 << 19
 #: Rows of a gram up to which its suffixes are sorted together. Those of a more frequent gram, which may be in any share of
 #: all texts, are grouped by a 128-bit digest of all of their LEAST words instead; the passages are the same either way.
 CROWD = 2048
@@ -121,7 +121,7 @@ class Suffixes:
 
 def _send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part, data, at in slices(batch, "text"):
+        for part, data, at in slices(batch, "text", SLICE):
             row, gram, place, low, high = anchors(data, at)
             text = part.column(0).to_numpy()[row]
             yield pa.record_batch(
@@ -135,7 +135,7 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     the words from one number to another, joined by single spaces.
     """
     for batch in batches:
-        for part, data, at in slices(batch, "text"):
+        for part, data, at in slices(batch, "text", SLICE):
             starts, ends = runs(~SPACE[data], at)
             first = np.searchsorted(starts, at)
             lists = part.column(3)

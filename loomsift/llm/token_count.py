@@ -1,7 +1,7 @@
 """Operator 10: token counts by heap-and-linked-list byte-pair merging.
 
-A pre-token's count is its bytes less the merges made; no identifiers are produced. Counts are kept by hash of the
-pre-token, so that merging runs once for each distinct pre-token of a Python worker.
+A pre-token's count is its bytes less the merges made; no identifiers are produced. Counts are kept by the pre-token's
+bytes, so that merging runs once for each distinct pre-token that a Python worker remembers.
 """
 
 from __future__ import annotations
@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame
 from loomsift.llm.arrays import Prefix, pick, pretokens, rows_of, slices, type_of
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Known pre-tokens that a worker keeps, 12 bytes each; beyond it starts anew. It changes memory and time, never a count.
-KNOWN = 4_000_000
+#: Bytes of known pre-tokens that a worker keeps twice over, each with ENTRY bytes of its own; it forgets those that it
+#: hasn't met since. It changes memory and time, never a count.
+KNOWN, ENTRY = 24 << 20, 120
 
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:
@@ -60,36 +61,42 @@ def merged_count(piece: bytes, ranks: dict[bytes, int]) -> int:
 
 
 class Counter:
-    """Counts of whole batches, with what is known so far in two sorted arrays."""
+    """Counts of whole batches, with what is known so far by its bytes, in a newer and an older half."""
 
     def __init__(self, raw: bytes) -> None:
         self.ranks = read_ranks(raw)
-        self.clear()
-
-    def clear(self) -> None:
-        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.newer: dict[bytes, int] = {}
+        self.older: dict[bytes, int] = {}
+        self.held = 0
+
+    def count(self, piece: bytes) -> int:
+        if (n := self.newer.get(piece)) is None:
+            if (n := self.older.get(piece)) is None:
+                n = merged_count(piece, self.ranks)
+            self.held += len(piece) + ENTRY
+            if self.held > KNOWN:
+                self.older, self.newer, self.held = self.newer, {}, len(piece) + ENTRY
+            self.newer[piece] = n
+        return n
 
     def rows(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         starts, ends = pretokens(data, at)
         out = np.zeros(len(at) - 1, np.int64)
         if not len(starts):
             return out
-        keys, first, inverse = np.unique(Prefix(data).of(starts, ends), return_index=True, return_inverse=True)
-        place = np.searchsorted(self.keys, keys)
-        known = place < len(self.keys)
-        known[known] = self.keys[place[known]] == keys[known]
-        counts = np.empty(len(keys), np.int32)
-        counts[known] = self.counts[place[known]]
-        new = np.flatnonzero(~known)
+        _, first, inverse = np.unique(Prefix(data).raw(starts, ends) ^ ((ends - starts).astype(np.uint64) << np.uint64(61)), return_index=True, return_inverse=True)
         raw = data.tobytes()
-        counts[new] = [merged_count(raw[s:e], self.ranks) for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
-        if len(new):
-            if len(self.keys) + len(new) > KNOWN:
-                self.clear()
-            all_keys = np.concatenate([self.keys, keys[new]])
-            order = np.argsort(all_keys, kind="stable")
-            self.keys, self.counts = all_keys[order], np.concatenate([self.counts, counts[new]])[order]
-        return np.bincount(rows_of(at, starts), counts[inverse], len(out)).astype(np.int64)
+        counts = np.array([self.count(raw[s:e]) for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])[inverse]
+        # a hash isn't a proof: every pre-token is held against the one that it has the hash of
+        other, size = first[inverse], ends - starts
+        differ = size != size[other]
+        byte = np.arange(len(data)) + np.repeat(np.where(differ, 0, starts[other] - starts), size)
+        wrong = np.flatnonzero(data[byte] != data)
+        if len(wrong):
+            differ[np.searchsorted(starts, wrong, "right") - 1] = True
+        for k in np.flatnonzero(differ).tolist():
+            counts[k] = self.count(raw[starts[k] : ends[k]])
+        return np.bincount(rows_of(at, starts), counts, len(out)).astype(np.int64)
 
 
 _counters: dict[int, Counter] = {}
