@@ -197,6 +197,25 @@ class Prefix:
         return mix(self.raw(starts, ends) + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+_odd = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_odd_powers = [np.ones(1, np.uint64)] * 2
+
+
+def quick_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of byte ranges modulo 2**64, three times as fast as those of Prefix; strings can be made that share one, so
+    what they say equal must be compared.
+    """
+    if len(_odd_powers[0]) < len(data):
+        base = 0x9E3779B97F4A7C15
+        for i, b in enumerate((base, pow(base, -1, 1 << 64))):
+            p = np.full(max(len(data), SLICE_BYTES), b, np.uint64)
+            p[0] = 1
+            _odd_powers[i] = np.cumprod(p, dtype=np.uint64)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_odd[data] * _odd_powers[0][: len(data)], out=sums[1:])
+    return (sums[ends] - sums[starts]) * _odd_powers[1][starts]
+
+
 _classes: list[np.ndarray] = []
 LETTER, NUMBER, OTHER, WHITE = 0, 1, 2, 3
 _WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]

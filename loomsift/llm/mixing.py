@@ -15,15 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomsift.llm.arrays import SPACE, mix, pick, runs, type_of, utf8
+from loomsift.llm.arrays import SPACE, mix, pick, rows_of, runs, slices, type_of, utf8
 from loomsift.llm.store import checkpointed
 
 BLOCK_TOKENS = 512
 SHARD_BLOCKS = 1024
 #: Target weight of a source: its tokens to this power, unless weights are given.
 TEMPERATURE = 0.7
-#: Documents packed in order in one task.
-RUN_DOCS = 50_000
+#: Documents packed in order, and shards whose blocks are numbered in order, in one task.
+RUN_DOCS, RUN_SHARDS = 50_000, 4096
 
 
 def permuted(x: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -68,7 +68,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, n_bloc
     nulls = [F.isnull(c).cast("int") for c in ("doc_id", "lang")]
     keyed = rows.where(F.col("text").isNotNull()).withColumns({"k1": F.xxhash64(*nulls, "doc_id", "lang", "source", "text"), "k2": F.xxhash64(F.lit(5), *nulls, "text", "source", "doc_id")})
 
-    counted = keyed.select("k1", "k2", "source", F.regexp_count("text", F.lit("[^ \\t\\n\\x0B\\f\\r]+")).cast("long").alias("n")).where("n > 0")
+    counted = keyed.select("k1", "k2", "source", "text").mapInArrow(_counted, "k1 long, k2 long, source string, n long").where("n > 0")
     meta = checkpointed(counted.groupBy("k1", "k2", "source", "n").agg(F.count("*").alias("copies")))
     stats = {r.source: r for r in meta.groupBy("source").agg(F.sum(F.col("n") * F.col("copies")).alias("tokens"), F.sum("copies").alias("docs"), F.max("copies").alias("copies")).collect()}
     names = sorted(stats)
@@ -113,8 +113,13 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, n_bloc
 
     shards = spark.range(-(-total // shard_blocks)).withColumnRenamed("id", "shard")
     drawn = shards.mapInArrow(draw, "shard long, source string, count long, within long")
-    turns = drawn.withColumn("ended", F.sum("count").over(Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)))
-    slots = turns.mapInArrow(place, "source string, block long, shard long, slot long")
+    # how many blocks of its source earlier shards have drawn, by way of the totals of runs of shards; slots are made by shard
+    drawn = drawn.withColumn("run", F.floor(F.col("shard") / F.lit(RUN_SHARDS)))
+    sums = drawn.groupBy("source", "run").agg(F.sum("count").alias("in_run")).withColumn("earlier", F.sum("in_run").over(Window.partitionBy("source").orderBy("run")) - F.col("in_run"))
+    within_run = F.sum("count").over(Window.partitionBy("source", "run").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))
+    turns = drawn.withColumn("so_far", within_run).join(sums.select("source", "run", "earlier"), ["source", "run"])
+    turns = turns.select("shard", "source", "count", "within", (F.col("earlier") + F.col("so_far")).alias("ended"))
+    slots = turns.repartition("shard").mapInArrow(place, "source string, block long, shard long, slot long")
 
     # the planner takes the slots for as few as the shards they come from; they grow with the corpus and aren't broadcast
     use = pieces.join(slots.hint("merge"), ["source", "block"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("shard", "slot", "block", "position", "first", "after")).alias("pieces"))
@@ -131,6 +136,14 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, n_bloc
     return joined.mapInArrow(cut, f"shard long, slot long, source string, block long, position long, doc_id {type_of(rows, 'doc_id')}, lang string, n_tokens long, text string")
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens of each text in place of it."""
+    for batch in batches:
+        for part, data, at in slices(batch, "text"):
+            n = np.bincount(rows_of(at, runs(~SPACE[data], at)[0]), minlength=part.num_rows)
+            yield pa.record_batch([*part.columns[:3], pa.array(n)], ["k1", "k2", "source", "n"])
+
+
 def _cut(batch: pa.RecordBatch) -> pa.RecordBatch:
     """The pieces of a batch of texts."""
     data, at = utf8(batch.column(3))

@@ -33,10 +33,10 @@ PHRASES = [p.encode() for p in (
 MAX_SYMBOLS = 0.12
 MAX_UPPER = 0.6
 MAX_SEPARATORS = 0.15
-LEAST_DISTINCT = 0.3
+#: Distinct words asked for of a line of LONG_WORDS or over: this share of its words or, as a language's vocabulary grows
+#: with the root of a text's length, this many for the root of their number, whichever is less.
+LEAST_DISTINCT, LEAST_GROWTH = 0.3, 3.0
 LONG_WORDS = 12
-#: Words of a line beyond which no more distinct ones are asked for: the longer a text, the fewer of its words are new.
-MOST_WORDS = 200
 #: Share of a document's characters that may go.
 MAX_LOST = 0.4
 
@@ -96,7 +96,7 @@ def failing(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     new[1:] = (h[order][1:] != h[order][:-1]) | (line[order][1:] != line[order][:-1])
     distinct = np.bincount(line[order][new], minlength=len(starts))
 
-    fails = (symbols > MAX_SYMBOLS * chars) | ((letters >= 20) & (upper > MAX_UPPER * letters)) | (separators > MAX_SEPARATORS * words) | ((words >= LONG_WORDS) & (distinct < LEAST_DISTINCT * np.minimum(words, MOST_WORDS)))
+    fails = (symbols > MAX_SYMBOLS * chars) | ((letters >= 20) & (upper > MAX_UPPER * letters)) | (separators > MAX_SEPARATORS * words) | ((words >= LONG_WORDS) & (distinct < np.minimum(LEAST_DISTINCT * words, LEAST_GROWTH * np.sqrt(words))))
     raw = data.tobytes()
     low = raw.lower()
     for phrase in PHRASES:
@@ -167,7 +167,7 @@ WITH split AS (
       OR length(regexp_replace(x, '{_sql(SYMBOLS)}+', '', 'g')) > {MAX_SYMBOLS} * length(x)
       OR (length(regexp_replace(x, '[^\p{{L}}]+', '', 'g')) >= 20 AND length(regexp_replace(x, '[^\p{{Lu}}]+', '', 'g')) > {MAX_UPPER} * length(regexp_replace(x, '[^\p{{L}}]+', '', 'g')))
       OR regexp_matches(x, '{_sql(BOILERPLATE)}')
-      OR (len(regexp_split_to_array(x, ' +')) >= {LONG_WORDS} AND len(list_distinct(regexp_split_to_array(x, ' +'))) < {LEAST_DISTINCT} * least(len(regexp_split_to_array(x, ' +')), {MOST_WORDS}))
+      OR (len(regexp_split_to_array(x, ' +')) >= {LONG_WORDS} AND len(list_distinct(regexp_split_to_array(x, ' +'))) < least({LEAST_DISTINCT} * len(regexp_split_to_array(x, ' +')), {LEAST_GROWTH}::DOUBLE * sqrt(len(regexp_split_to_array(x, ' +')))))
     )) AS kept
   FROM split
 ), sized AS (

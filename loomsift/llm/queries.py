@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loomsift.llm.bpe import bpe_encode
-from loomsift.llm.exact_dedup import EXACT_SQL, exact_duplicates
+from loomsift.llm.exact_dedup import EXACT_SQL, LIVE_SQL, exact_duplicates
 from loomsift.llm.html_extract import extract_pages
 from loomsift.llm.licenses import license_scan
 from loomsift.llm.mixing import mix_sources
@@ -54,6 +54,11 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read(spark, sf_dir, "documents"))
 
 
+def exact_dedup_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index with deletions: documents that are labelled as bad are no longer live."""
+    return exact_duplicates(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").where("quality = 0"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read(spark, sf_dir, "documents"))
 
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_html": op6_html,
     "op7_near_dedup": op7_near_dedup,
     "op8_exact_dedup": op8_exact_dedup,
+    "exact_dedup_live": exact_dedup_live,
     "op9_mixing": op9_mixing,
     "op10_token_counts": op10_token_counts,
 }
@@ -78,4 +84,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op5_quality": CLEAN_LINES_SQL.replace("{documents}", "documents"),
     "op8_exact_dedup": EXACT_SQL.replace("{documents}", "documents"),
+    "exact_dedup_live": LIVE_SQL.replace("{documents}", "documents").replace("{labels}", "labels"),
 }

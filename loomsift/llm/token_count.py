@@ -14,12 +14,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loomsift.llm.arrays import Prefix, pick, pretokens, rows_of, slices, type_of
+from loomsift.llm.arrays import pick, pretokens, quick_hashes, rows_of, slices, type_of
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Bytes of known pre-tokens that a worker keeps twice over, each with ENTRY bytes of its own; it forgets those that it
 #: hasn't met since. It changes memory and time, never a count.
-KNOWN, ENTRY = 24 << 20, 120
+KNOWN, ENTRY = 64 << 20, 120
 
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:
@@ -84,7 +84,7 @@ class Counter:
         out = np.zeros(len(at) - 1, np.int64)
         if not len(starts):
             return out
-        _, first, inverse = np.unique(Prefix(data).raw(starts, ends) ^ ((ends - starts).astype(np.uint64) << np.uint64(61)), return_index=True, return_inverse=True)
+        _, first, inverse = np.unique(quick_hashes(data, starts, ends), return_index=True, return_inverse=True)
         raw = data.tobytes()
         counts = np.array([self.count(raw[s:e]) for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])[inverse]
         # a hash isn't a proof: every pre-token is held against the one that it has the hash of
