@@ -156,7 +156,7 @@ def exact_duplicates(docs: DataFrame, deleted: DataFrame | None = None) -> DataF
     repeated = repeated_digests(rows, deleted)
     texts = _texts(rows if deleted is None else rows.join(deleted.select("doc_id").distinct(), "doc_id", "left_anti"))
     # equal texts become one before they are shuffled, in each task; then the ids alone are
-    groups = texts.groupBy("d1", "d2").agg(F.min("doc_id").alias("first_id"), F.collect_set("text").alias("same")).join(repeated, ["d1", "d2"], "left_semi")
+    groups = texts.groupBy("d1", "d2").agg(F.min("doc_id").alias("first_id"), F.collect_set("text").alias("same")).join(repeated, ["d1", "d2"])
     groups = groups.select("d1", "d2", F.expr(f"if({_PROVEN} IS NULL, NULL, first_id)").alias("first_id"))
     ids = texts.groupBy("d1", "d2", "doc_id").agg(F.count("*").alias("n"))
     more = F.array_repeat(F.lit(0), (F.col("n") - F.col("doc_id").eqNullSafe(F.col("first_id")).cast("int")).cast("int"))

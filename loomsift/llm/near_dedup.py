@@ -25,6 +25,10 @@ THRESHOLD = 0.5
 HUB_PARTNERS = 512
 #: Bytes of text and number of texts of a block of a large band.
 BLOCK_BYTES, BLOCK_TEXTS = 1 << 22, 1024
+#: Texts of a band from which their places are counted in parts.
+PART_TEXTS = 1 << 16
+#: Hashes that different texts may share.
+COLLIDED = 10_000
 #: Pairs of texts that a shingle has in common from which it is a column of a dense matrix.
 DENSE_PAIRS = 256
 
@@ -290,21 +294,26 @@ def _crowds(linked: DataFrame, labels: DataFrame, texts: DataFrame, threshold: f
     """``a, b``: near copies among all pairs of a band whose ends aren't connected yet, as far as connecting them asks.
 
     In a band of up to three texts the links were all pairs. Larger ones are cut into blocks in order of label, and each
-    pair of blocks that has two labels is a group of its own.
+    pair of blocks that has two labels is a group of its own. Places in the order are sums of two levels, so that no task
+    sees a whole band.
     """
     many = linked.groupBy("band").agg(F.count("*").alias("n"), F.first("hub").alias("hub")).where("n > 2")
     members = linked.join(many.select("band"), "band").select("band", "d").union(many.select("band", F.col("hub").alias("d")))
     members = members.join(labels, "d", "left").withColumn("label", F.coalesce("label", "d"))
     # bands of equal texts are met once
     sums = members.groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n"), F.sum(F.xxhash64("d").cast("decimal(20,0)")).alias("h"))
-    kept = sums.where("least < most").groupBy("n", "h").agg(F.min("band").alias("band")).select("band")
+    kept = sums.where("least < most").groupBy("n", "h").agg(F.min("band").alias("band")).select("band", "n")
     sizes = texts.select("d", F.octet_length("text").cast("long").alias("size"))
-    placed = members.join(kept, "band").join(sizes, "d")
-    order = Window.partitionBy("band").orderBy("label", "d")
-    before = F.sum("size").over(order) - F.col("size")
-    by_bytes, by_texts = F.floor(before / F.lit(BLOCK_BYTES)), F.floor((F.row_number().over(order) - 1) / F.lit(BLOCK_TEXTS))
-    block = by_bytes + by_texts
-    placed = checkpointed(placed.withColumn("block", block).select("band", "block", "d", "label"))
+    eighth = lambda c: F.shiftrightunsigned(c, 56)
+    part = F.when(F.col("n") > PART_TEXTS, eighth("label") * 256 + eighth("d")).otherwise(F.lit(0).cast("long"))
+    placed = members.join(kept, "band").join(sizes, "d").withColumn("part", part)
+    totals = placed.groupBy("band", "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("texts"))
+    earlier = Window.partitionBy("band").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("band", "part", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("bytes", "texts")))
+    order = Window.partitionBy("band", "part").orderBy("label", "d")
+    placed = placed.withColumns({"bytes": F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"), "texts": F.row_number().over(order) - 1})
+    block = F.floor((F.col("bytes") + F.col("bytes_before")) / F.lit(BLOCK_BYTES)) + F.floor((F.col("texts") + F.col("texts_before")) / F.lit(BLOCK_TEXTS))
+    placed = checkpointed(placed.join(totals, ["band", "part"]).withColumn("block", block).select("band", "block", "d", "label"))
     blocks = placed.groupBy("band", "block").agg(F.min("label").alias("least"), F.max("label").alias("most"))
     other = blocks.select("band", F.col("block").alias("j"), F.col("least").alias("least_j"), F.col("most").alias("most_j"))
     tasks = blocks.withColumnRenamed("block", "i").join(other, "band").where("i <= j AND (least < most OR least_j < most_j OR least <> least_j)").select("band", "i", "j")
@@ -315,7 +324,10 @@ def _crowds(linked: DataFrame, labels: DataFrame, texts: DataFrame, threshold: f
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``d, label``: the least one connected with each end of an edge, but for that one itself; large and small stars."""
+    """``d, label``: the least one connected with each end of an edge, but for that one itself; large and small stars.
+
+    A vertex's least neighbour is found by an aggregate and joined to its edges, which are never gathered.
+    """
     now = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen = None
     while True:
@@ -324,26 +336,40 @@ def components(edges: DataFrame) -> DataFrame:
             return now.groupBy(F.col("u").alias("d")).agg(F.min("v").alias("label"))
         seen = state
         both = now.union(now.select("v", "u"))
-        large = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.collect_set("v").alias("vs"))
-        large = large.select(F.explode(F.filter("vs", lambda v: v > F.col("u"))).alias("u"), F.col("m").alias("v"))
-        small = large.groupBy("u").agg(F.min("v").alias("m"), F.collect_set("v").alias("vs"))
-        small = small.select(F.explode(F.concat(F.filter("vs", lambda v: v != F.col("m")), F.array("u"))).alias("u"), F.col("m").alias("v"))
-        now = checkpointed(small.distinct())
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = checkpointed(small.union(least.select("u", "m")).distinct())
 
 
-def _grouped(rows: DataFrame, threshold: float) -> DataFrame:
-    """``doc_id, d, group_id, n`` of the documents in groups; n is their place in the group by ``doc_id``."""
-    keyed = rows.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("d"), "text")
+def _keyed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, d, text, ...`` and the distinct ``doc_id, d``, where d is one text's alone.
+
+    Of 10**10 texts a few share a 64-bit hash; those have a second one mixed in, of which there can be no more than COLLIDED.
+    """
+    d, e = F.xxhash64("text"), F.xxhash64(F.lit(2), "text")
+    some = rows.where("doc_id IS NOT NULL AND text IS NOT NULL")
+    ids = checkpointed(some.select("doc_id", d.alias("d"), e.alias("e")).distinct())
+    shared = [r.d for r in ids.groupBy("d").agg(F.min("e").alias("e"), F.max("e").alias("f")).where("e < f").limit(COLLIDED + 1).collect()]
+    if len(shared) > COLLIDED:
+        raise ValueError(f"over {COLLIDED} hashes are shared by different texts")
+    own = lambda d, e: F.when(d.isin(shared), F.xxhash64(d, e)).otherwise(d) if shared else d
+    return some.withColumn("d", own(d, e)), ids.select("doc_id", own(F.col("d"), F.col("e")).alias("d"))
+
+
+def _grouped(keyed: DataFrame, ids: DataFrame, threshold: float) -> DataFrame:
+    """``doc_id, d, group_id, is_first`` of the documents in groups."""
     signed = keyed.select("d", "text").mapInArrow(_sign, "band long, d long").repartition("band").sortWithinPartitions("band", "d")
     linked = checkpointed(signed.mapInArrow(_link, "band long, hub long, before long, d long"))
     edges = checkpointed(linked.select(F.explode(F.array("hub", "before")).alias("a"), F.col("d").alias("b")).distinct())
-    ids = keyed.select("doc_id", "d").distinct()
     ends = edges.select(F.explode(F.array("a", "b")).alias("d")).distinct()
-    texts = ids.join(ends, "d").groupBy("d").agg(F.min("doc_id").alias("doc_id")).join(keyed, ["doc_id", "d"]).dropDuplicates(["d"]).select("d", "text")
-    texts = checkpointed(texts)
+    # equal texts become one in each task, and are compared
+    texts = keyed.groupBy("d").agg(F.collect_set("text").alias("same")).select("d", F.expr("if(size(same) = 1, same[0], raise_error('two texts have the same hashes'))").alias("text"))
+    texts = checkpointed(texts.join(ends, "d"))
     # a hub's partners are spread over as many groups as their number asks for, to each of which its text goes once
-    groups = F.ceil(F.count("*").over(Window.partitionBy("a")) / F.lit(HUB_PARTNERS))
-    salted = edges.withColumn("salt", F.pmod(F.xxhash64("b"), groups).cast("int"))
+    groups = edges.groupBy("a").agg(F.ceil(F.count("*") / F.lit(HUB_PARTNERS)).alias("groups"))
+    salted = edges.join(groups, "a").select("a", "b", F.pmod(F.xxhash64("b"), "groups").cast("int").alias("salt"))
     hubs = salted.select("a", "salt").distinct().join(texts.withColumnRenamed("d", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
     partners = salted.join(texts.withColumnRenamed("d", "b"), "b").select("a", "salt", "b", "text")
     gathered = hubs.union(partners).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
@@ -351,23 +377,27 @@ def _grouped(rows: DataFrame, threshold: float) -> DataFrame:
     # what hubs and neighbours have connected needs no more pairs; all other pairs of the bands are met
     labels = components(labels.select(F.col("d").alias("a"), F.col("label").alias("b")).union(_crowds(linked, labels, texts, threshold)))
     of = ids.join(labels, "d", "left").withColumn("label", F.coalesce("label", "d"))
-    own = Window.partitionBy("label")
-    placed = of.withColumns({"group_id": F.min("doc_id").over(own), "size": F.count("*").over(own), "n": F.row_number().over(own.orderBy("doc_id", "d"))})
-    return placed.where("size > 1").select("doc_id", "d", "group_id", "n")
+    heads = of.groupBy("label").agg(F.min(F.struct("doc_id", "d")).alias("head"), F.count("*").alias("size")).where("size > 1")
+    return of.join(heads, "label").select("doc_id", "d", F.col("head.doc_id").alias("group_id"), (F.struct("doc_id", "d") == F.col("head")).alias("is_first"))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, group_id``: each document of a group of near copies but its first, and the id of that first one.
 
     Two texts are near copies if the probability Jaccard of their weighted shingles is ``threshold`` or over; groups are
-    connected by such pairs, all of those that share a band. Equal texts are of one group. Null texts and ids are in none; texts without a word, empty ones included, have equal texts only as
-    copies. Rows equal in id and text count as one. Other columns are ignored; an empty table gives no rows.
+    connected by such pairs, all of those that share a band. Equal texts are of one group. Null texts and ids are in none;
+    texts without a word, empty ones included, have equal texts only as copies. Rows equal in id and text count as one. Other columns are ignored; an empty table gives no rows. Texts of one
+    hash are compared, and two that differ stop the job.
     """
-    return _grouped(pick(docs, "doc_id", "text"), threshold).where("n > 1").select("doc_id", "group_id")
+    return _grouped(*_keyed(pick(docs, "doc_id", "text")), threshold).where("NOT is_first").select("doc_id", "group_id")
 
 
 def drop_near_duplicates(docs: DataFrame, *columns: str, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of which ``near_duplicates`` keeps the document, with ``columns``; nulls stay."""
     rows = pick(docs, "doc_id", "text", *(c for c in columns if c not in ("doc_id", "text")))
-    gone = _grouped(rows, threshold).where("n > 1").select("doc_id", "d")
-    return rows.withColumn("d", F.xxhash64("text")).join(gone, ["doc_id", "d"], "left_anti").select(*columns)
+    named = rows.toDF(*(f"c{i}" for i in range(len(rows.columns)))).withColumnsRenamed({"c0": "doc_id", "c1": "text"})
+    keyed, ids = _keyed(named)
+    gone = _grouped(keyed.select("doc_id", "d", "text"), ids, threshold).where("NOT is_first").select("doc_id", "d")
+    place = {c: f"c{i}" if i > 1 else c for i, c in enumerate(rows.columns)}
+    kept = [F.col(place[c]).alias(c) for c in columns]
+    return keyed.join(gone, ["doc_id", "d"], "left_anti").select(*kept).union(named.where("doc_id IS NULL OR text IS NULL").select(*kept))
