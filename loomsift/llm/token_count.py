@@ -34,15 +34,16 @@ def merged_count(piece: bytes, ranks: dict[bytes, int]) -> int:
     nxt = list(range(1, n + 1))  # the linked list; a symbol is known by its first byte and ends where the next begins
     prev = list(range(-1, n))
     alive = bytearray(b"\1" * n)
-    heap = []
-    for i in range(n - 1):
-        rank = ranks.get(piece[i : i + 2])
-        if rank is not None:
-            heap.append((rank, i, i + 2))
+    bits = n.bit_length()
+    mask = (1 << bits) - 1
+    get, push, pop = ranks.get, heapq.heappush, heapq.heappop
+    # an entry is one number: rank, first byte and end of the pair
+    heap = [(rank << bits | i) << bits | i + 2 for i in range(n - 1) if (rank := get(piece[i : i + 2])) is not None]
     heapq.heapify(heap)
     merges = 0
     while heap:
-        _, i, end = heapq.heappop(heap)
+        entry = pop(heap)
+        end, i = entry & mask, entry >> bits & mask
         if not alive[i] or (j := nxt[i]) == n or nxt[j] != end:
             continue  # one of the pair has since been merged
         alive[j] = 0
@@ -50,13 +51,11 @@ def merged_count(piece: bytes, ranks: dict[bytes, int]) -> int:
         merges += 1
         if end < n:
             prev[end] = i
-            rank = ranks.get(piece[i : nxt[end]])
-            if rank is not None:
-                heapq.heappush(heap, (rank, i, nxt[end]))
-        if (p := prev[i]) >= 0:
-            rank = ranks.get(piece[p:end])
-            if rank is not None:
-                heapq.heappush(heap, (rank, p, end))
+            after = nxt[end]
+            if (rank := get(piece[i:after])) is not None:
+                push(heap, (rank << bits | i) << bits | after)
+        if (p := prev[i]) >= 0 and (rank := get(piece[p:end])) is not None:
+            push(heap, (rank << bits | p) << bits | end)
     return n - merges
 
 
