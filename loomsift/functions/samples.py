@@ -9,6 +9,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomsift.functions.store import checkpointed
+
 PROVENANCE = "struct<step_name:string,step_version:string,timestamp:timestamp_ntz,config_hash:string,notes:string>"
 DIAGNOSIS = "struct<mode:string,was_recovered:boolean,evidence:array<boolean>,probe_calls:int,notes:string>"
 FIELDS = {
@@ -40,8 +42,12 @@ def default(name: str) -> Column:
     return F.lit({"task_type": "instruction_following", "metadata": "{}"}.get(name, ""))
 
 
-def as_samples(df: DataFrame, seq: Column | str, source_uri: str | Column = "memory", **columns: Column | str) -> DataFrame:
-    """A frame of samples from expressions for some of the fields; null texts become empty."""
+class Sample(dict):
+    """A finished sample, by fields, that a preprocessing function may return; its row isn't held against any format."""
+
+
+def as_samples(df: DataFrame, seq: Column | str, source_uri: str | Column = "memory", carried: tuple[str, ...] = (), **columns: Column | str) -> DataFrame:
+    """A frame of samples from expressions for some of the fields; null texts become empty. ``carried``: columns beside."""
     made = {"_seq": (F.col(seq) if isinstance(seq, str) else seq).cast("bigint")}
     uri = F.lit(source_uri) if isinstance(source_uri, str) else source_uri
     for name, kind in FIELDS.items():
@@ -54,7 +60,7 @@ def as_samples(df: DataFrame, seq: Column | str, source_uri: str | Column = "mem
         made[name] = c.cast(kind)
     if "id" not in columns:
         made["id"] = sample_id(made["source_uri"], made["_seq"])
-    return df.select(*(c.alias(k) for k, c in made.items()))
+    return df.select(*(c.alias(k) for k, c in made.items()), *carried)
 
 
 def sample_id(*parts: Column) -> Column:
@@ -62,6 +68,21 @@ def sample_id(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("\u0001", *(p.cast("string") for p in parts)), 256), 1, 32)
 
 
+def numbered(df: DataFrame, *order: str, name: str = "_seq") -> DataFrame:
+    """Rows with ``name``, their places from 0 in an order, by the sizes of ranges of it; all ranges are sorted at once."""
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    sorted_ = checkpointed(sorted_)  # the numbers below must be of the ranges that were counted
+    part = F.shiftright("_at", 33)
+    sizes = sorted_.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()
+    starts, at = [], 0
+    for r in sizes:
+        starts.append((r.part, at))
+        at += r.n
+    table = df.sparkSession.createDataFrame(starts or [(0, 0)], "_part long, _start long")
+    placed = sorted_.withColumn("_part", part).join(F.broadcast(table), "_part")
+    return placed.withColumn(name, F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_start")).drop("_at", "_part", "_start")
+
+
 def config_hash(config: dict[str, Any]) -> str:
     return hashlib.sha256(json.dumps(config, sort_keys=True, default=str).encode()).hexdigest()[:16]
 

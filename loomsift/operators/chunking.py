@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomsift.functions.samples import DIAGNOSIS, as_samples, with_provenance
+from loomsift.functions.samples import DIAGNOSIS, as_samples, numbered, with_provenance
 from loomsift.functions.text import tokens
 
 BLOCKS_DDL = "doc string, ord bigint, type string, text string, page int, html string, bbox string"
@@ -145,8 +145,8 @@ def chunk_blocks(blocks: DataFrame, strategy: str = "heading", max_tokens: int =
 
 
 def chunk_samples(chunks: DataFrame, chunk_strategy: str = "heading") -> tuple[DataFrame, DataFrame]:
-    """Chunks as text to model, and the tables left out as rejects; empty chunks give nothing."""
-    placed = chunks.withColumn("_seq", F.xxhash64("doc").bitwiseAND(F.lit((1 << 42) - 1)) * (1 << 20) + F.col("chunk_index"))
+    """Chunks as text to model, in order of document and place, and the tables left out as rejects; empty chunks give nothing."""
+    placed = numbered(chunks, "doc", "chunk_index")
     meta = F.to_json(
         F.struct(
             "page", F.col("heading").alias("parent_heading"), "chunk_index", F.when(F.col("is_table"), "table").otherwise("text").alias("content_type"), F.col("doc").alias("source_file"),

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from loomsift.functions.samples import FIELDS, REJECTED_DDL, SAMPLE_DDL, config_hash
+from loomsift.functions.samples import FIELDS, REJECTED_DDL, SAMPLE_DDL, config_hash, numbered
 from loomsift.functions.store import checkpointed
 from loomsift.operators.judges import clamp, prompt, score_in
 from loomsift.operators.models import LLM, json_of, map_rows
@@ -83,15 +83,16 @@ class Task:
             own = {c: meta[c] for c in CARRIED if c in meta} | child.pop("metadata", {})
             base = {f: [] if t.startswith("array") else None if f == "label" else "" for f, t in FIELDS.items()}
             made_id = hashlib.sha256(f"{row['id']}\1{self.name}\1{k}".encode()).hexdigest()[:32]
-            out.append(base | {"_seq": row["_seq"] * 64 + k, "id": made_id, "source_uri": row["source_uri"], "metadata": json.dumps(own, ensure_ascii=False), "provenance_chain": [*(row["provenance_chain"] or []), record]} | child)
+            out.append(base | {"_seq": row["_seq"], "_child": k, "id": made_id, "source_uri": row["source_uri"], "metadata": json.dumps(own, ensure_ascii=False), "provenance_chain": [*(row["provenance_chain"] or []), record]} | child)
         return out
 
 
 def generate(samples: DataFrame, task: Task) -> tuple[DataFrame, DataFrame]:
-    """Children, and the rows that gave none. The model's replies are written before either is used."""
-    made = checkpointed(map_rows(samples, lambda: task.run_row, StructType.fromDDL(REJECTED_DDL)))
+    """Children, in order of their parents, and the rows that gave none. The model's replies are written before either is used."""
+    made = checkpointed(map_rows(samples, lambda: task.run_row, StructType.fromDDL(f"{REJECTED_DDL}, _child int")))
     columns = StructType.fromDDL(SAMPLE_DDL).fieldNames()
-    return made.where("rejection_reason IS NULL").select(*columns), made.where("rejection_reason IS NOT NULL")
+    children = numbered(made.where("rejection_reason IS NULL").select(*columns, "_child"), "_seq", "_child", name="_n")
+    return children.drop("_seq", "_child").withColumnRenamed("_n", "_seq").select(*columns), made.where("rejection_reason IS NOT NULL").drop("_child")
 
 
 def qa_pairs(text: str) -> list[tuple[str, str]]:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomsift.functions.samples import DIAGNOSIS, FIELDS, as_samples, of_role, with_provenance
+from loomsift.functions.samples import DIAGNOSIS, FIELDS, Sample, as_samples, of_role, sample_id, with_provenance
 from loomsift.sources.detect import Detection, commit
 from loomsift.sources.readers import Source
 
@@ -96,12 +96,15 @@ def loaded(fn: str | Callable | None) -> Callable[[dict[str, Any]], Any] | None:
 
 
 def preprocessed(rows: DataFrame, fn: Callable[[dict[str, Any]], Any]) -> DataFrame:
-    """Rows after a user's function of a dict; nothing returned, or an exception, makes an error of the row."""
+    """Rows after a user's function of a dict; nothing returned, or an exception, makes an error of the row. ``finished``:
+    whether it returned a Sample.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raws, errors = [], []
-            for raw, error in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            raws, errors, finished = [], [], []
+            for raw, error in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                made = None
                 if error is None:
                     try:
                         made = fn(json.loads(raw))
@@ -110,9 +113,19 @@ def preprocessed(rows: DataFrame, fn: Callable[[dict[str, Any]], Any]) -> DataFr
                         error = f"preprocessing_fn_error:{e}"
                 raws.append(raw)
                 errors.append(error)
-            yield pa.record_batch([batch.column(0), pa.array(raws, pa.string()), pa.array(errors, pa.string())], ["line", "raw", "error"])
+                finished.append(error is None and isinstance(made, Sample))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(raws, pa.string()), pa.array(errors, pa.string()), pa.array(finished, pa.bool_())], ["place", "line", "raw", "error", "finished"])
 
-    return rows.select("line", "raw", "error").mapInArrow(run, "line long, raw string, error string")
+    return rows.select("place", "line", "raw", "error").mapInArrow(run, "place long, line long, raw string, error string, finished boolean")
+
+
+def finished_samples(rows: DataFrame, uri: Column) -> DataFrame:
+    """Samples from rows that are samples already, by their fields."""
+    text = lambda name: F.get_json_object("raw", f"$.{name}")
+    made = {name: text(name) if kind == "string" else F.from_json(text(name), kind) for name, kind in FIELDS.items() if name not in ("id", "source_uri", "label", "provenance_chain")}
+    made["responses"], made["reward_scores"] = (F.coalesce(made[k], F.from_json(F.lit("[]"), FIELDS[k])) for k in ("responses", "reward_scores"))
+    own = F.coalesce(F.nullif(text("id"), F.lit("")), sample_id(uri, F.col("_order")))
+    return as_samples(rows, "_order", source_uri=uri, carried=("line",), id=own, label=text("label").try_cast("double"), **made)
 
 
 def projection(found: Detection) -> tuple[dict[str, Column], Column]:
@@ -170,31 +183,40 @@ def projection(found: Detection) -> tuple[dict[str, Column], Column]:
 def ingest(spark: SparkSession, source: Source, ordinal: int = 0) -> tuple[DataFrame, DataFrame, Detection]:
     """Samples and rejects of one source: every row is in exactly one of the two."""
     rows = source.rows(spark)
-    if fn := loaded(source.preprocessing_fn):
-        rows = preprocessed(rows, fn)
+    fn = loaded(source.preprocessing_fn)
+    rows = preprocessed(rows, fn) if fn else rows.withColumn("finished", F.lit(False))
     cells = F.from_json("raw", "map<string,string>")
     rows = rows.withColumn("cells", mapped(cells, source.field_mapping) if source.field_mapping else cells)
-    head = [json.loads(r.t) for r in rows.where("error IS NULL").orderBy("line").limit(source.detection_sample_size).select((out_text(F.col("cells")) if source.field_mapping else F.col("raw")).alias("t")).collect()]
+    text = out_text(F.col("cells")) if source.field_mapping else F.col("raw")
+    head = [json.loads(r.t) for r in rows.where("error IS NULL AND NOT finished").orderBy("place").limit(source.detection_sample_size).select(text.alias("t")).collect()]
     found, refusal = commit(head, source.format)
     made, why = projection(found) if not refusal else ({}, F.lit(refusal))
     missing = [c for c in found.column_map.values() if found.confidence == "high" and source.format != "auto" and all(c not in r for r in head)]
-    reason = F.coalesce("error", F.lit("construction_returned_none") if missing else why)
-    marked = rows.withColumn("rejection_reason", reason).withColumn("_order", F.lit(ordinal).cast("bigint") * (1 << 40) + F.col("line"))
+    reason = F.coalesce("error", F.when(~F.col("finished"), F.lit("construction_returned_none") if missing else why))
+    order = F.lit(ordinal).cast("bigint") * (1 << 40) + F.col("place") + 1
+    marked = rows.withColumn("rejection_reason", reason).withColumn("_order", order)
 
     uri = F.coalesce(F.nullif(F.col("cells")["source_uri"], F.lit("")), F.lit(source.uri))
-    good = marked.where("rejection_reason IS NULL")
-    samples = as_samples(good.withColumn("_uri", uri), "_order", source_uri=F.col("_uri"), **made)
-    # an id of the row's own takes the made one's place
-    own = good.select(F.col("_order").alias("_seq"), F.nullif(F.col("cells")["id"], F.lit("")).alias("_id"))
-    if any("id" in r for r in head):
-        samples = samples.join(own, "_seq").withColumn("id", F.coalesce("_id", "id")).drop("_id")
+    own = {}
+    if any("id" in r for r in head):  # an id of the row's own takes the made one's place
+        own["id"] = F.coalesce(F.nullif(F.col("cells")["id"], F.lit("")), sample_id(uri, F.col("_order")))
+    good = marked.where("rejection_reason IS NULL AND NOT finished")
     notes = {"source_uri": source.uri, "detected_format": found.format, "detection_confidence": found.confidence, "column_map": found.column_map, "field_mapping_applied": bool(source.field_mapping), "detection_warnings": found.warnings, "unrecognized_cols": found.unrecognized}
-    samples = with_provenance(samples, "Connector", F.concat(F.lit(json.dumps(notes)[:-1] + ', "line_number": '), (F.col("_seq") % (1 << 40)).cast("string"), F.lit("}")), notes)
+
+    def recorded(df: DataFrame, notes: dict[str, Any]) -> DataFrame:
+        number = F.concat(F.lit(json.dumps(notes)[:-1] + ', "line_number": '), F.col("line").cast("string"), F.lit("}"))
+        return with_provenance(df, "Connector", number, notes).drop("line")
+
+    samples = recorded(as_samples(good, "_order", source_uri=uri, carried=("line",), **own, **made), notes)
+    if fn:
+        done = finished_samples(marked.where("rejection_reason IS NULL AND finished"), uri)
+        samples = samples.unionByName(recorded(done, {"source_uri": source.uri, "detected_format": "finished_sample"}))
 
     bad = marked.where("rejection_reason IS NOT NULL")
     preview = F.map_from_entries(F.transform(F.slice(F.map_entries("cells"), 1, 5), lambda e: F.struct(e["key"], F.substring(e["value"], 1, 200))))
-    rejected = as_samples(bad.withColumn("_preview", F.to_json(F.struct(preview.alias("raw_preview"), F.col("line").alias("line_number")))), "_order", source.uri, metadata="_preview")
-    rejected = rejected.join(bad.select(F.col("_order").alias("_seq"), "rejection_reason"), "_seq").withColumn("rejecting_step", F.lit("Connector")).withColumn("diagnosis", F.lit(None).cast(DIAGNOSIS))
+    shown = F.to_json(F.struct(preview.alias("raw_preview"), F.col("line").alias("line_number")))
+    rejected = as_samples(bad, "_order", source.uri, carried=("rejection_reason",), metadata=shown)
+    rejected = rejected.withColumn("rejecting_step", F.lit("Connector")).withColumn("diagnosis", F.lit(None).cast(DIAGNOSIS))
     if source.max_samples is not None:
         samples = samples.orderBy("_seq").limit(source.max_samples)
     return samples, rejected, found

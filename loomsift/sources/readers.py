@@ -1,8 +1,12 @@
-"""Readers: every input row becomes one row of ``_seq, line, raw, error``, its cells a JSON object, or an error."""
+"""Readers: every input row becomes one row of ``place, line, raw, error``, its cells a JSON object, or an error.
+
+``line`` is the row's number in its file; ``place`` counts from 0 over all files of the source, in order of file and line.
+"""
 
 from __future__ import annotations
 
 import csv
+import itertools
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -10,37 +14,45 @@ from pathlib import Path
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Splits up to which their table is broadcast; beyond it lines are joined with it by shuffle.
 MOST_SPLITS = 100_000
-RAW_DDL = "line long, raw string, error string"
 ENVELOPE = ("data", "examples", "samples", "records", "items", "dataset", "train")
 
 
 def _numbered(df: DataFrame) -> DataFrame:
-    """Rows of a text source with ``line`` from 1, in order of file and place, without sorting them in one task.
+    """Rows with ``line`` and ``place``, of ``file, start`` and other columns, without sorting them in one task.
 
-    Spark reads a split's lines in order and names the split; lines are numbered within splits, and splits by their sizes.
+    Spark reads a split's rows in order and names the split by its file and start; rows are numbered within splits, and
+    splits by their sizes.
     """
-    placed = df.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")).withColumn("order", F.monotonically_increasing_id())
-    sizes = placed.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("order").alias("first")).orderBy("file", "start").collect()
-    at, base = 0, []
+    others = [c for c in df.columns if c not in ("file", "start")]
+    ordered = df.withColumn("order", F.monotonically_increasing_id())
+    sizes = ordered.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("order").alias("first")).orderBy("file", "start").collect()
+    at, in_file, file, base = 0, 0, None, []
     for r in sizes:
-        base.append((r.file, r.start, at - r.first))
-        at += r.n
-    table = df.sparkSession.createDataFrame(base or [("", 0, 0)], "file string, start long, shift long")
-    return placed.join(F.broadcast(table) if len(base) <= MOST_SPLITS else table, ["file", "start"]).select((F.col("order") + F.col("shift") + 1).alias("line"), "value")
+        in_file, file = (in_file if r.file == file else 0), r.file
+        base.append((r.file, r.start, at - r.first, in_file - r.first))
+        at, in_file = at + r.n, in_file + r.n
+    table = df.sparkSession.createDataFrame(base or [("", 0, 0, 0)], "file string, start long, shift long, file_shift long")
+    placed = ordered.join(F.broadcast(table) if len(base) <= MOST_SPLITS else table, ["file", "start"])
+    return placed.select((F.col("order") + F.col("shift")).alias("place"), (F.col("order") + F.col("file_shift") + 1).alias("line"), *others)
+
+
+def _split() -> list[Column]:
+    return [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """Blank lines count as lines and give no rows; what isn't JSON is an error; a value that isn't an object is wrapped."""
-    lines = _numbered(spark.read.text(path)).withColumn("value", F.trim("value")).where("value <> ''")
+    lines = _numbered(spark.read.text(path).select("value", *_split())).withColumn("value", F.trim("value")).where("value <> ''")
     parsed = lines.withColumn("v", F.expr("try_parse_json(value)"))
     kind = F.expr("schema_of_variant(v)")
     whole = F.when(F.col("v").isNull(), None).when(kind.startswith("OBJECT"), F.col("value")).otherwise(F.concat(F.lit('{"__raw__":'), F.col("value"), F.lit("}")))
-    return parsed.select("line", whole.alias("raw"), F.when(F.col("v").isNull(), F.concat(F.lit("json_decode_error:invalid JSON: "), F.substring("value", 1, 500))).alias("error"))
+    error = F.when(F.col("v").isNull(), F.concat(F.lit("json_decode_error:invalid JSON: "), F.substring("value", 1, 500)))
+    return parsed.select("place", "line", whole.alias("raw"), error.alias("error"))
 
 
 def _records(text: str, data_key: str | None) -> Iterator[tuple[int, str | None, str | None]]:
@@ -64,11 +76,12 @@ def read_json(spark: SparkSession, path: str, data_key: str | None = None) -> Da
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text, file in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found = list(_records(text, data_key))
-                yield pa.record_batch([pa.array([x[k] for x in found], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))], ["line", "raw", "error"])
+                yield pa.record_batch([pa.array([file] * len(found), pa.string()), *(pa.array([x[k] for x in found], pa.string()) for k in (1, 2))], ["file", "raw", "error"])
 
-    return spark.read.text(path, wholetext=True).mapInArrow(rows, RAW_DDL)
+    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    return _numbered(files.mapInArrow(rows, "file string, raw string, error string").withColumn("start", F.lit(0).cast("long")))
 
 
 def sniff(head: str) -> str:
@@ -86,24 +99,30 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, parse
         head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 4096)).first()
         delimiter = sniff(bytes(head[0]).decode("utf-8", "replace")) if head else ","
     df = spark.read.csv(path, header=True, sep=delimiter, multiLine=True, quote='"', escape='"', mode="PERMISSIVE")
-    cells = []
-    for c in df.columns:
+    cells, names = [], df.columns
+    for c in names:
         text = F.coalesce(F.col(f"`{c}`"), F.lit(""))
         listed = F.to_json(F.array(text))
         plain = F.substring(listed, F.lit(2), F.length(listed) - 2)
         if parse_json_cells:
             plain = F.when(text.rlike(r'^\s*[\[{"]') & F.expr(f"try_parse_json(coalesce(`{c}`, '')) IS NOT NULL"), text).otherwise(plain)
         cells.append(F.concat(F.lit(json.dumps(c, ensure_ascii=False) + ":"), plain))
-    return df.select((F.monotonically_increasing_id() + 2).alias("line"), F.concat(F.lit("{"), F.concat_ws(",", *cells), F.lit("}")).alias("raw"), F.lit(None).cast("string").alias("error"))
+    raw = F.concat(F.lit("{"), F.concat_ws(",", *cells), F.lit("}")).alias("raw")
+    rows = _numbered(df.select(raw, *_split()))
+    return rows.select("place", (F.col("line") + 1).alias("line"), "raw", F.lit(None).cast("string").alias("error"))
 
 
 def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """Column projection reaches the scan; nulls become empty text."""
     df = spark.read.parquet(path)
     names = columns or df.columns
-    line = F.coalesce(F.col("_metadata.row_index"), F.monotonically_increasing_id()) + 1
     text = [F.when(F.col(f"`{c}`").isNull(), F.lit(json.dumps(c) + ':""')).otherwise(F.regexp_replace(F.to_json(F.struct(F.col(f"`{c}`").alias(c))), r"^\{|\}$", "")) for c in names]
-    return df.select(line.alias("line"), F.concat(F.lit("{"), F.concat_ws(",", *text), F.lit("}")).alias("raw"), F.lit(None).cast("string").alias("error"))
+    rows = df.select(F.concat(F.lit("{"), F.concat_ws(",", *text), F.lit("}")).alias("raw"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    sizes = df.select(F.col("_metadata.file_path").alias("file")).groupBy("file").agg(F.count("*").alias("n")).orderBy("file").collect()
+    ends = list(itertools.accumulate(r.n for r in sizes))
+    table = spark.createDataFrame([(r.file, end - r.n) for r, end in zip(sizes, ends, strict=True)] or [("", 0)], "file string, shift long")
+    placed = rows.join(F.broadcast(table) if len(sizes) <= MOST_SPLITS else table, "file")
+    return placed.select((F.col("row") + F.col("shift")).alias("place"), (F.col("row") + 1).alias("line"), "raw", F.lit(None).cast("string").alias("error"))
 
 
 def read_dataset(spark: SparkSession, name: str, split: str = "train", subset: str | None = None, columns: list[str] | None = None) -> DataFrame:

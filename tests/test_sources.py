@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from loomsift.functions.samples import Sample
 from loomsift.sources import readers
 from loomsift.sources.build import common_prefix, ingest, ingest_all, normalized_turns, parse_turns, unknown_roles
 from loomsift.sources.detect import detect
@@ -154,3 +155,55 @@ def test_detection_priority():
     assert detect([{"instruction": "a", "output": "b", "label": 1}]).format == "unpaired_preference"
     assert detect([{"instruction": "a", "output": "b"}]).confidence == "high"
     assert detect([{"query": "a", "answer": "b"}]).confidence == "medium"
+
+
+def parts(spark, tmp_path, kind, n, **columns):
+    """n files of rows 0 to 4, 5 to 9, …, named in another order than they are written."""
+    folder = tmp_path / f"many.{kind}"
+    folder.mkdir()
+    for k in range(n):
+        rows = [{"text": f"t{i}", **{c: f(i) for c, f in columns.items()}} for i in range(5 * k, 5 * k + 5)]
+        name = folder / f"{k}.{kind}"
+        if kind == "json":
+            name.write_text(json.dumps({"data": [*rows, 3]}))
+        elif kind == "jsonl":
+            lines(name, *rows, "{")
+        elif kind == "csv":
+            name.write_text("\n".join([",".join(rows[0]), *(",".join(map(str, r.values())) for r in rows)]) + "\n")
+        else:
+            spark.createDataFrame(rows).coalesce(1).write.parquet(str(folder / f"f{k}"))
+    return str(folder / "*") if kind == "parquet" else str(folder)
+
+
+@pytest.mark.parametrize("with_id", [False, True])
+@pytest.mark.parametrize(("kind", "n"), [("parquet", 4), ("json", 3), ("jsonl", 3), ("csv", 3)])
+def test_files_of_one_source(spark, tmp_path, kind, n, with_id):
+    path = parts(spark, tmp_path, kind, n, **({"id": lambda i: f"own{i}"} if with_id else {}))
+    made = {"parquet": lambda: readers.read_parquet(spark, path), "json": lambda: readers.read_json(spark, path), "jsonl": lambda: readers.read_jsonl(spark, path), "csv": lambda: readers.read_csv(spark, path)}[kind]
+    source = Source(path)
+    source.rows = lambda _: made()
+    good, bad, _ = ingest(spark, source, 3)
+    rows = good.orderBy("_seq").collect()
+    assert [r.output for r in rows] == [f"t{i}" for i in range(5 * n)]
+    assert len({r.id for r in rows}) == len({r._seq for r in rows}) == 5 * n
+    if with_id:
+        assert [r.id for r in rows] == [f"own{i}" for i in range(5 * n)]
+    first = {"csv": 2}.get(kind, 1)
+    assert [json.loads(r.provenance_chain[0].notes)["line_number"] for r in rows] == [first + i % 5 for i in range(5 * n)]
+    assert bad.count() == (n if kind in ("json", "jsonl") else 0)
+    assert all(json.loads(r.metadata)["line_number"] == 6 for r in bad.collect())
+    assert len({r._seq for r in bad.collect()} | {r._seq for r in rows}) == bad.count() + 5 * n
+
+
+def test_finished_samples_bypass_detection(spark, tmp_path):
+    path = lines(tmp_path / "x.jsonl", {"foo": 1}, {"foo": 2}, {"foo": 3})
+
+    def fn(row):
+        if row["foo"] == 3:
+            return row
+        return Sample(instruction=f"i{row['foo']}", output="o", task_type="grpo", responses=["a", "b"], label=0.5, metadata={"k": row["foo"]}, **({"id": "own"} if row["foo"] == 2 else {}))
+
+    good, bad, _ = read(spark, path, preprocessing_fn=fn)
+    assert [(r.instruction, r.output, r.task_type, r.responses, r.label, json.loads(r.metadata)) for r in good] == [(f"i{k}", "o", "grpo", ["a", "b"], 0.5, {"k": k}) for k in (1, 2)]
+    assert good[1].id == "own" and good[0].id and good[0].reward_scores == []
+    assert [r.rejection_reason for r in bad] == ["unrecognized_format:no_known_column_pattern"]
