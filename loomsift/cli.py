@@ -1,4 +1,4 @@
-"""Command line: run a configuration, show its plan, or chunk documents."""
+"""Command line: run a configuration, or show its plan."""
 
 from __future__ import annotations
 
@@ -21,6 +21,7 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("-o", "--output-dir", type=Path)
     run.add_argument("--dry-run", action="store_true", help="show the plan only")
     run.add_argument("--reset-index", action="store_true", help="forget the embedding index of earlier runs")
+    run.add_argument("--single-file", action="store_true", help="join each output to one file, instead of a folder of parts")
     run.add_argument("-v", "--verbose", action="store_true")
     return p
 
@@ -31,6 +32,8 @@ def main(argv: list[str] | None = None) -> int:
     changes = {"output_dir": str(args.output_dir)} if args.output_dir else {}
     if args.reset_index:
         changes["embedding_reset_index"] = True
+    if args.single_file:
+        changes["single_file"] = True
     try:
         config = RunConfig.from_yaml(args.config, **changes)
         if args.dry_run:

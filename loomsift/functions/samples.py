@@ -94,9 +94,14 @@ def with_provenance(df: DataFrame, step: str, notes: Column | dict[str, Any], co
     return df.withColumn("provenance_chain", F.array_append("provenance_chain", record.cast(PROVENANCE)))
 
 
+def once(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """``df`` with a column that filters on it don't compute again: none is pushed below what explodes a list."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def split_gate(df: DataFrame, reason: Column, step: str) -> tuple[DataFrame, DataFrame]:
     """Rows whose reason is null, and the others as rejected samples."""
-    marked = df.withColumn("rejection_reason", reason)
+    marked = once(df, reason, "rejection_reason")
     rejected = marked.where("rejection_reason IS NOT NULL").withColumn("rejecting_step", F.lit(step)).withColumn("diagnosis", F.lit(None).cast(DIAGNOSIS))
     return marked.where("rejection_reason IS NULL").drop("rejection_reason"), rejected
 

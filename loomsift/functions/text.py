@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,9 +18,49 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+_WHITE = np.zeros(256, bool)
+_WHITE[[*range(9, 14), *range(28, 33)]] = True
+#: White space beyond ASCII as UTF-8, by its first byte.
+_LONGER: dict[int, list[bytes]] = {}
+for _c in BLANKS:
+    if ord(_c) >= 128:
+        _LONGER.setdefault(_c.encode()[0], []).append(_c.encode())
+
+
+def counted_tokens(texts: pa.Array) -> pa.Array:
+    """Runs without white space of each text, over the bytes of all of them."""
+    texts = texts.cast(pa.large_string())
+    n = len(texts)
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + n + 1] if n else np.zeros(1, np.int64)
+    b = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+    at = at - at[0]
+    dark = ~_WHITE[b]
+    for first, signs in _LONGER.items():
+        where = np.flatnonzero(b == first)
+        for sign in signs if len(where) else ():
+            own = where[where + len(sign) <= len(b)]
+            for k, x in enumerate(sign[1:], 1):
+                own = own[b[own + k] == x]
+            for k in range(len(sign)):
+                dark[own + k] = False
+    before = np.zeros(len(b), bool)
+    before[1:] = dark[:-1]
+    before[at[:-1][at[:-1] < len(b)]] = False
+    total = np.concatenate([[0], np.cumsum(dark & ~before)])
+    return pa.array(np.diff(total[at]).astype(np.int32), mask=texts.is_null().to_numpy(zero_copy_only=False))
+
+
 def n_tokens(text: Column | str) -> Column:
-    """Runs without white space."""
-    return F.regexp_count(col(text), F.lit(f"[^{WHITE}]+"))
+    """Runs without white space: one pass over whole batches, many times as fast as a regular expression in the JVM, which
+    would make an array of all tokens.
+    """
+    if not _counter:
+        _counter.append(F.arrow_udf(counted_tokens, "int"))
+    return _counter[0](col(text))
+
+
+_counter: list = []
 
 
 def tokens(text: Column | str) -> Column:

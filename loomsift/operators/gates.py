@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomsift.functions.samples import split_gate, with_provenance
+from loomsift.functions.samples import once, split_gate, with_provenance
 from loomsift.functions.text import PREFERENCE, hygiene_fields, is_task, n_tokens, primary_text, strip
 
 REQUIRED = {
@@ -37,7 +38,7 @@ def schema_reason(required: tuple[str, ...] | None = None, min_tokens: int = 10,
         fields = missing(required) if required else F.lit(None).cast("string")
     null_byte = F.coalesce(*(F.when(F.instr(n, "\0") > 0, F.lit(f"encoding_error:null_byte_in_{n}")) for n in TEXTS))
     text = primary_text()
-    n = counter(text)
+    n = counter(text)  # the planner evaluates it once for all of its uses
     bounds = F.when(strip(text) == "", None).when(n < min_tokens, F.concat(F.lit("below_min_tokens:"), n.cast("string"))).when(n > max_tokens, F.concat(F.lit("above_max_tokens:"), n.cast("string")))
     checks = [fields, null_byte, bounds]
     if task_types is not None:
@@ -70,6 +71,13 @@ SECRETS = {
     "StripeDetector": r"(?:r|s)k_live_[0-9a-zA-Z]{24}",
     "TwilioKeyDetector": r"(?:AC|SK)[a-z0-9]{32}",
 }
+#: Texts of which a finding has one; a detector looks only where there is one.
+ANCHORS = {
+    "AWSKeyDetector": ("AKIA", "ASIA", "ABIA", "ACCA"), "ArtifactoryDetector": ("AKC",), "AzureStorageKeyDetector": ("AccountKey=",), "BasicAuthDetector": ("://",),
+    "GitHubTokenDetector": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), "GitLabTokenDetector": ("glpat-", "gldt-", "glrt-"), "JwtTokenDetector": ("eyJ",), "MailchimpDetector": ("-us",),
+    "NpmDetector": ("npm_",), "OpenAIDetector": ("sk-",), "PrivateKeyDetector": ("-----BEGIN",), "SendGridDetector": ("SG.",), "SlackDetector": ("xox",),
+    "StripeDetector": ("k_live_",), "TwilioKeyDetector": ("AC", "SK"), "HexHighEntropyString": ("'", '"'), "Base64HighEntropyString": ("'", '"'), "KeywordDetector": ("'", '"'),
+}
 KEYWORD = {"KeywordDetector": r"(?i)(?:api_?key|secret|passw(?:or)?d|token|private_?key)\s*[:=]\s*[\"'][^\"'\s]{4,}[\"']"}
 #: Quoted strings whose entropy is measured, by their alphabet.
 QUOTED = {"HexHighEntropyString": (r"[\"']([0-9a-fA-F]{8,})[\"']", 3.0), "Base64HighEntropyString": (r"[\"']([A-Za-z0-9+/\-_]{8,}={0,2})[\"']", 4.5)}
@@ -84,19 +92,24 @@ def entropy(text: Column) -> Column:
 
 def secret_findings(text: Column, code: bool = False, hex_limit: float = 3.0, base64_limit: float = 4.5) -> Column:
     """``array<string>``: a detector's name for each of its findings in a text."""
+
+    def where_anchored(name: str, found: Column) -> Column:
+        has = reduce(Column.__or__, (F.contains(text, F.lit(a)) for a in ANCHORS[name]))
+        return F.when(has, found).otherwise(F.array().cast("array<string>"))
+
     plain = SECRETS | (KEYWORD if code else {})
-    parts = [F.array_repeat(F.lit(name), F.regexp_count(text, F.lit(p))) for name, p in plain.items()]
+    parts = [where_anchored(name, F.array_repeat(F.lit(name), F.regexp_count(text, F.lit(p)))) for name, p in plain.items()]
     for name, (p, _) in QUOTED.items():
         limit = hex_limit if name.startswith("Hex") else base64_limit
         high = F.filter(F.regexp_extract_all(text, F.lit(p), F.lit(1)), lambda s: entropy(s) > limit)  # noqa: B023
-        parts.append(F.transform(high, lambda _: F.lit(name)))
+        parts.append(where_anchored(name, F.transform(high, lambda _: F.lit(name))))  # noqa: B023
     return F.concat(*parts)
 
 
 def secrets_found(samples: DataFrame, fields: tuple[str, ...] | None = None, code_corpus_mode: bool = False, **limits: float) -> DataFrame:
     """``samples`` with ``findings``, an array of (field, type)."""
     each = F.transform(hygiene_fields(fields), lambda f: F.transform(secret_findings(f["text"], code_corpus_mode, **limits), lambda t: F.struct(f["field"].alias("field"), t.alias("type"))))
-    return samples.withColumn("findings", F.flatten(each))
+    return once(samples, F.flatten(each), "findings")
 
 
 def secrets_gate(samples: DataFrame, fields: tuple[str, ...] | None = None, code_corpus_mode: bool = False, **limits: float) -> tuple[DataFrame, DataFrame]:

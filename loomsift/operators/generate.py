@@ -5,12 +5,11 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from datetime import UTC, datetime
 from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -46,6 +45,10 @@ class Task:
     def children(self, row: Row) -> list[Row]:
         raise NotImplementedError
 
+    def prepared(self, samples: DataFrame) -> DataFrame:
+        """The rows that ``children`` is given, with what it needs beside them."""
+        return samples
+
     def context(self, row: Row) -> str:
         return (row["output"] if row["task_type"] == "language_modeling" and row["output"] else "") or row["input"] or row["output"] or ""
 
@@ -89,7 +92,7 @@ class Task:
 
 def generate(samples: DataFrame, task: Task) -> tuple[DataFrame, DataFrame]:
     """Children, in order of their parents, and the rows that gave none. The model's replies are written before either is used."""
-    made = checkpointed(map_rows(samples, lambda: task.run_row, StructType.fromDDL(f"{REJECTED_DDL}, _child int")))
+    made = checkpointed(map_rows(task.prepared(samples), lambda: task.run_row, StructType.fromDDL(f"{REJECTED_DDL}, _child int")))
     columns = StructType.fromDDL(SAMPLE_DDL).fieldNames()
     children = numbered(made.where("rejection_reason IS NULL").select(*columns, "_child"), "_seq", "_child", name="_n")
     return children.drop("_seq", "_child").withColumnRenamed("_n", "_seq").select(*columns), made.where("rejection_reason IS NOT NULL").drop("_child")
@@ -258,8 +261,24 @@ class ChainOfThought(Task):
         return [{"instruction": row["instruction"], "input": row["input"], "output": f"## Reasoning\n{reasoning}{self.cot_marker}{answer}", "task_type": "instruction_following", "metadata": {"has_cot": True}}]
 
 
-INJECTIONS = ("contradiction", "unsupported_claim", "entity_swap", "number_change")
-ALL_INJECTIONS = (*INJECTIONS, "off_topic", "domain_mismatch", "instruction_quality")
+#: Kinds of wrong answers: of preference pairs, of generated pairs, and of injected ones.
+INJECTIONS = ("contradicts_source", "parametric_drift", "domain_mismatch", "instruction_quality")
+QA_INJECTIONS = (*INJECTIONS[:2], "high_temperature_drift", *INJECTIONS[2:])
+ALL_INJECTIONS = (*INJECTIONS[:2], "cross_chunk_drift", "high_temperature_drift", *INJECTIONS[2:])
+
+
+def planned(samples: DataFrame, share: float, types: tuple[str, ...], seed: int) -> DataFrame:
+    """``samples`` with ``_kind``: a kind each for a share of them, one at least, those of the least keyed hash; else null."""
+    n = samples.count()
+    k = min(n, max(1, round(n * share))) if share > 0 else 0
+    kind = F.element_at(F.array(*map(F.lit, types)), (F.pmod(F.xxhash64("id", F.lit(seed), F.lit("type")), F.lit(len(types))) + 1).cast("int"))
+    return _chosen(samples, seed, F.when(F.col("_place") < k, kind))
+
+
+def _chosen(samples: DataFrame, seed: int, kind: Column) -> DataFrame:
+    """``samples`` with ``_kind`` by ``_place``, their place in order of a keyed hash."""
+    ranked = numbered(samples.select("_seq", "id", F.xxhash64("id", F.lit(seed)).alias("_h")), "_h", "id", "_seq", name="_place")
+    return samples.join(ranked.select("_seq", "id", kind.alias("_kind")).where("_kind IS NOT NULL"), ["_seq", "id"], "left")
 
 
 @dataclass
@@ -277,61 +296,66 @@ class AdversarialPreference(Task):
             kind = self.injection_types[int(chance(self.seed, row["id"], k, "type") * len(self.injection_types))]
             bad = self.ask(row, temperature=0.8, task="bad", kind=kind, instruction=q, context=context) if adversarial else self.ask(row, temperature=1.1, task="answer", instruction=q, context=q)
             if bad.strip():
-                out.append({"instruction": q, "input": context, "chosen": a, "rejected": bad, "task_type": "preference", "metadata": {"adversarial": adversarial, "injection_type": kind if adversarial else None}})
+                out.append({"instruction": q, "input": context, "chosen": a, "rejected": bad, "task_type": "preference", "metadata": {"adversarial": adversarial, "injection_type": kind if adversarial else "naive_high_temp"}})
         return out
 
 
 @dataclass
 class AdversarialQAGeneration(QAGeneration):
-    """Question and answer pairs of which a keyed hash makes a share wrong, by kinds."""
+    """Question and answer pairs, wrong ones for a share of the samples, by kinds."""
 
     injection_rate: float = 0.2
-    injection_types: tuple[str, ...] = (*INJECTIONS, "off_topic")
+    injection_types: tuple[str, ...] = QA_INJECTIONS
     high_temp: float = 1.4
     seed: int = 42
 
+    def prepared(self, samples: DataFrame) -> DataFrame:
+        return planned(samples, self.injection_rate, self.injection_types, self.seed)
+
     def children(self, row: Row) -> list[Row]:
         made = super().children(row)
-        if chance(self.seed, row["id"]) < self.injection_rate:
-            kind = self.injection_types[int(chance(self.seed, row["id"], "type") * len(self.injection_types))]
+        if kind := row.get("_kind"):
             for child in made:
-                child["output"] = self.ask(row, temperature=self.high_temp, task="bad", kind=kind, instruction=child["instruction"], context=child["input"])
+                again = {"task": "answer"} if kind == "high_temperature_drift" else {"task": "bad", "kind": kind}
+                child["output"] = self.ask(row, temperature=self.high_temp, **again, instruction=child["instruction"], context=child["input"])
                 child["metadata"] = {"injected_failure": True, "injection_type": kind}
         return made
 
 
 @dataclass
 class BadSampleInjector:
-    """Replaces answers by wrong ones: a fraction by keyed hash, or counts by kind, those of the least hash."""
+    """Replaces answers by wrong ones: of a share of the samples, or of counts by kind, those of the least keyed hash.
+
+    A sample without question or source, and one for which the model fails, stays as it is.
+    """
 
     llm: LLM
     seed: int = 42
     types: tuple[str, ...] = ALL_INJECTIONS
-    chosen: dict[str, str] = field(default_factory=dict)
-
-    def _row(self, rate: float | None) -> Callable[[Row], list[Row]]:
-        def fn(row: Row) -> list[Row]:
-            kind = row.get("_kind")
-            if rate is not None:
-                kind = self.types[int(chance(self.seed, row["id"], "type") * len(self.types))] if chance(self.seed, row["id"]) < rate else None
-            if kind is None:
-                return [row]
-            bad = self.llm.generate(prompt(task="bad", kind=kind, instruction=row["instruction"], context=row["input"] or row["output"]), temperature=0.9).text
-            meta = json.loads(row["metadata"] or "{}") | {"injected_failure": True, "injection_type": kind, "original_sample_id": row["id"]}
-            return [row | {"output": bad, "metadata": json.dumps(meta, ensure_ascii=False)}]
-
-        return fn
+    high_temp: float = 1.4
 
-    def inject(self, samples: DataFrame, fraction: float) -> DataFrame:
-        return checkpointed(map_rows(samples, lambda: self._row(fraction), samples.schema))
+    def _row(self, row: Row) -> list[Row]:
+        kind, source, question = row.get("_kind"), (row["input"] or "").strip() or (row["output"] or "").strip(), (row["instruction"] or "").strip()
+        if kind is None or not source or not question:
+            return [row]
+        try:
+            if kind == "high_temperature_drift":
+                bad = self.llm.generate(prompt(task="answer", instruction=question, context=source), temperature=self.high_temp).text
+            else:
+                bad = self.llm.generate(prompt(task="bad", kind=kind, instruction=question, context=source), temperature=0.9).text
+        except Exception:  # noqa: BLE001
+            return [row]
+        if not bad.strip():
+            return [row]
+        meta = json.loads(row["metadata"] or "{}") | {"injected_failure": True, "injection_type": kind, "original_sample_id": row["id"]}
+        return [row | {"output": bad, "metadata": json.dumps(meta, ensure_ascii=False)}]
+
+    def inject(self, samples: DataFrame, fraction: float = 0.2) -> DataFrame:
+        return checkpointed(map_rows(planned(samples, fraction, self.types, self.seed), lambda: self._row, samples.schema))
 
     def inject_by_type(self, samples: DataFrame, counts: dict[str, int]) -> DataFrame:
-        order = Window.orderBy("_h", "id")
-        total = sum(counts.values())
-        ranked = samples.select("id", F.xxhash64("id", F.lit(self.seed)).alias("_h")).orderBy("_h", "id").limit(total).withColumn("_n", F.row_number().over(order))
         kind, end = F.lit(None).cast("string"), 0
         for name, n in counts.items():
             end += n
-            kind = F.coalesce(kind, F.when(F.col("_n") <= end, F.lit(name)))
-        marked = samples.join(ranked.select("id", kind.alias("_kind")), "id", "left")
-        return checkpointed(map_rows(marked, lambda: self._row(None), samples.schema))
+            kind = F.coalesce(kind, F.when(F.col("_place") < end, F.lit(name)))
+        return checkpointed(map_rows(_chosen(samples, self.seed, kind), lambda: self._row, samples.schema))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,6 +40,23 @@ PATTERNS: list[tuple[str, re.Pattern[str], float, Callable[[str], bool] | None]]
     ("PHONE_NUMBER", re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\)|\d{3})[ .\-]\d{3}[ .\-]\d{4}\b"), 0.75, None),
     ("US_BANK_NUMBER", re.compile(r"(?i)\b(?:account|acct)\D{0,12}(\d{8,17})\b"), 0.7, None),
 ]
+#: People are known by what stands before them, or by a common first name; places by a list, a state or a street.
+_NAMES = """James John Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Anthony Mark Paul Steven Andrew George Kevin Brian Edward Peter Mary Patricia
+Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Margaret Sandra Ashley Emily Donna Michelle Carol Amanda Laura Anna Maria Julia Sophie Hans Klaus Jürgen
+Wolfgang Stefan Petra Monika Sabine Ursula Pierre Jean Michel Jacques Philippe Marie Nathalie Isabelle José Juan Carlos Miguel Pedro Carmen Pilar Lucía Ahmed Mohammed Fatima Wei Priya Raj""".split()
+_PLACES = """London|Paris|Berlin|Madrid|Rome|Vienna|Munich|Hamburg|Lyon|Marseille|Barcelona|Seville|Amsterdam|Brussels|Zurich|Geneva|Dublin|Edinburgh|Manchester|Lisbon|Warsaw|Prague|Budapest|
+Athens|Istanbul|Moscow|Cairo|Lagos|Nairobi|Mumbai|Delhi|Bangalore|Beijing|Shanghai|Tokyo|Osaka|Seoul|Singapore|Sydney|Melbourne|Toronto|Montreal|Vancouver|Chicago|Boston|Seattle|Houston|
+Philadelphia|Denver|Atlanta|Miami|Los Angeles|San Francisco|New York|Mexico City|Buenos Aires|São Paulo|Germany|France|Spain|Italy|Austria|Switzerland|Netherlands|Belgium|Portugal|Poland|
+Ireland|Scotland|England|Canada|Mexico|Brazil|Argentina|Chile|India|China|Japan|Australia|Nigeria|Kenya|Egypt""".replace("\n", "")
+_WORD = r"[A-ZÀ-Þ][a-zà-ÿ'’\-]+"
+NAMED = [
+    ("PERSON", re.compile(rf"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)\.? ({_WORD}(?: {_WORD}){{0,2}})"), 0.85, None),
+    ("PERSON", re.compile(rf"\b(?:[Mm]y name is|[Nn]ame:|I am called|[Ss]igned,?) ({_WORD}(?: {_WORD}){{0,2}})"), 0.85, None),
+    ("PERSON", re.compile(rf"\b((?:{'|'.join(_NAMES)})(?: [A-Z]\.)? {_WORD})"), 0.8, None),
+    ("LOCATION", re.compile(rf"\b(?:{_PLACES})\b"), 0.8, None),
+    ("LOCATION", re.compile(rf"\b{_WORD}(?: {_WORD})?, (?:A[KLRZ]|C[AOT]|D[CE]|FL|GA|HI|I[ADLN]|K[SY]|LA|M[ADEINOST]|N[CDEHJMVY]|O[HKR]|PA|RI|S[CD]|T[NX]|UT|V[AT]|W[AIVY])\b(?: \d{{5}})?"), 0.85, None),
+    ("LOCATION", re.compile(rf"\b\d{{1,5}} {_WORD}(?: {_WORD})? (?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Boulevard|Blvd|Drive|Dr|Square|Court)\b\.?"), 0.85, None),
+]
 #: Clinical types, found only if asked for.
 CLINICAL = [
     ("MEDICAL_LICENSE", re.compile(r"\b[A-Z]{2}\d{7}\b"), 0.7, None),
@@ -57,7 +74,7 @@ _CITY = "Ashford Millbrook Eastvale Norwood Larkfield Stonebridge Fairmont Oakda
 def find_pii(text: str, types: tuple[str, ...], least: float, extra: Recognizer | None = None) -> list[Span]:
     """Spans that don't overlap: of those that do, the one of the higher score, then the longer."""
     spans: list[Span] = []
-    for name, pattern, score, check in [*PATTERNS, *CLINICAL]:
+    for name, pattern, score, check in [*PATTERNS, *NAMED, *CLINICAL]:
         if name in types and score >= least:
             for m in pattern.finditer(text):
                 g = 1 if pattern.groups else 0
@@ -111,46 +128,42 @@ def fake(kind: str, original: str, seed: int) -> str:
 def pseudonymize(samples: DataFrame, entity_types: tuple[str, ...] = DEFAULT_TYPES, fields: tuple[str, ...] | None = None, score_threshold: float = 0.7, faker_seed: int = 42, recognizer: Recognizer | None = None) -> DataFrame:
     """Samples with personal data replaced, alike in all fields of a sample; records count types, never values.
 
-    ``recognizer``: spans of names and places, from a model of the user's.
+    People and places have rules of their own; ``recognizer`` adds spans of a model of the user's. Python sees the texts
+    that are looked at and nothing else.
     """
-    texts = [f for f in ALL_FIELDS if f != "responses"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.to_pylist()
-            for row in rows:
-                counts: dict[str, int] = {}
-
-                def clean(text: str, counts: dict[str, int] = counts) -> str:
-                    for kind, a, b, _ in reversed(find_pii(text, entity_types, score_threshold, recognizer)):
-                        counts[kind] = counts.get(kind, 0) + 1
-                        text = text[:a] + fake(kind, text[a:b], faker_seed) + text[b:]
-                    return text
-
-                chosen = fields or HYGIENE_FIELDS.get(row["task_type"], ALL_FIELDS)
-                for f in chosen:
-                    row[f] = [clean(x) for x in row[f] or []] if f == "responses" else clean(row[f] or "")
-                row["_kinds"], row["_fields"] = [f"{k}:{n}" for k, n in sorted(counts.items())], list(chosen)
-            yield pa.RecordBatch.from_pylist(rows, schema)
-
-    schema = pa.schema([("_seq", pa.int64()), ("id", pa.string()), ("task_type", pa.string()), *((t, pa.string()) for t in texts), ("responses", pa.list_(pa.string())), ("_kinds", pa.list_(pa.string())), ("_fields", pa.list_(pa.string()))])
-    rest = [c for c in samples.columns if c not in (*texts, "responses")]
-    done = samples.select(*rest, *texts, "responses")
-    # all columns ride along, so that no join is needed
-    packed = done.select("_seq", "id", "task_type", *texts, "responses", F.to_json(F.struct(*(c for c in rest if c not in ("_seq", "id", "task_type"))), {"ignoreNullFields": "false"}).alias("_rest"))
-
-    def run_packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = batch.column(batch.schema.get_field_index("_rest"))
-            for out in run(iter([batch.drop_columns(["_rest"])])):
-                yield pa.RecordBatch.from_arrays([*out.columns, kept], names=[*out.schema.names, "_rest"])
-
-    ddl = "_seq long, id string, task_type string, " + ", ".join(f"{t} string" for t in texts) + ", responses array<string>, _kinds array<string>, _fields array<string>, _rest string"
-    out = packed.mapInArrow(run_packed, ddl)
-    types = {f.name: f.dataType for f in samples.schema.fields}
-    others = [c for c in rest if c not in ("_seq", "id", "task_type")]
-    restored = F.from_json("_rest", ", ".join(f"{c} {types[c].simpleString()}" for c in others))
-    out = out.withColumn("_r", restored).select(*(F.col(f"_r.{c}").alias(c) if c in others else F.col(c) for c in samples.columns), "_kinds", "_fields")
+    scalars = [f for f in ALL_FIELDS if f != "responses"]
+
+    def replaced(texts: list[str | None] | None, counts: dict[str, int]) -> list[str | None] | None:
+        if texts is None:
+            return None
+        out = []
+        for text in texts:
+            for kind, a, b, _ in reversed(find_pii(text, entity_types, score_threshold, recognizer)) if text else ():
+                counts[kind] = counts.get(kind, 0) + 1
+                text = text[:a] + fake(kind, text[a:b], faker_seed) + text[b:]
+            out.append(text)
+        return out
+
+    @F.arrow_udf("struct<texts:array<string>,responses:array<string>,kinds:array<string>>")
+    def clean(texts: pa.Array, responses: pa.Array) -> pa.Array:
+        found = []
+        for one, more in zip(texts.to_pylist(), responses.to_pylist(), strict=True):
+            counts: dict[str, int] = {}
+            found.append((replaced(one, counts), replaced(more, counts), [f"{k}:{n}" for k, n in sorted(counts.items())]))
+        lists = [pa.array([x[k] for x in found], pa.list_(pa.string())) for k in range(3)]
+        return pa.StructArray.from_arrays(lists, ["texts", "responses", "kinds"])
+
+    looked_at = F.lit(None).cast("array<string>")
+    if fields:
+        looked_at = F.array(*map(F.lit, fields))
+    else:
+        for task, names in HYGIENE_FIELDS.items():
+            looked_at = F.coalesce(looked_at, F.when(F.col("task_type") == task, F.array(*map(F.lit, names))))
+        looked_at = F.coalesce(looked_at, F.array(*map(F.lit, ALL_FIELDS)))
+    seen = lambda f: F.when(F.array_contains("_fields", f), F.col(f))
+    done = samples.withColumn("_fields", looked_at).withColumn("_done", clean(F.array(*map(seen, scalars)), seen("responses")))
+    kept = {f: F.coalesce(F.col("_done.texts")[i], F.col(f)) for i, f in enumerate(scalars)} | {"responses": F.coalesce("_done.responses", "responses")}
+    out = done.select(*(kept.get(c, F.col(c)).alias(c) for c in samples.columns), F.col("_done.kinds").alias("_kinds"), "_fields")
     counts = F.map_from_entries(F.transform("_kinds", lambda k: F.struct(F.substring_index(k, ":", 1), F.substring_index(k, ":", -1).cast("int"))))
     notes = F.to_json(F.struct(counts.alias("entities_replaced"), F.col("_fields").alias("fields_processed"), F.coalesce(F.aggregate(F.map_values(counts), F.lit(0), lambda a, x: a + x), F.lit(0)).alias("total_replacements")))
     return with_provenance(out, "PIIPseudonymizer", notes, {"entity_types": entity_types, "seed": faker_seed}).drop("_kinds", "_fields")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from loomsift.functions.files import below, write_text
 from loomsift.functions.samples import REJECTED_DDL, SAMPLE_DDL
 from loomsift.functions.store import checkpointed
 from loomsift.operators.embedding import Embedder, embed, hashing_embedder, nearest
@@ -263,9 +264,8 @@ class AdaptivePass2:
         names = StructType.fromDDL(SAMPLE_DDL).fieldNames()
         accepted, still = made.where("rejection_reason IS NULL").select(*names), made.where("rejection_reason IS NOT NULL")
         if folder is not None:
-            Path(folder).mkdir(parents=True, exist_ok=True)
-            write_lines(still.select("_seq", F.to_json(F.struct(*(c for c in still.columns if c != "_seq")), {"ignoreNullFields": "false"}).alias("value")), Path(folder, "rejected_pass2.jsonl"))
-            Path(folder, "pass2_summary.json").write_text(json.dumps(summary, indent=2))
+            write_lines(still.select("_seq", F.to_json(F.struct(*(c for c in still.columns if c != "_seq")), {"ignoreNullFields": "false"}).alias("value")), below(folder, "rejected_pass2.jsonl"))
+            write_text(below(folder, "pass2_summary.json"), json.dumps(summary, indent=2))
         return accepted, still, summary
 
 

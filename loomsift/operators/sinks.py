@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
-import shutil
 import uuid
 import warnings
 from datetime import UTC, datetime
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomsift.functions.files import below, checksums, files_under, opened, remove, write_text
 from loomsift.functions.text import PREFERENCE, is_task, strip
 from loomsift.operators.normalize import assign_splits
 
@@ -81,20 +81,22 @@ def export_lines(samples: DataFrame, form: str) -> DataFrame:
 FILES = {"alpaca": "sft_alpaca.jsonl", "sharegpt": "sft_sharegpt.jsonl", "dpo": "dpo.jsonl", "grpo": "grpo.jsonl", "ppo": "ppo.jsonl", "corpus": "corpus.jsonl"}
 
 
-def write_lines(lines: DataFrame, path: Path, single_file: bool = False) -> None:
-    """JSON lines in order: a folder of parts, which scales, or one file."""
+def write_lines(lines: DataFrame, path: str | Path, single_file: bool = False) -> None:
+    """JSON lines in order: a folder of parts, or one file, to which the parts are joined through the driver."""
     ordered = lines.orderBy("_seq").select("value")
-    path.parent.mkdir(parents=True, exist_ok=True)
     if not single_file:
         ordered.write.mode("overwrite").text(str(path))
         return
-    folder = path.with_name(f".{path.name}-{uuid.uuid4().hex}")
-    ordered.write.text(str(folder))
-    with path.open("wb") as out:
-        for part in sorted(folder.glob("part-*")):
-            with part.open("rb") as f:
-                shutil.copyfileobj(f, out)
-    shutil.rmtree(folder)
+    folder = below(str(path).rpartition("/")[0], f".parts-{uuid.uuid4().hex}")
+    ordered.write.text(folder)
+    system, source = opened(folder)
+    _, target = opened(path)
+    with system.open_output_stream(target) as out:
+        for part in sorted(f.path for f in system.get_file_info(fs.FileSelector(source)) if f.path.rpartition("/")[2].startswith("part-")):
+            with system.open_input_stream(part) as f:
+                while data := f.read(1 << 20):
+                    out.write(data)
+    remove(folder)
 
 
 def warn_if_blank(samples: DataFrame, form: str) -> int:
@@ -121,7 +123,7 @@ def export(samples: DataFrame, forms: list[str], folder: str | Path, split: dict
                 continue
             warn_if_blank(rows, form)
             lines = export_lines(rows, form)
-            write_lines(lines, Path(folder, name, FILES[form]), single_file)
+            write_lines(lines, below(folder, name, FILES[form]), single_file)
             counts[f"{name}/{form}" if name else form] = lines.count()
     return counts
 
@@ -159,15 +161,10 @@ def manifest(passed: DataFrame, rejected: DataFrame, stage_counts: dict[str, dic
     }
 
 
-def write_checksums(folder: str | Path) -> dict[str, str]:
+def write_checksums(spark: SparkSession, folder: str | Path) -> dict[str, str]:
     """``sha256  path`` of all files under the folder but this one."""
-    root = Path(folder)
-    sums = {}
-    for p in sorted(root.rglob("*")):
-        if p.is_file() and p.name != "checksums.txt" and not p.name.startswith("."):
-            with p.open("rb") as f:
-                sums[str(p.relative_to(root))] = hashlib.file_digest(f, "sha256").hexdigest()
-    (root / "checksums.txt").write_text("".join(f"{h}  {name}\n" for name, h in sums.items()))
+    sums = checksums(spark, folder, [n for n in files_under(folder) if n != "checksums.txt"])
+    write_text(below(folder, "checksums.txt"), "".join(f"{h}  {name}\n" for name, h in sums.items()))
     return sums
 
 
@@ -181,12 +178,10 @@ def data_card(m: dict[str, Any], title: str = "Curated dataset") -> str:
 
 def write_reports(folder: str | Path, m: dict[str, Any], rejected: DataFrame, single_file: bool = False, diagnostics: dict[str, Any] | None = None) -> None:
     """Rejects, manifest, diagnostics, card and, last, the checksums of all."""
-    root = Path(folder)
-    root.mkdir(parents=True, exist_ok=True)
     lines = rejected.select("_seq", F.to_json(F.struct(*(c for c in rejected.columns if c != "_seq")), {"ignoreNullFields": "false"}).alias("value"))
-    write_lines(lines, root / "rejected.jsonl", single_file)
-    (root / "manifest.json").write_text(json.dumps(m, indent=2, default=str))
-    (root / "dataset_card.md").write_text(data_card(m))
+    write_lines(lines, below(folder, "rejected.jsonl"), single_file)
+    write_text(below(folder, "manifest.json"), json.dumps(m, indent=2, default=str))
+    write_text(below(folder, "dataset_card.md"), data_card(m))
     if diagnostics is not None:
-        (root / "diagnostic_summary.json").write_text(json.dumps(diagnostics, indent=2))
-    write_checksums(root)
+        write_text(below(folder, "diagnostic_summary.json"), json.dumps(diagnostics, indent=2))
+    write_checksums(rejected.sparkSession, folder)

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomsift.functions import samples as S
-from loomsift.functions.store import checkpointed
+from loomsift.functions.store import checkpointed, own_folder
 from loomsift.functions.text import n_tokens
 from loomsift.operators import chunking, embedding, gates, generate, judges, minhash, normalize, pii, recovery, sinks
 from loomsift.operators.models import FakeLLM
 from loomsift.plans import sql as Q
-from loomsift.sources.build import common_prefix, mapped, normalized_turns, projection
-from loomsift.sources.detect import detect
+from loomsift.sources.build import common_prefix, ingest, ingest_all, mapped, normalized_turns
+from loomsift.sources.readers import Source
 from loomsift.streaming.ingest import windowed_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,7 +121,7 @@ def coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH s AS (SELECT doc_id::VARCHAR AS id, {Q.strip("text")} AS t, least(1.0, len(list_filter(regexp_extract_all(lower(substr(text, 1, 2048)), '[a-z]+'), lambda w: w IN ({", ".join(f"'{w}'" for w in sorted(judges.LEXICON))}))) / 4) AS score FROM documents)
+WITH s AS (SELECT doc_id::VARCHAR AS id, {Q.strip("text")} AS t, least(1.0, len(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: w IN ({", ".join(f"'{w}'" for w in sorted(judges.LEXICON))}))) / 4) AS score FROM documents)
 SELECT id, CASE WHEN t <> '' THEN score END AS score, CASE WHEN t = '' THEN 'no_text' WHEN score < 0.1 THEN 'pass' WHEN score < 0.5 THEN 'judge' ELSE 'reject' END AS band FROM s
 """)
 def toxicity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,15 +263,45 @@ def pii_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("id", F.get_json_object(notes, "$.total_replacements").cast("long").alias("n")).where("n > 0")
 
 
+PLANTED = {
+    "EMAIL_ADDRESS": "write to ann{n}@site.org", "PHONE_NUMBER": "call 555-201-1234 now", "US_SSN": "number 123-45-6789 it is", "IP_ADDRESS": "from 192.168.0.9 then", "CREDIT_CARD": "paid by 4111 1111 1111 1111 there",
+    "IBAN_CODE": "to GB82WEST12345698765432 today", "US_BANK_NUMBER": "into account 123456789 here", "PERSON": "said Dr. Anna Hartmann then", "LOCATION": "at 12 Baker Street again",
+}
+
+
+@query(f"WITH k(i, type) AS (VALUES {', '.join(f'({i}, {t!r})' for i, t in enumerate(PLANTED))}) SELECT doc_id::VARCHAR AS id, type, (1 + doc_id % 2)::INTEGER AS n FROM documents, k WHERE doc_id % 9 = i OR doc_id % 7 = i")
+def pii_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each type of personal data planted in sentences by the documents' ids, counted by type from the step's record."""
+    parts = []
+    for i, text in enumerate(PLANTED.values()):
+        one = F.replace(F.lit(text), F.lit("{n}"), F.col("doc_id").cast("string"))
+        both = F.when(F.col("doc_id") % 2 == 1, F.concat(one, F.lit("; once more "), one)).otherwise(one)
+        parts.append(F.when((F.col("doc_id") % 9 == i) | (F.col("doc_id") % 7 == i), both))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(". ", *parts).alias("text"))
+    done = pii.pseudonymize(S.as_samples(rows, "doc_id", "documents", id=F.col("doc_id").cast("string"), output="text", task_type=F.lit("language_modeling")))
+    counts = F.from_json(F.get_json_object(F.element_at("provenance_chain", -1)["notes"], "$.entities_replaced"), "map<string,int>")
+    return done.select("id", F.explode(counts).alias("type", "n"))
+
+
 # similarity
 
 NEAR = 0.4
 
 
+def given_vectors(texts: list[str]) -> np.ndarray:
+    """An embedder of texts that are lists of numbers."""
+    return np.array([json.loads(t) for t in texts], np.float32)
+
+
+def vector_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").withColumn("numbers", F.to_json("embedding"))
+    return S.as_samples(rows.withColumn("kind", F.col("label")), "vec_id", "embeddings", carried=("kind",), id=F.col("vec_id").cast("string"), output="numbers", task_type=F.lit("language_modeling"))
+
+
 @query(Q.greedy(f"SELECT a.vec_id AS i, b.vec_id AS j FROM v a, v b WHERE a.vec_id < b.vec_id AND list_cosine_similarity(a.e, b.e) >= {NEAR}", "SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings"))
 def diversity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What an ordered scan accepts."""
-    return embedding.greedy_diverse(vectors(spark, sf_dir).select("id", "vec"), NEAR)[0].select(F.col("id").alias("vec_id"))
+    return embedding.diversity_gate(vector_samples(spark, sf_dir).drop("kind"), NEAR, given_vectors)[0].select(F.col("_seq").alias("vec_id"))
 
 
 @query(f"WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) SELECT a.vec_id AS i, b.vec_id AS j, round(list_cosine_similarity(a.e, b.e), 6) AS similarity FROM v a, v b WHERE a.vec_id < b.vec_id AND list_cosine_similarity(a.e, b.e) >= {NEAR}")
@@ -276,16 +309,20 @@ def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.similar_pairs(vectors(spark, sf_dir).select("id", "vec"), NEAR).withColumn("similarity", F.round("similarity", 6))
 
 
-@query(f"""
-WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)
-SELECT a.vec_id FROM v a WHERE a.label >= 5 AND NOT EXISTS (SELECT 1 FROM v b WHERE b.label < 5 AND list_cosine_similarity(a.e, b.e) >= {NEAR})
-""")
+_RUN = f"SELECT a.vec_id AS i, b.vec_id AS j FROM v a, v b WHERE a.vec_id < b.vec_id AND list_cosine_similarity(a.e, b.e) >= {NEAR}"
+_FIRST_RUN = Q.greedy(_RUN, "SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE label < 5")
+
+
+@query(Q.greedy(_RUN, f"""
+SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings n WHERE label >= 5
+AND NOT EXISTS (SELECT 1 FROM embeddings b WHERE b.vec_id IN ({_FIRST_RUN}) AND list_cosine_similarity(n.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= {NEAR})
+"""))
 def cross_run_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table as two runs: the vectors of labels under 5 are the index that the others are held against."""
-    v = vectors(spark, sf_dir)
-    new, index = v.where("label >= 5").select("id", "vec"), v.where("label < 5").select("id", "vec")
-    seen = embedding.greatest_similarity(new, index).where(F.col("similarity") >= NEAR)
-    return new.join(seen, "id", "left_anti").select(F.col("id").alias("vec_id"))
+    """The table as two runs of the deduplicator: what the first keeps is the index that the second is held against."""
+    samples, index = vector_samples(spark, sf_dir), own_folder(spark, "index")
+    embedding.embedding_dedup(samples.where("kind < 5").drop("kind"), index, NEAR, given_vectors)
+    kept = embedding.embedding_dedup(samples.where("kind >= 5").drop("kind"), index, NEAR, given_vectors, append=False)
+    return kept.select(F.col("_seq").alias("vec_id"))
 
 
 @query("""
@@ -316,24 +353,136 @@ def retrieval_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ingest projections
 
 
-def _turn_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw rows of the chat layout: ``line, cells``."""
-    named = F.to_json(F.transform("turns", lambda t: F.struct(F.initcap(t["role"]).alias("from"), t["content"].alias("value"))))
-    return S.turns_of(talk(spark, sf_dir)).select("conv_id", F.create_map(F.lit("conversations"), named, F.lit("topic"), F.concat(F.lit("t"), F.col("conv_id").cast("string"))).alias("cells"))
+def staged(spark: SparkSession, rows: DataFrame, kind: str, parts: int = 3) -> str:
+    """The rows as several files of a format in the shared folder, for the readers to find."""
+    path = own_folder(spark, "source") + f".{kind}"
+    spread = rows.repartition(parts)
+    if kind == "jsonl":
+        spread.select(F.to_json(F.struct("*"))).write.text(path)
+    elif kind == "csv":
+        spread.write.csv(path, header=True, quote='"', escape='"', quoteAll=True)
+    elif kind == "parquet":
+        spread.write.parquet(path)
+    else:  # each file is one document with a list in an envelope
+        data = rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part")).agg(F.to_json(F.struct(F.collect_list(F.struct(*rows.columns)).alias("data"))).alias("value"))
+        for k in range(parts):
+            data.where(F.col("part") == k).select("value").coalesce(1).write.mode("append").text(path)
+    return path
+
+
+def ingested(spark: SparkSession, rows: DataFrame, kind: str = "jsonl", **options: Any) -> DataFrame:
+    return ingest(spark, Source(staged(spark, rows, kind), **options))[0]
+
+
+def meta(name: str) -> Column:
+    return F.get_json_object("metadata", f"$.{name}")
+
+
+@query("SELECT doc_id::VARCHAR AS id, coalesce(text, '') AS output, lang, 'language_modeling' AS task_type FROM documents")
+def read_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as lines of JSON in several files, each line with an id of its own."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "text", "lang")
+    return ingested(spark, rows).select("id", "output", meta("lang").alias("lang"), "task_type")
+
+
+@query("SELECT count(*) AS n, count(*) AS ids, count(*) AS places, count(*) AS line_numbers, 3::BIGINT AS files FROM documents")
+def read_jsonl_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without ids in the rows: every row has an id and a place of its own, and lines are numbered from 1 in each file."""
+    rows = ingested(spark, table(spark, sf_dir, "documents").select(F.coalesce("text", F.lit("")).alias("text")))
+    line = F.get_json_object(F.element_at("provenance_chain", 1)["notes"], "$.line_number").cast("int")
+    return rows.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.count_distinct("_seq").alias("places"), F.count(line).alias("line_numbers"), F.count_if(line == 1).alias("files"))
 
 
 @query(f"""
 WITH t AS ({Q.TURNS}), s AS (SELECT conv_id, turns, CASE WHEN turns[1].role = 'system' THEN turns[1].content END AS system_prompt, CASE WHEN turns[1].role = 'system' THEN turns[2:] ELSE turns END AS talk FROM t)
-SELECT conv_id, coalesce(list_filter(talk, lambda t: t.role = 'user')[1].content, '') AS instruction, coalesce(list_filter(talk, lambda t: t.role = 'assistant')[1].content, '') AS output, 'conversational' AS task_type,
+SELECT conv_id::VARCHAR AS id, coalesce(list_filter(talk, lambda t: t.role = 'user')[1].content, '') AS instruction, coalesce(list_filter(talk, lambda t: t.role = 'assistant')[1].content, '') AS output, 'conversational' AS task_type,
   system_prompt, greatest(len(talk) - 2, 0)::INTEGER AS more_turns, 't' || conv_id AS topic FROM s
 """)
-def sharegpt_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = detect([{"conversations": [{"from": "human", "value": "a"}, {"from": "gpt", "value": "b"}], "topic": "t"}])
-    made, _ = projection(found)
-    rows = _turn_rows(spark, sf_dir).select("conv_id", *(c.alias(k) for k, c in made.items()))
-    get = lambda k: F.get_json_object("metadata", f"$.{k}")
-    more = F.coalesce(F.size(F.from_json(get("turns"), "array<map<string,string>>")), F.lit(0))
-    return rows.select("conv_id", "instruction", "output", "task_type", get("system_prompt").alias("system_prompt"), more.alias("more_turns"), get("topic").alias("topic"))
+def read_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as documents of JSON with a list in an envelope, several files of them, detected and built."""
+    return _built_talk(spark, sf_dir).select("id", "instruction", "output", "task_type", meta("system_prompt").alias("system_prompt"), F.coalesce(F.size(F.from_json(meta("turns"), "array<map<string,string>>")), F.lit(0)).alias("more_turns"), meta("topic").alias("topic"))
+
+
+def _built_talk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = F.transform("turns", lambda t: F.struct(F.initcap(t["role"]).alias("from"), t["content"].alias("value")))
+    rows = S.turns_of(talk(spark, sf_dir)).select(F.col("conv_id").cast("string").alias("id"), named.alias("conversations"), F.concat(F.lit("t"), F.col("conv_id").cast("string")).alias("topic"))
+    return ingested(spark, rows, "json")
+
+
+@query("SELECT event_id::VARCHAR AS id, event_type AS instruction, json_extract_string(props, '$.k')::BIGINT AS k, 'instruction_following' AS task_type FROM events")
+def read_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as CSV with a cell of JSON, several files with headers."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("instruction"), F.col("props").alias("output"))
+    return ingested(spark, rows, "csv").select("id", "instruction", F.get_json_object("output", "$.k").cast("long").alias("k"), "task_type")
+
+
+@query("SELECT coalesce(text, '') AS output, source, count(*) OVER () AS ids FROM documents")
+def read_parquet_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without ids as four files of Parquet; ids and places are unique over all of them."""
+    rows = ingested(spark, table(spark, sf_dir, "documents").select("text", "source"), "parquet")
+    unique = rows.agg(F.least(F.count_distinct("id"), F.count_distinct("_seq")).alias("ids"))
+    return rows.select("output", meta("source").alias("source")).crossJoin(F.broadcast(unique))
+
+
+@query("SELECT CASE WHEN doc_id % 10 = 3 THEN 'json_decode_error' ELSE 'kept' END AS kind, count(*) AS n FROM documents GROUP BY 1")
+def ingest_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line is a sample or a reject with its reason: a tenth of them are cut off."""
+    line = F.to_json(F.struct("text", "lang"))
+    path = own_folder(spark, "source") + ".jsonl"
+    table(spark, sf_dir, "documents").repartition(3).select(F.when(F.col("doc_id") % 10 == 3, F.concat(F.lit("{"), line)).otherwise(line)).write.text(path)
+    good, bad, _ = ingest(spark, Source(path))
+    kinds = good.select(F.lit("kept").alias("kind")).union(bad.select(F.substring_index("rejection_reason", ":", 1)))
+    return kinds.groupBy("kind").agg(F.count("*").alias("n"))
+
+
+_FIRST_PAIR = f"WITH t AS ({Q.TURNS}), s AS (SELECT conv_id, coalesce(list_filter(turns, lambda t: t.role = 'user')[1].content, '') AS instruction, coalesce(list_filter(turns, lambda t: t.role = 'assistant')[1].content, '') AS output FROM t)"
+
+
+@query(f"{_FIRST_PAIR} SELECT conv_id::VARCHAR AS id, instruction, '' AS input, output, 'instruction_following' AS task_type FROM s")
+def alpaca_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = S.samples_sft(talk(spark, sf_dir)).select("id", "instruction", "input", "output")
+    return ingested(spark, rows).select("id", "instruction", "input", "output", "task_type")
+
+
+@query(f"SELECT id, instruction, chosen, rejected, 'preference' AS task_type FROM ({Q.PREFERENCES})")
+def preference_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = S.samples_pref(talk(spark, sf_dir)).select("id", F.col("instruction").alias("prompt"), "chosen", "rejected")
+    return ingested(spark, rows).select("id", "instruction", "chosen", "rejected", "task_type")
+
+
+@query(f"""
+WITH t AS ({Q.TURNS}) SELECT a.conv_id::VARCHAR AS id, len(list_filter(range(1, least(len(a.turns), len(b.turns)) + 1), lambda i: a.turns[1:i] = b.turns[1:i]))::INTEGER AS n_shared, 'implicit_preference' AS task_type
+FROM t a JOIN t b ON b.conv_id = a.conv_id - a.conv_id % 2
+""")
+def implicit_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation and its even neighbour as a pair, whose question is what both begin with."""
+    t = S.turns_of(talk(spark, sf_dir))
+    other = t.select(F.col("conv_id").alias("even"), F.col("turns").alias("rejected"))
+    rows = t.join(other, F.col("even") == F.col("conv_id") - F.col("conv_id") % 2).select(F.col("conv_id").cast("string").alias("id"), F.col("turns").alias("chosen"), "rejected")
+    shared = F.coalesce(F.size(F.from_json("instruction", "array<map<string,string>>")), F.lit(0))
+    return ingested(spark, rows).select("id", F.when(F.col("instruction") == "", 0).otherwise(shared).alias("n_shared"), "task_type")
+
+
+@query("SELECT d.doc_id::VARCHAR AS id, split_part(text, chr(10), 1) AS instruction, text AS output, quality::DOUBLE AS label, 'unpaired_preference' AS task_type FROM documents d JOIN labels l USING (doc_id)")
+def unpaired_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = S.samples_unpaired(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("id", "instruction", "output", (F.col("label") > 0).alias("label"))
+    return ingested(spark, rows).select("id", "instruction", "output", "label", "task_type")
+
+
+@query(f"""
+WITH t AS ({Q.TURNS}), s AS (SELECT conv_id, coalesce(list_filter(turns, lambda t: t.role = 'user')[1].content, '') AS instruction, list_transform(list_filter(turns, lambda t: t.role = 'assistant'), lambda t: t.content) AS answers FROM t)
+SELECT conv_id::VARCHAR AS id, instruction, (k - 1)::INTEGER AS k, answers[k] AS response, round(length(answers[k]) / list_max(list_transform(answers, lambda x: length(x))), 6) AS reward FROM s, unnest(range(1, len(answers) + 1)) AS u(k)
+""")
+def grpo_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = S.samples_grpo(talk(spark, sf_dir)).select("id", F.col("instruction").alias("prompt"), "responses", F.col("reward_scores").alias("rewards"))
+    each = ingested(spark, rows).select("id", "instruction", F.posexplode(F.arrays_zip("responses", "reward_scores")).alias("k", "r"))
+    return each.select("id", "instruction", "k", F.col("r.responses").alias("response"), F.col("r.reward_scores").alias("reward"))
+
+
+@query(f"{_FIRST_PAIR} SELECT conv_id::VARCHAR AS id, instruction, 'prompt_only' AS task_type FROM s")
+def prompt_only_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = S.samples_sft(talk(spark, sf_dir)).select("id", F.col("instruction").alias("prompt"))
+    return ingested(spark, rows).select("id", "instruction", "task_type")
 
 
 @query("SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS i, role, text AS content FROM conversations")
@@ -355,16 +504,6 @@ def implicit_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.join(other, F.col("even") == F.col("conv_id") - F.col("conv_id") % 2).select("conv_id", F.size(common_prefix(F.col("turns"), F.col("others"))).alias("n_shared"))
 
 
-@query("SELECT d.doc_id::VARCHAR AS id, split_part(text, chr(10), 1) AS instruction, text AS output, quality::DOUBLE AS label, 'unpaired_preference' AS task_type FROM documents d JOIN labels l USING (doc_id)")
-def unpaired_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.samples_unpaired(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("id", "instruction", "output", "label", "task_type")
-
-
-@query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
-def json_cell_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
-
-
 @query("SELECT event_id, event_type AS instruction, json_extract_string(props, '$.k') AS output, len(['props', 'instruction', 'output'])::INTEGER AS n_cells FROM events")
 def field_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A plain rename and a dotted path."""
@@ -375,8 +514,11 @@ def field_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT 'documents' AS source_uri, doc_id AS item, {Q.n_tokens('text')}::INTEGER AS n_tokens FROM documents UNION ALL SELECT 'benchmark', item_id, {Q.n_tokens('text')}::INTEGER FROM benchmark")
 def union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = S.as_samples(table(spark, sf_dir, "benchmark"), "item_id", "benchmark", output="text", task_type=F.lit("language_modeling"))
-    return lm(spark, sf_dir).unionByName(items).select("source_uri", F.col("_seq").alias("item"), n_tokens("output").alias("n_tokens"))
+    """A source of JSON lines and one of Parquet, read as one after the other."""
+    one = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
+    two = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("id"), "text")
+    samples, _ = ingest_all(spark, [Source(staged(spark, one, "jsonl"), source_uri="documents"), Source(staged(spark, two, "parquet"), source_uri="benchmark")])
+    return samples.select("source_uri", F.col("id").cast("long").alias("item"), n_tokens("output").alias("n_tokens"))
 
 
 # chunking
@@ -415,24 +557,30 @@ def chunk_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FIRSTS = f"WITH t AS ({Q.TURNS}), s AS (SELECT conv_id, coalesce(list_filter(turns, lambda t: t.role = 'user')[1].content, '') AS instruction, coalesce(list_filter(turns, lambda t: t.role = 'assistant')[1].content, '') AS output FROM t)"
 
 
+def _read_back(samples: DataFrame, form: str, **fields: str) -> DataFrame:
+    """The lines of an export, parsed again."""
+    lines = sinks.export_lines(samples, form)
+    parsed = F.from_json("value", ", ".join(f"{k} {t}" for k, t in fields.items()))
+    return lines.select(F.col("_seq").alias("seq"), parsed.alias("x")).select("seq", "x.*")
+
+
 @query(f"{_FIRSTS} SELECT conv_id AS seq, instruction, '' AS input, output FROM s")
 def export_alpaca(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.alpaca_rows(S.samples_sft(talk(spark, sf_dir))).withColumnRenamed("_seq", "seq")
+    return _read_back(S.samples_sft(talk(spark, sf_dir)), "alpaca", instruction="string", input="string", output="string")
 
 
-@query(f"{_FIRSTS} SELECT conv_id AS seq, 0 AS i, 'human' AS sender, instruction AS value FROM s UNION ALL SELECT conv_id, 1, 'gpt', output FROM s")
+@query(f"""
+WITH t AS ({Q.TURNS}), s AS (SELECT conv_id, CASE WHEN turns[1].role = 'system' THEN turns[2:] ELSE turns END AS talk FROM t),
+r AS (SELECT conv_id, list_concat([struct_pack(role := 'user', content := coalesce(list_filter(talk, lambda t: t.role = 'user')[1].content, '')), struct_pack(role := 'assistant', content := coalesce(list_filter(talk, lambda t: t.role = 'assistant')[1].content, ''))], talk[3:]) AS turns FROM s)
+SELECT conv_id AS seq, (k - 1)::INTEGER AS i, CASE turns[k].role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'gpt' ELSE turns[k].role END AS sender, turns[k].content AS value FROM r, unnest(range(1, len(turns) + 1)) AS u(k)
+""")
 def export_sharegpt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = S.samples_sft(talk(spark, sf_dir)).select(F.col("_seq").alias("seq"), F.posexplode(sinks.sharegpt_turns()).alias("i", "t"))
+    """Conversations that were read, exported again: question, answer, and the further turns that the metadata have."""
+    rows = _built_talk(spark, sf_dir).withColumn("_seq", F.col("id").cast("long"))
+    turns = _read_back(rows, "sharegpt", conversations="array<struct<`from`:string,value:string>>").select("seq", F.posexplode("conversations").alias("i", "t"))
     return turns.select("seq", "i", F.col("t.from").alias("sender"), F.col("t.value").alias("value"))
 
 
-def _read_back(samples: DataFrame, form: str, **fields: str) -> DataFrame:
-    """The lines of an export, parsed again."""
-    lines = sinks.export_lines(samples, form)
-    parsed = F.from_json("value", ", ".join(f"{k} {t}" for k, t in fields.items()))
-    return lines.select(F.col("_seq").alias("seq"), parsed.alias("x")).select("seq", "x.*")
-
-
 @query(f"SELECT id::BIGINT AS seq, instruction AS prompt, chosen, rejected FROM ({Q.PREFERENCES}) WHERE {Q.strip('chosen')} <> '' AND {Q.strip('rejected')} <> ''")
 def export_dpo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read_back(S.samples_pref(talk(spark, sf_dir)), "dpo", prompt="string", chosen="string", rejected="string")
@@ -454,7 +602,8 @@ def export_ppo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id AS seq, text, '' AS source_file, 'documents' AS source_uri, NULL::INTEGER AS page, NULL::VARCHAR AS heading, NULL::INTEGER AS chunk_index, 'text' AS content_type, 'language_modeling' AS task_type, '' AS table_html FROM documents WHERE text <> ''")
 def export_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.corpus_rows(lm(spark, sf_dir)).drop("table_bbox").withColumnRenamed("_seq", "seq")
+    fields = {"text": "string", "source_file": "string", "source_uri": "string", "page": "int", "heading": "string", "chunk_index": "int", "content_type": "string", "task_type": "string", "table_html": "string"}
+    return _read_back(lm(spark, sf_dir), "corpus", **fields)
 
 
 # generation and recovery, by the deterministic stand-in model
@@ -490,6 +639,31 @@ for _name, _task in {
     query()(_run)
 
 
+@query()
+def page_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages to chunks to questions, in order of page and chunk."""
+    return generate.generate(page_chunks(spark, sf_dir), generate.QAGeneration(FakeLLM()))[0].select(F.col("_seq").alias("seq"), "source_uri", "instruction", "output", "task_type")
+
+
+@query()
+def multi_passage_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions over each chunk and the next one of its page."""
+    return generate.generate_multi_passage(page_chunks(spark, sf_dir), generate.QAGeneration(FakeLLM()))[0].select(F.col("_seq").alias("seq"), "source_uri", "instruction", "output")
+
+
+def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = chunking.chunk_blocks(chunking.blocks_of_pages(table(spark, sf_dir, "pages")), "sentence", max_tokens=200)
+    return chunking.chunk_samples(chunks, "sentence")[0]
+
+
+@query(f"SELECT CASE WHEN pick THEN 'injected' ELSE 'clean' END AS kind, count(*) AS n FROM (SELECT row_number() OVER (ORDER BY conv_id) <= greatest(1, round_even(count(*) OVER () * 0.2, 0)) AS pick FROM ({_FIRSTS} SELECT conv_id FROM s WHERE instruction <> '' AND output <> '')) GROUP BY 1")
+def injected_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fifth of the conversations get wrong answers, to the row."""
+    rows = S.samples_sft(talk(spark, sf_dir)).where("instruction <> '' AND output <> ''")
+    out = generate.BadSampleInjector(FakeLLM()).inject(rows, 0.2)
+    return out.groupBy(F.when(meta("injected_failure") == "true", "injected").otherwise("clean").alias("kind")).agg(F.count("*").alias("n"))
+
+
 @query()
 def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.token_stats(questions(spark, sf_dir)[0])
@@ -506,6 +680,34 @@ def probe_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recovery.mode_counts(probed(spark, sf_dir))
 
 
+@query()
+def probe_recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers that a judge refused and a probe's route recovered, with that route."""
+    judge = judges.GroundingJudge(FakeLLM(), 0.3)
+    _, rejected = judges.judge_gate(grounded_samples(spark, sf_dir), judge)
+    made, _ = recovery.probe_rejected(rejected, recovery.DiagnosticProbe(FakeLLM(), judge))
+    route = F.get_json_object(F.element_at("provenance_chain", -1)["notes"], "$.probe_path")
+    return made.select("id", "output", route.alias("route"))
+
+
+@query()
+def refine_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first words of answers, which the reward judge refuses, after one rewrite each: recovered or still refused."""
+    judge = judges.RewardJudge(FakeLLM(), 0.7)
+    short = F.array_join(F.slice(F.split("output", " "), 1, 10), " ")
+    _, rejected = judges.judge_gate(S.samples_sft(talk(spark, sf_dir)).withColumn("input", F.col("output")).withColumn("output", short), judge)
+    again, still = recovery.RewardRefiner(FakeLLM(), judge).refine(rejected)
+    return again.select("id", "output", F.lit(True).alias("recovered")).union(still.select("id", "output", F.lit(False)))
+
+
+@query(f"SELECT doc_id::VARCHAR AS id, CASE WHEN doc_id % 2 = 0 THEN 'source_ambiguous' ELSE 'unknown' END AS mode FROM documents")
+def exhausted_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mode of rejects that no probe helped, by whether a judge's record names claims."""
+    rows = lm(spark, sf_dir)
+    notes = F.when(F.col("_seq") % 2 == 0, F.lit('{"unsupported_claims": ["x"]}')).otherwise("{}")
+    return S.with_provenance(rows, "HallucinationGate", notes).select("id", recovery.exhausted_mode().alias("mode"))
+
+
 @query(Q.SWEEPS)
 def sweep_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What sweeps of up to three temperatures show, their outcomes by the customer's key."""
@@ -568,11 +770,7 @@ def stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type AS category, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly counts by a stream over the events, all that are there."""
-    from uuid import uuid4
-
-    from loomsift.functions.store import shared_folder
-
-    folder = f"{shared_folder(spark)}/stream-{uuid4().hex}"
+    folder = own_folder(spark, "stream")
     source = table(spark, sf_dir, "events")
     stream = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events[.]parquet")  # a glob, for a table may be one file
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import copy
 import dataclasses
-import shutil
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -14,6 +13,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomsift.functions.files import below, remove
 from loomsift.functions.samples import config_hash
 from loomsift.functions.store import checkpointed
 from loomsift.operators import chunking, embedding, gates, generate, judges, minhash, normalize, pii, recovery, sinks
@@ -90,7 +90,7 @@ SETTINGS: dict[str, Any] = {
     # documents
     **_group("chunk", min_section_tokens=30, extract_tables=False, overlap_tokens=50, max_tokens=512, strategy="heading"),
     # output
-    **dict(export_formats=["alpaca", "sharegpt", "dpo"], single_file=True, checkpoint_dir=None),
+    **dict(export_formats=["alpaca", "sharegpt", "dpo"], single_file=False, checkpoint_dir=None),
     **_group("output", split_seed=42, split=None, dir="output"),
 }
 
@@ -263,7 +263,7 @@ class Runner:
         c = self.config
         if not c.enable_checkpoint:
             return [checkpointed(df) for df in make()]
-        folder = f"{c.checkpoint_dir or Path(c.output_dir, 'checkpoints')}/{c.hash()}/{k:02d}-{name}"
+        folder = f"{c.checkpoint_dir or below(c.output_dir, 'checkpoints')}/{c.hash()}/{k:02d}-{name}"
         out, made = [], None
         for i in range(2):
             path = f"{folder}-{i}"
@@ -321,7 +321,7 @@ class Runner:
     def run(self) -> Result:
         c, began = self.config, time.monotonic()
         if c.embedding_dedup and c.embedding_reset_index:
-            shutil.rmtree(c.embedding_index_dir, ignore_errors=True)
+            remove(c.embedding_index_dir)
         samples, rejected, counts = self.read()
         result = self.steps(samples, rejected)
         result.stage_counts = counts | result.stage_counts

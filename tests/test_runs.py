@@ -26,7 +26,7 @@ def messy(path):
 
 def test_a_whole_run(spark, tmp_path):
     out = tmp_path / "out"
-    result = Runner(RunConfig(dataset=messy(tmp_path / "seed.jsonl"), output_dir=out, export_formats=["alpaca", "sharegpt"]), spark).run()
+    result = Runner(RunConfig(dataset=messy(tmp_path / "seed.jsonl"), output_dir=out, export_formats=["alpaca", "sharegpt"], single_file=True), spark).run()
     counts = {k.split(":")[0]: v for k, v in result.stage_counts.items()}
     assert counts["Source0"] == {"output_count": 14, "rejected_count": 1}
     assert counts["SchemaGate"] == {"input_count": 14, "output_count": 10, "probe_recovered": 0, "rejected_count": 4}
@@ -203,12 +203,40 @@ def test_generation_rejects(spark):
 def test_injection(spark):
     df = sample(spark, [{"instruction": "q", "output": "fine answer", "input": "ctx"} for _ in range(20)])
     injector = generate.BadSampleInjector(FakeLLM())
-    out = injector.inject_by_type(df, {"off_topic": 3, "domain_mismatch": 2})
+    out = injector.inject_by_type(df, {"contradicts_source": 3, "domain_mismatch": 2})
     kinds = out.groupBy(F.get_json_object("metadata", "$.injection_type").alias("k")).count().collect()
-    assert {r.k: r["count"] for r in kinds} == {"off_topic": 3, "domain_mismatch": 2, None: 15}
+    assert {r.k: r["count"] for r in kinds} == {"contradicts_source": 3, "domain_mismatch": 2, None: 15}
     assert injector.inject(df, 1.0).where("output = 'fine answer'").count() == 0
+    for fraction, n in ((0.0, 0), (0.01, 1), (0.3, 6), (0.33, 7)):
+        assert injector.inject(df, fraction).where("output <> 'fine answer'").count() == n
+    blank = sample(spark, [{"instruction": "", "output": "fine answer"}])
+    assert injector.inject(blank, 1.0).first().output == "fine answer"
+    made = generate.generate(df, generate.AdversarialQAGeneration(FakeLLM(), injection_rate=0.3, num_questions=1))[0]
+    assert made.where("metadata LIKE '%injected_failure%'").count() == 6
     report = {r.injection_type: r for r in recovery.injection_report(out, out.where("output <> 'fine answer'")).collect()}
-    assert report["all"].recall == 1.0 and report["clean"].recall == 0.0 and report["contradiction"].recall is None
+    assert report["all"].recall == 1.0 and report["clean"].recall == 0.0 and report["parametric_drift"].recall is None
+
+
+def test_children_are_in_order(spark):
+    """Of parents far out and of over 64 children each."""
+    df = sample(spark, [{"instruction": "q", "input": " ".join(f"Sentence {k} of it." for k in range(90))} for _ in range(5)])
+    df = df.withColumn("_seq", F.lit((1 << 62) + 5) - F.col("_seq"))
+    made = generate.generate(df, generate.QAGeneration(FakeLLM(), num_questions=70))[0].orderBy("_seq").collect()
+    assert [r._seq for r in made] == list(range(350)) and len({r.id for r in made}) == 350
+    parents = [json.loads(r.provenance_chain[-1].notes)["source_sample_id"] for r in made]
+    assert parents == [str(i) for i in range(4, -1, -1) for _ in range(70)]
+
+
+def test_chunks_to_questions(spark):
+    rows = [(f"d{k}", i, "paragraph", LONG.format(f"river {k} {i}"), 1, "", None) for k in range(12) for i in range(3)]
+    chunks = chunking.chunk_blocks(spark.createDataFrame(rows, chunking.BLOCKS_DDL), "sentence", max_tokens=25, overlap=0)
+    samples, _ = chunking.chunk_samples(chunks)
+    got = samples.orderBy("_seq").collect()
+    assert [r._seq for r in got] == list(range(len(got))) and [r.source_uri for r in got] == sorted(r.source_uri for r in got)
+    made = generate.generate(samples, generate.QAGeneration(FakeLLM()))[0]
+    assert made.count() == 3 * len(got)
+    both = generate.generate_multi_passage(samples, generate.QAGeneration(FakeLLM(), num_questions=1))[0]
+    assert both.count() == len(got) - 12
 
 
 def test_reply_parsing():
