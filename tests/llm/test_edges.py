@@ -15,7 +15,7 @@ from loomsift.llm.near_dedup import drop_near_duplicates, near_duplicates
 from loomsift.llm.quality import clean_lines
 from loomsift.llm.suffix_dedup import repeated_passages
 from loomsift.llm.token_count import token_counts
-from loomsift.llm.toxicity import toxic_documents
+from loomsift.llm.toxicity import score_texts, toxic_documents, train
 
 DDL = "doc_id long, text string, lang string, source string, n_chars long"
 rng = random.Random(4)
@@ -43,6 +43,13 @@ def ids(df):
     return Counter(r.doc_id for r in df.collect())
 
 
+@pytest.fixture(scope="module")
+def model(spark):
+    """Fitted on the labelled documents of a table."""
+    d = "/root/testdata/sf0.01"
+    return train(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"))
+
+
 def labels(spark):
     return spark.createDataFrame([(1, 0, 1), (8, 1, 0), (None, 1, 1), (9, 1, None)], "doc_id long, quality int, toxic int")
 
@@ -65,14 +72,14 @@ def docs(spark):
     return spark.createDataFrame(ROWS, DDL).repartition(3)
 
 
-def rows(df):
+def rows_of(df):
     return Counter(str(sorted(r.asDict().items())) for r in df.collect())
 
 
 @pytest.mark.parametrize("name", OPERATORS)
 def test_clashing_columns_change_nothing(docs, name):
     more = docs.select("*", F.lit("x").alias("TEXT"), F.lit(1).alias("d"), F.lit("y").alias("a.b"), F.lit(2).alias("band"), F.lit(3).alias("gram"), F.lit(0).alias("Doc_Id"), F.lit(1).alias("block"))
-    assert rows(OPERATORS[name](more)) == rows(OPERATORS[name](docs))
+    assert rows_of(OPERATORS[name](more)) == rows_of(OPERATORS[name](docs))
 
 
 @pytest.mark.parametrize("name", OPERATORS)
@@ -122,6 +129,26 @@ def test_suffix(docs):
     assert got == {(1, 0, 80, True), (5, 0, 80, False), (6, 0, 120_000, True), (7, 0, 120_000, False)}
 
 
+def test_toxicity_of_odd_rows(spark, model):
+    bad = "You stupid worthless idiot, what a pathetic clown and loser."
+    rows = [(1, bad, "en"), (1, bad, "en"), (None, bad, None), (2, bad, "xx"), (3, None, "en"), (4, "", "en"), (5, " \n", None), (6, LONG, "en"), (7, LONG + " " + bad, "en"), (8, "?!", "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = Counter((r.doc_id, r.lang, r.toxic) for r in score_texts(df, model).collect())
+    assert got == Counter({(1, "en", True): 2, (None, None, True): 1, (2, "xx", True): 1, (3, "en", False): 1, (4, "en", False): 1, (5, None, False): 1, (6, "en", False): 1, (7, "en", True): 1, (8, "de", False): 1})
+    more = df.select("*", F.lit("x").alias("TEXT"), F.lit(1).alias("score"), F.lit("y").alias("Lang"))
+    assert rows_of(score_texts(more, model)) == rows_of(score_texts(df.repartition(3), model))
+    assert score_texts(df.where("false"), model).collect() == []
+
+
+def test_toxicity_of_ids_of_letters(spark):
+    """The same model whatever process trains it, and all texts of an id in it."""
+    d = "/root/testdata/sf0.001"
+    named = lambda t: spark.read.parquet(f"{d}/{t}.parquet").withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    docs, marks = named("documents"), named("labels")
+    one, two = train(docs, marks), train(docs.repartition(5).union(docs.limit(5)), marks.repartition(3))
+    assert (one.embedding == two.embedding).all() and one.thresholds == two.thresholds and len(one.thresholds) > 1
+
+
 def test_toxicity_needs_both_classes(spark, docs):
     clean = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     assert toxic_documents(docs, clean).collect() == []
@@ -141,4 +168,4 @@ def test_pages(spark):
     assert (got[1].text, got[1].n_nodes) == (None, 0) and got[2].text == "" and got[3].text == "bare text" and got[None].text == "open" and got[4].text == "deep"
     assert got[5].n_nodes == got[5].n_content == 20_000 and extract_pages(pages).count() == len(data)
     assert extract_pages(pages.where("false")).collect() == []
-    assert rows(extract_pages(pages.select("*", F.lit(1).alias("HTML"), F.lit(2).alias("text")))) == rows(extract_pages(pages))
+    assert rows_of(extract_pages(pages.select("*", F.lit(1).alias("HTML"), F.lit(2).alias("text")))) == rows_of(extract_pages(pages))
