@@ -57,6 +57,17 @@ NAMED = [
     ("LOCATION", re.compile(rf"\b{_WORD}(?: {_WORD})?, (?:A[KLRZ]|C[AOT]|D[CE]|FL|GA|HI|I[ADLN]|K[SY]|LA|M[ADEINOST]|N[CDEHJMVY]|O[HKR]|PA|RI|S[CD]|T[NX]|UT|V[AT]|W[AIVY])\b(?: \d{{5}})?"), 0.85, None),
     ("LOCATION", re.compile(rf"\b\d{{1,5}} {_WORD}(?: {_WORD})? (?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Boulevard|Blvd|Drive|Dr|Square|Court)\b\.?"), 0.85, None),
 ]
+_CAPITALIZED = re.compile(r"[A-ZÀ-Þ][a-zà-ÿ]+")
+_STATE = re.compile(r", [A-Z]{2}\b")
+#: What a text must have for each of NAMED to be looked for: one of some capitalized words, or what a quick look finds.
+_NEEDS: list[frozenset[str] | Callable[[str], object]] = [
+    frozenset("Mr Mrs Ms Dr Prof Herr Frau Monsieur Madame Señor Señora".split()),
+    lambda text: "name is" in text or "ame:" in text or "I am called" in text or "igned" in text,
+    frozenset(_NAMES),
+    frozenset(place.split()[0] for place in _PLACES.split("|")),
+    _STATE.search,
+    frozenset("Street St Avenue Ave Road Rd Lane Ln Boulevard Blvd Drive Dr Square Court".split()),
+]
 #: Clinical types, found only if asked for.
 CLINICAL = [
     ("MEDICAL_LICENSE", re.compile(r"\b[A-Z]{2}\d{7}\b"), 0.7, None),
@@ -74,7 +85,9 @@ _CITY = "Ashford Millbrook Eastvale Norwood Larkfield Stonebridge Fairmont Oakda
 def find_pii(text: str, types: tuple[str, ...], least: float, extra: Recognizer | None = None) -> list[Span]:
     """Spans that don't overlap: of those that do, the one of the higher score, then the longer."""
     spans: list[Span] = []
-    for name, pattern, score, check in [*PATTERNS, *NAMED, *CLINICAL]:
+    words = set(_CAPITALIZED.findall(text)) if "PERSON" in types or "LOCATION" in types else set()
+    named = [rule for rule, needs in zip(NAMED, _NEEDS, strict=True) if (needs(text) if callable(needs) else not needs.isdisjoint(words))]
+    for name, pattern, score, check in [*PATTERNS, *named, *CLINICAL]:
         if name in types and score >= least:
             for m in pattern.finditer(text):
                 g = 1 if pattern.groups else 0

@@ -163,6 +163,16 @@ def test_pii(spark):
     assert {r.id: r.output for r in named.collect()}["1"] == pii.fake("PERSON", "plain", 42)
 
 
+def test_people_and_places():
+    found = lambda t: [(k, t[a:b]) for k, a, b, _ in pii.find_pii(t, pii.DEFAULT_TYPES, 0.7)]
+    text = "I met Dr. Anna Hartmann in Berlin, near 12 Baker Street. My name is Tom Ford. Austin, TX 78701. Maria's son, John Q. Miller, went to São Paulo; signed, Ida Lund"
+    assert found(text) == [("PERSON", "Anna Hartmann"), ("LOCATION", "Berlin"), ("LOCATION", "12 Baker Street."), ("PERSON", "Tom Ford"), ("LOCATION", "Austin, TX 78701"), ("PERSON", "John Q. Miller"), ("LOCATION", "São Paulo"), ("PERSON", "Ida Lund")]
+    assert found("Of all the streets in town this one is named for nobody. Mark it down.") == []
+    for t in (text, "The Drive was long", "New york", "Mr Jones, Paris"):  # what is looked for first changes nothing
+        every = [(n, m.start(1 if p.groups else 0)) for n, p, _, _ in pii.NAMED for m in p.finditer(t)]
+        assert {(k, t.index(x)) for k, x in found(t)} <= set(every) and bool(found(t)) == bool(every)
+
+
 def test_checks():
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
     assert pii.iban_ok("GB82 WEST 1234 5698 7654 32") and not pii.iban_ok("GB83 WEST 1234 5698 7654 32")
