@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from oracle import difference
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomsift.llm import arrays, bpe, html_extract, licenses, mixing, near_dedup, queries, suffix_dedup, token_count, toxicity
@@ -820,3 +821,17 @@ def test_thresholds_move_little_by_little():
         assert last is None or abs(model.thresholds["x"] - last) < 0.08
         last = model.thresholds["x"]
     assert 0.7 < last < 0.8
+
+
+@pytest.mark.parametrize("size", [1 << 27, 20_000])
+def test_toxicity_trains_on_all_labels(spark, monkeypatch, size):
+    """A word that only toxic documents beyond the 4000 of the least hashes have, in one part or several."""
+    monkeypatch.setattr(toxicity, "PART_BYTES", size)
+    rank = F.row_number().over(Window.partitionBy(F.col("id") < 4200).orderBy(F.xxhash64("id")))
+    rows = spark.range(5600).select(F.col("id").alias("doc_id"), F.when(F.col("id") >= 4200, "a quiet garden by the river").when(rank <= 4000, "you stupid idiot by the river").otherwise("a quiet zorgblat by the river").alias("text"), F.lit("en").alias("lang"))
+    rows = spark.createDataFrame(rows.collect(), rows.schema)
+    marks = rows.select("doc_id", (F.col("doc_id") < 4200).cast("int").alias("toxic")).where("doc_id < 5200")
+    chunks, parts = toxicity.labelled(rows.union(rows.limit(50)), marks)
+    assert (parts > 1) == (size == 20_000)
+    assert sorted(toxicity.Counts.of(chunks).n.reshape(-1, 2).sum(0)) == [1000, 4200]
+    assert {r.doc_id for r in toxicity.toxic_documents(rows, marks).collect()} == set(range(4200))
