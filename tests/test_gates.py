@@ -177,3 +177,11 @@ def test_tokens_are_pythons(spark):
 def test_coverage(spark):
     df = spark.createDataFrame([("a",)] * 96 + [("b",)] * 3 + [(None,)], "c string")
     assert {r.category: r.is_gap for r in gates.coverage_gaps(df, "c").collect()} == {"a": False, "b": True, "unknown": True}
+
+
+@pytest.mark.parametrize(("known", "words", "score"), [(7, 40, 0.18), (9, 40, 0.22), (3, 200, 0.02), (57, 200, 0.28), (1, 3, 0.33)])
+def test_grounding_rounds_halves_to_even(known, words, score):
+    answer = " ".join(f"w{k}" for k in range(words))
+    context = " ".join(f"w{k}" for k in range(known)) + " and so on, " * 10
+    reason, found, _ = judges.GroundingJudge(FakeLLM(), 0.9)(context, answer)
+    assert (reason, found) == (f"hallucination_contract_failed:{score:.2f}", score)
