@@ -65,6 +65,31 @@ def test_minhash_against_python(spark, sf):
     assert sorted(r._seq for r in kept.collect()) == [ids[k] for k in scan(len(ids), similar)]
 
 
+@pytest.mark.parametrize(("first", "block"), [(16, 8), (50, 1 << 20), (1 << 20, 5)])
+def test_minhash_in_shares_and_blocks(spark, monkeypatch, first, block):
+    """Crowded buckets of signatures, some of which are similar, against a scan in order; copies never make all their pairs."""
+    monkeypatch.setattr(minhash, "FIRST", first)
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    met = []
+    monkeypatch.setattr(minhash, "fallen", lambda edges: (met.append(edges.distinct().count()), greedy.fallen(edges))[1])
+    rng = np.random.default_rng(5)
+    sigs = np.repeat(rng.integers(0, 1 << 32, (6, 32), np.uint64).astype("<u4"), 50, 0)
+    loose = rng.random(sigs.shape) < np.where(rng.random((len(sigs), 1)) < 0.5, 0.02, 0.3)
+    loose[:, :4] = False  # a band that all of a crowd share
+    sigs = np.where(loose, rng.integers(0, 1 << 32, sigs.shape, np.uint64), sigs).astype("<u4")
+    sigs = np.unique(sigs, axis=0)[rng.permutation(len(np.unique(sigs, axis=0)))]
+    cut = sigs.reshape(len(sigs), 8, 4)
+    firsts = spark.createDataFrame([(3 * k, bytes(x.tobytes())) for k, x in enumerate(sigs)], "_seq long, signature binary").repartition(5)
+
+    def similar(i, j):
+        return (cut[i] == cut[j]).all(1).any() and (sigs[i] == sigs[j]).sum() >= 24
+
+    gone = {r.j for part in minhash.scan_in_order(minhash.crowded(firsts, 8, 4).cache(), 24) for r in part.collect()}
+    assert {3 * k for k in range(len(sigs))} - gone == {3 * k for k in scan(len(sigs), similar)}
+    pairs = sum(similar(i, j) for j in range(len(sigs)) for i in range(j))
+    assert sum(met) <= (pairs if first > len(sigs) else pairs / 3)
+
+
 def test_minhash_signature_of_each_document(spark, sf):
     import hashlib
 
