@@ -4,21 +4,24 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.parquet as pq
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from loomsift.functions.files import below, files_under, opened
 from loomsift.functions.samples import split_gate, with_provenance
-from loomsift.functions.store import checkpointed
+from loomsift.functions.store import checkpointed, own_folder
 from loomsift.functions.text import embedding_text
 from loomsift.operators.greedy import fallen
 
-#: Vectors of a side that meet those of the other side in one task.
-BLOCK = 4096
+#: Vectors of one side that meet so many of the other at a time, and products that are looked at at a time.
+BLOCK, OTHERS, CELLS = 4096, 2048, 1 << 16
 Embedder = Callable[[list[str]], np.ndarray]
 
 
@@ -38,76 +41,148 @@ def embed(samples: DataFrame, embedder: Embedder = hashing_embedder, batch_size:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            vectors = [v for i in range(0, len(texts), batch_size) for v in embedder(texts[i : i + batch_size])]
-            yield pa.record_batch([batch.column(0), pa.array([v.astype(np.float32) for v in vectors], pa.list_(pa.float32()))], ["_seq", "vec"])
+            for at in range(0, batch.num_rows, batch_size):
+                part = batch.slice(at, batch_size)
+                vectors = embedder([t or "" for t in part.column(1).to_pylist()])
+                yield pa.record_batch([part.column(0), pa.array([v.astype(np.float32) for v in vectors], pa.list_(pa.float32()))], ["_seq", "vec"])
 
     return rows.mapInArrow(run, "_seq long, vec array<float>")
 
 
-def _unit(vectors: pa.ChunkedArray) -> np.ndarray:
-    lists = vectors.combine_chunks()
-    m = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
+def _unit(vectors: pa.Array) -> np.ndarray:
+    m = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
     norm = np.linalg.norm(m, axis=1, keepdims=True)
     return m / np.where(norm == 0, 1, norm)
 
 
-def _meet(left: DataFrame, right: DataFrame, found: Callable[[pa.Table, pa.Table], pa.Table], schema: str, triangle: bool = False) -> DataFrame:
-    """Every block of left with every block of right, each pair in one task; of one table, each unordered pair once."""
-    sizes = [max(1, -(-d.count() // BLOCK)) for d in (left, right)]
-    place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    right = right.select(F.col("id").alias("id"), F.col("vec").alias("vec"))  # columns of its own, should both be one table
-    a = left.select("id", "vec").withColumn("x", place(sizes[0])).withColumn("y", F.explode(F.sequence(F.col("x") if triangle else F.lit(0), F.lit(sizes[1] - 1))))
-    b = right.withColumn("y", place(sizes[1])).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("y") if triangle else F.lit(sizes[0] - 1))))
-    return a.groupBy("x", "y").cogroup(b.groupBy("x", "y")).applyInArrow(found, schema)
+@dataclass
+class Block:
+    """Some rows: their ids, and their vectors of length 1."""
+
+    id: np.ndarray
+    unit: np.ndarray
+
+    def __post_init__(self) -> None:
+        self.short = self.unit.astype(np.float32)
+        #: Over what a product of short numbers can differ from the exact one, and half of a sixth decimal.
+        self.error = np.float32((self.unit.shape[1] + 8) * 2.0**-22 + 1e-6)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[Block]:
+    """Rows of ``id, vec``, so many at a time."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        while batch.num_rows:
+            take = rows - sum(b.num_rows for b in held)
+            held.append(batch.slice(0, take))
+            batch = batch.slice(take)
+            if sum(b.num_rows for b in held) == rows:
+                yield _block(held)
+                held = []
+    if held:
+        yield _block(held)
+
+
+def _block(batches: list[pa.RecordBatch]) -> Block:
+    t = pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+    return Block(t.column("id").to_numpy(), _unit(t.column("vec")))
+
+
+def _beside(left: DataFrame, right: DataFrame, found: Callable[[Block, Iterator[Block]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``found`` of every block of left and all blocks of right, in order of id.
+
+    Right is written once; a task reads it for each of its blocks, so that a vector is never sent more than twice and what
+    has been found of a row is in one place.
+    """
+    spark = left.sparkSession
+    folder = own_folder(spark, "vectors")
+    right.select("id", "vec").repartitionByRange("id").sortWithinPartitions("id").write.parquet(folder)
+    names = [n for n in files_under(folder) if n.endswith(".parquet")]
+
+    def read() -> Iterator[pa.RecordBatch]:
+        for name in names:
+            system, at = opened(below(folder, name))
+            with system.open_input_file(at) as f:
+                yield from pq.ParquetFile(f).iter_batches(OTHERS, columns=["id", "vec"], use_threads=False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches, BLOCK):
+            yield from found(block, _blocks(read(), OTHERS))
+
+    n = max(2 * spark.sparkContext.defaultParallelism, -(-left.count() // (BLOCK // 2)))
+    return left.select("id", "vec").repartitionByRange(n, "id").mapInArrow(run, schema)
+
+
+def _exact(a: Block, b: Block, likely: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows, columns and exact cosines of the cells that are likely, some at a time."""
+    r, c = np.nonzero(likely)
+    for at in range(0, len(r), CELLS):
+        i, j = r[at : at + CELLS], c[at : at + CELLS]
+        yield i, j, np.einsum("ij,ij->i", a.unit[i], b.unit[j])
 
 
 def similar_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
     """``i, j, similarity`` of all pairs of rows of ``id, vec`` with cosine ``threshold`` or over, i before j: exact."""
 
-    def found(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not a.num_rows or not b.num_rows:
-            return pa.table({"i": pa.array([], pa.int64()), "j": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
-        s = _unit(a["vec"]) @ _unit(b["vec"]).T
-        r, c = np.nonzero(s >= threshold)
-        i, j, s = a["id"].to_numpy()[r], b["id"].to_numpy()[c], s[r, c]
-        if a["x"][0].as_py() == a["y"][0].as_py():
-            own = i < j
-            i, j, s = i[own], j[own], s[own]
-        return pa.table({"i": np.minimum(i, j), "j": np.maximum(i, j), "similarity": s})
+    def found(a: Block, others: Iterator[Block]) -> Iterator[pa.RecordBatch]:
+        for b in others:
+            if b.id[-1] <= a.id.min():
+                continue
+            for i, j, s in _exact(a, b, a.short @ b.short.T >= np.float32(threshold) - a.error):
+                own = (s >= threshold) & (a.id[i] < b.id[j])
+                yield pa.record_batch([pa.array(a.id[i[own]]), pa.array(b.id[j[own]]), pa.array(s[own])], ["i", "j", "similarity"])
 
-    return _meet(vectors, vectors, found, "i long, j long, similarity double", triangle=True)
+    return _beside(vectors, vectors, found, "i long, j long, similarity double")
 
 
 def nearest(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """``query_id, id, similarity, rank``: the k most similar rows of the corpus for each query; ties by id."""
 
-    def found(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not a.num_rows or not b.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
-        s = np.round(_unit(a["vec"]) @ _unit(b["vec"]).T, 6)
-        ids = b["id"].to_numpy()
-        order = np.stack([np.lexsort((ids, -row))[:k] for row in s])
-        return pa.table({"query_id": np.repeat(a["id"].to_numpy(), order.shape[1]), "id": ids[order].ravel(), "similarity": np.take_along_axis(s, order, 1).ravel()})
-
-    best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return _meet(queries, corpus, found, "query_id long, id long, similarity double").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    def found(a: Block, others: Iterator[Block]) -> Iterator[pa.RecordBatch]:
+        n = len(a.id)
+        best, ids = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
+        for b in others:
+            s = a.short @ b.short.T
+            least = best[:, -1].astype(np.float32)
+            if s.shape[1] >= k and np.isinf(least).any():
+                least = np.maximum(least, np.partition(s, -k, axis=1)[:, -k] - a.error)
+            for i, j, x in _exact(a, b, s >= (least - a.error)[:, None]):
+                x = np.round(x, 6)
+                own = (x > best[i, -1]) | ((x == best[i, -1]) & (b.id[j] < ids[i, -1]))
+                i, j, x = i[own], j[own], x[own]
+                rows = np.unique(i)
+                row = np.concatenate([np.repeat(rows, k), i])
+                key, value = np.concatenate([ids[rows].ravel(), b.id[j]]), np.concatenate([best[rows].ravel(), x])
+                order = np.lexsort((key, -value, row))
+                row = row[order]
+                first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
+                top = order[first[:, None] + np.arange(k)]
+                ids[rows], best[rows] = key[top], value[top]
+        there = np.isfinite(best)
+        rank = np.broadcast_to(np.arange(1, k + 1, dtype=np.int32), best.shape)
+        yield pa.record_batch([pa.array(np.repeat(a.id, there.sum(1))), pa.array(ids[there]), pa.array(best[there]), pa.array(rank[there])], ["query_id", "id", "similarity", "rank"])
+
+    return _beside(queries, corpus, found, "query_id long, id long, similarity double, rank int")
 
 
 def greatest_similarity(queries: DataFrame, corpus: DataFrame, earlier: bool = False) -> DataFrame:
     """``id, similarity``: each query's greatest cosine with a row of the corpus, if earlier with one of a lesser id."""
 
-    def found(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not a.num_rows or not b.num_rows:
-            return pa.table({"id": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
-        s = _unit(a["vec"]) @ _unit(b["vec"]).T
-        if earlier:
-            s = np.where(b["id"].to_numpy()[None, :] < a["id"].to_numpy()[:, None], s, -np.inf)
-        best = s.max(1)
+    def found(a: Block, others: Iterator[Block]) -> Iterator[pa.RecordBatch]:
+        best = np.full(len(a.id), -np.inf)
+        for b in others:
+            if earlier and b.id[0] >= a.id.max():
+                break
+            s = a.short @ b.short.T
+            if earlier:
+                s[b.id[None, :] >= a.id[:, None]] = -np.inf
+            least = np.maximum(best.astype(np.float32), s.max(1)) - 2 * a.error
+            for i, _, x in _exact(a, b, (s >= least[:, None]) & (s > -np.inf)):
+                np.maximum.at(best, i, x)
         own = best > -np.inf
-        return pa.table({"id": a["id"].to_numpy()[own], "similarity": best[own]})
+        yield pa.record_batch([pa.array(a.id[own]), pa.array(best[own])], ["id", "similarity"])
 
-    return _meet(queries, corpus, found, "id long, similarity double").groupBy("id").agg(F.max("similarity").alias("similarity"))
+    return _beside(queries, corpus, found, "id long, similarity double")
 
 
 def greedy_diverse(vectors: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:

@@ -43,3 +43,28 @@ def test_map_rows_holds_few_rows(spark):
 def test_sections_of_a_prompt():
     prompt = "[task]\nqa\n[context]\n a [count]\nb\n[x1]\nc\n[count]\n\n[kind]\n"
     assert [section(prompt, n) for n in ("task", "context", "count", "kind", "none")] == ["qa", "a [count]\nb\n[x1]\nc", "b\n[x1]\nc", "", ""]
+
+
+@pytest.mark.parametrize(("block", "others", "cells"), [(4096, 2048, 1 << 16), (16, 8, 5)])
+def test_similarity_is_exact_in_any_blocks(spark, monkeypatch, block, others, cells):
+    """Ties, repeated and zero vectors, and fewer rows than asked for, by brute force; no vector is sent to each block."""
+    for name, n in (("BLOCK", block), ("OTHERS", others), ("CELLS", cells)):
+        monkeypatch.setattr(embedding, name, n)
+    rng = np.random.default_rng(3)
+    m = np.round(rng.normal(size=(60, 3)), 1).astype(np.float32)
+    m[[7, 41]], m[20:26] = 0, m[5]
+    ids = rng.permutation(60).astype(np.int64) * 10 - 100
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, m, strict=True)], "id long, vec array<float>")
+    unit = m.astype(float) / np.where((norm := np.linalg.norm(m.astype(float), axis=1)) == 0, 1, norm)[:, None]
+    s = np.round(unit @ unit.T, 6)
+    near = embedding.nearest(df, df, 4)
+    got = {(r.query_id, r.rank): (r.id, r.similarity) for r in near.collect()}
+    want = {(int(ids[a]), k): (int(ids[b]), s[a, b]) for a in range(60) for k, b in enumerate(np.lexsort((ids, -s[a]))[:4], 1)}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and all(abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+    assert embedding.nearest(df, df.limit(2), 4).count() == 120
+    pairs = {(r.i, r.j) for r in embedding.similar_pairs(df, 0.9).collect()}
+    assert pairs == {(int(ids[a]), int(ids[b])) for a in range(60) for b in range(60) if ids[a] < ids[b] and unit[a] @ unit[b] >= 0.9}
+    best = {r.id: r.similarity for r in embedding.greatest_similarity(df, df, earlier=True).collect()}
+    assert best.keys() == {*ids.tolist()} - {int(ids.min())}
+    assert all(abs(best[int(ids[a])] - max(unit[a] @ unit[b] for b in range(60) if ids[b] < ids[a])) < 1e-9 for a in range(60) if ids[a] != ids.min())
+    assert "CoGroup" not in plan(near) and "Explode" not in plan(near) and "Window" not in plan(near)
