@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+from loomsift.functions.batches import slices
 from loomsift.functions.samples import DIAGNOSIS, as_samples, numbered, with_provenance
 from loomsift.functions.text import tokens
 
@@ -132,16 +136,28 @@ def chunk_blocks(blocks: DataFrame, strategy: str = "heading", max_tokens: int =
     if strategy not in ("heading", "sentence"):
         raise ValueError(f"unknown chunk strategy: {strategy}")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("ord").astype(object).where(pdf.notna(), None).to_dict("records")
-        made = by_heading(rows, max_tokens, overlap, extract_tables, min_section_tokens) if strategy == "heading" else by_sentence(rows, max_tokens, overlap, extract_tables)
-        doc = pdf["doc"].iloc[0]
-        return pd.DataFrame(
-            [(doc, i, c["text"], c.get("heading"), c.get("page"), bool(c.get("is_table")), bool(c.get("is_skipped")), c.get("html", ""), c.get("bbox")) for i, c in enumerate(made)],
-            columns=["doc", "chunk_index", "text", "heading", "page", "is_table", "is_skipped", "html", "bbox"],
-        )
+    arrow = to_arrow_schema(StructType.fromDDL(CHUNKS_DDL))
 
-    return blocks.groupBy("doc").applyInPandas(run, CHUNKS_DDL)
+    def chunks_of(rows: list[dict[str, Any]]) -> list[dict[str, Any]]:
+        made = by_heading(rows, max_tokens, overlap, extract_tables, min_section_tokens) if strategy == "heading" else by_sentence(rows, max_tokens, overlap, extract_tables)
+        return [{"doc": rows[0]["doc"], "chunk_index": i, "text": c["text"], "heading": c.get("heading"), "page": c.get("page"), "is_table": bool(c.get("is_table")), "is_skipped": bool(c.get("is_skipped")), "html": c.get("html", ""), "bbox": c.get("bbox")} for i, c in enumerate(made)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict[str, Any]] = []  # the blocks of the document that isn't over
+        for batch in batches:
+            for part in slices(batch):
+                made = []
+                for row in part.to_pylist():
+                    if held and row["doc"] != held[0]["doc"]:
+                        made += chunks_of(held)
+                        held = []
+                    held.append(row)
+                if made:
+                    yield pa.RecordBatch.from_pylist(made, arrow)
+        if held:
+            yield pa.RecordBatch.from_pylist(chunks_of(held), arrow)
+
+    return blocks.repartition("doc").sortWithinPartitions("doc", F.asc_nulls_last("ord")).mapInArrow(run, CHUNKS_DDL)
 
 
 def chunk_samples(chunks: DataFrame, chunk_strategy: str = "heading") -> tuple[DataFrame, DataFrame]:
@@ -168,14 +184,16 @@ _MARK = re.compile(r"<[^>]+>")
 def blocks_of_pages(pages: DataFrame) -> DataFrame:
     """Headings, paragraphs and tables of web pages as blocks."""
 
-    def run(batches):  # noqa: ANN001, ANN202
-        for pdf in batches:
-            rows = []
-            for key, page in zip(pdf["page_id"], pdf["html"], strict=True):
-                for i, m in enumerate(_TAG.finditer(page or "")):
-                    tag = m.group(1).lower()
-                    kind = "heading" if tag[0] == "h" else "table" if tag == "table" else "paragraph"
-                    rows.append((str(key), i, kind, _MARK.sub(" ", m.group(2)).strip(), 1, m.group(0) if kind == "table" else "", None))
-            yield pd.DataFrame(rows, columns=["doc", "ord", "type", "text", "page", "html", "bbox"])
-
-    return pages.select("page_id", "html").mapInPandas(run, BLOCKS_DDL)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                rows = []
+                for key, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    for i, m in enumerate(_TAG.finditer(page or "")):
+                        tag = m.group(1).lower()
+                        kind = "heading" if tag[0] == "h" else "table" if tag == "table" else "paragraph"
+                        rows.append((str(key), i, kind, _MARK.sub(" ", m.group(2)).strip(), 1, m.group(0) if kind == "table" else "", None))
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(arrow), arrow)], schema=arrow)
+
+    arrow = to_arrow_schema(StructType.fromDDL(BLOCKS_DDL))
+    return pages.select("page_id", "html").mapInArrow(run, BLOCKS_DDL)

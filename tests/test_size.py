@@ -68,3 +68,20 @@ def test_similarity_is_exact_in_any_blocks(spark, monkeypatch, block, others, ce
     assert best.keys() == {*ids.tolist()} - {int(ids.min())}
     assert all(abs(best[int(ids[a])] - max(unit[a] @ unit[b] for b in range(60) if ids[b] < ids[a])) < 1e-9 for a in range(60) if ids[a] != ids.min())
     assert "CoGroup" not in plan(near) and "Explode" not in plan(near) and "Window" not in plan(near)
+
+
+@pytest.mark.parametrize("strategy", ["heading", "sentence"])
+def test_documents_over_batches(spark, monkeypatch, strategy):
+    """Documents that begin in one part of a batch and end in another, and one without a name."""
+    rows = [(None if d == 3 else f"d{d:03d}", k, "heading" if k % 9 == 0 else "table" if k % 11 == 0 else "paragraph", f"Text {d} of {k}. It goes on. " * (k % 4 + 1), None if k % 5 else k, "", None) for d in range(60) for k in range(d)]
+    order = np.random.default_rng(1).permutation(len(rows))
+    df = spark.createDataFrame([rows[k] for k in order], chunking.BLOCKS_DDL)
+    chunks = chunking.chunk_blocks(df, strategy, 40, 5, True, 10)
+    names = chunking.BLOCKS_DDL.replace(",", "").split()[::2]
+    want = []
+    for d in range(1, 60):
+        blocks = [dict(zip(names, r, strict=True)) for r in rows if r[0] == (None if d == 3 else f"d{d:03d}")]
+        made = chunking.by_heading(blocks, 40, 5, True, 10) if strategy == "heading" else chunking.by_sentence(blocks, 40, 5, True)
+        want += [(blocks[0]["doc"], i, c["text"], c.get("heading"), c.get("page")) for i, c in enumerate(made)]
+    assert sorted(map(repr, want)) == sorted(repr((r.doc, r.chunk_index, r.text, r.heading, r.page)) for r in chunks.collect())
+    assert "InPandas" not in plan(chunks)
