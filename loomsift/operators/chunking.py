@@ -6,15 +6,15 @@ import re
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from loomsift.functions.batches import slices
 from loomsift.functions.samples import DIAGNOSIS, as_samples, numbered, with_provenance
-from loomsift.functions.text import tokens
 
 BLOCKS_DDL = "doc string, ord bigint, type string, text string, page int, html string, bbox string"
 CHUNKS_DDL = "doc string, chunk_index int, text string, heading string, page int, is_table boolean, is_skipped boolean, html string, bbox string"
@@ -24,9 +24,33 @@ SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[A-Z])")
 def fixed_chunks(texts: DataFrame, max_tokens: int = 512, overlap: int = 50) -> DataFrame:
     """``doc, chunk_index, text`` of windows of tokens of ``doc, text``; the last ones can be overlap only."""
     stride = max(1, max_tokens - overlap)
-    words = texts.select("doc", tokens("text").alias("words")).where(F.size("words") > 0)
-    starts = F.sequence(F.lit(0), F.size("words") - 1, F.lit(stride))
-    return words.select("doc", F.posexplode(F.transform(starts, lambda i: F.array_join(F.slice("words", i + 1, F.lit(max_tokens)), " "))).alias("chunk_index", "text"))
+    schema = StructType([StructField("doc", texts.schema["doc"].dataType), StructField("chunk_index", IntegerType()), StructField("text", StringType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                index, made, sizes = [], [], []
+                for text in part.column(1).to_pylist():
+                    words = (text or "").split()  # at the same white space as tokens()
+                    starts = range(0, len(words), stride)
+                    index += range(len(starts))
+                    made += [" ".join(words[i : i + max_tokens]) for i in starts]
+                    sizes.append(len(starts))
+                docs = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), sizes)))
+                yield pa.record_batch([docs, pa.array(index, pa.int32()), pa.array(made, pa.string())], schema=arrow)
+
+    return texts.select("doc", "text").mapInArrow(run, schema)
+
+
+def last_tokens(text: Column | str, n: int) -> Column:
+    """The last n tokens, joined by single spaces; only the end of a text is looked at."""
+
+    @F.arrow_udf("string")
+    def tail(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else " ".join(t.rsplit(None, n)[-n:]) for part in slices(texts) for t in part.to_pylist()], pa.string())
+
+    return tail(text)
 
 
 def with_overlap(chunks: DataFrame, overlap: int = 50) -> DataFrame:
@@ -35,10 +59,9 @@ def with_overlap(chunks: DataFrame, overlap: int = 50) -> DataFrame:
         return chunks
     order = Window.partitionBy("doc").orderBy("chunk_index")
     table = F.coalesce(F.col("is_table"), F.lit(False)) if "is_table" in chunks.columns else F.lit(False)
-    before, after_table = F.lag("text").over(order), F.lag(table).over(order)
-    words = tokens(before)
-    tail = F.array_join(F.slice(words, F.greatest(F.size(words) - overlap + 1, F.lit(1)), F.lit(overlap)), " ")
-    return chunks.withColumn("text", F.when(before.isNull() | after_table | table, F.col("text")).otherwise(F.trim(F.concat(tail, F.lit(" "), "text"))))
+    tail, after_table = F.lag("_tail").over(order), F.lag(table).over(order)
+    joined = F.when(tail.isNull() | after_table | table, F.col("text")).otherwise(F.trim(F.concat(tail, F.lit(" "), "text")))
+    return chunks.withColumn("_tail", last_tokens("text", overlap)).withColumn("text", joined).drop("_tail")
 
 
 def _packed(text: str, limit: int, oversize_first: bool) -> list[str]:

@@ -85,3 +85,15 @@ def test_documents_over_batches(spark, monkeypatch, strategy):
         want += [(blocks[0]["doc"], i, c["text"], c.get("heading"), c.get("page")) for i, c in enumerate(made)]
     assert sorted(map(repr, want)) == sorted(repr((r.doc, r.chunk_index, r.text, r.heading, r.page)) for r in chunks.collect())
     assert "InPandas" not in plan(chunks)
+
+
+def test_windows_of_tokens(spark):
+    """At all white space that ``tokens`` parts at, without its array of all tokens."""
+    text = "a" + "".join(f"{c}w{k}" for k, c in enumerate(T.BLANKS)) + " \n"
+    df = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, " 　")], "doc long, text string")
+    words = df.select(T.tokens("text").alias("w")).first().w
+    chunks = chunking.fixed_chunks(df, 10, 3)
+    assert [r.text for r in chunks.orderBy("chunk_index").collect()] == [" ".join(words[k : k + 10]) for k in range(0, len(words), 7)]
+    over = chunking.with_overlap(chunking.fixed_chunks(df, 10, 0), 4).orderBy("chunk_index")
+    assert [r.text for r in over.collect()] == [" ".join(words[max(0, k - 4) if k else 0 : k + 10]) for k in range(0, len(words), 10)]
+    assert "regexp" not in plan(over).lower()
