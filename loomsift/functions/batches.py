@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import TypeVar
 
 import pyarrow as pa
@@ -16,3 +16,9 @@ def slices(batch: Batch, most: int = 1 << 22, rows: int = 1024) -> Iterator[Batc
     step = max(1, min(rows, n * most // max(1, batch.nbytes)))
     for at in range(0, n, step):
         yield batch.slice(at, step)
+
+
+def of_each(texts: pa.Array, fn: Callable[[str], str]) -> pa.Array:
+    """A function's text for each text that isn't null, the texts of a part in Python at a time."""
+    parts = [pa.array([None if t is None else fn(t) for t in part.to_pylist()], pa.string()) for part in slices(texts)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())

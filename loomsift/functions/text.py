@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomsift.functions.batches import of_each, slices
+
 #: What separates tokens; Java's \s alone lacks most of Unicode's white space.
 WHITE = r"\s\x0b\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The same characters one by one.
@@ -28,7 +30,12 @@ for _c in BLANKS:
 
 
 def counted_tokens(texts: pa.Array) -> pa.Array:
-    """Runs without white space of each text, over the bytes of all of them."""
+    """Runs without white space of each text, over the bytes of some of them at a time."""
+    found = [_counted(part) for part in slices(texts, rows=1 << 16)]
+    return pa.concat_arrays(found) if found else pa.array([], pa.int32())
+
+
+def _counted(texts: pa.Array) -> pa.Array:
     texts = texts.cast(pa.large_string())
     n = len(texts)
     _, offsets, data = texts.buffers()
@@ -44,11 +51,11 @@ def counted_tokens(texts: pa.Array) -> pa.Array:
                 own = own[b[own + k] == x]
             for k in range(len(sign)):
                 dark[own + k] = False
-    before = np.zeros(len(b), bool)
-    before[1:] = dark[:-1]
-    before[at[:-1][at[:-1] < len(b)]] = False
-    total = np.concatenate([[0], np.cumsum(dark & ~before)])
-    return pa.array(np.diff(total[at]).astype(np.int32), mask=texts.is_null().to_numpy(zero_copy_only=False))
+    begins = dark.copy()
+    begins[1:] &= ~dark[:-1]
+    own = at[:-1][at[:-1] < len(b)]
+    begins[own] = dark[own]
+    return pa.array(np.diff(np.searchsorted(np.flatnonzero(begins), at)).astype(np.int32), mask=texts.is_null().to_numpy(zero_copy_only=False))
 
 
 def n_tokens(text: Column | str) -> Column:
@@ -67,9 +74,19 @@ def tokens(text: Column | str) -> Column:
     return F.regexp_extract_all(col(text), F.lit(f"[^{WHITE}]+"), F.lit(0))
 
 
+def squeezed_texts(texts: pa.Array) -> pa.Array:
+    """Tokens of each text joined by single spaces."""
+    return of_each(texts, lambda t: " ".join(t.split()))
+
+
 def squeezed(text: Column | str) -> Column:
-    """Tokens joined by single spaces."""
-    return F.array_join(tokens(text), " ")
+    """Tokens joined by single spaces, by Python's split, which parts at the same white space as ``WHITE`` has."""
+    if not _squeezer:
+        _squeezer.append(F.arrow_udf(squeezed_texts, "string"))
+    return _squeezer[0](col(text))
+
+
+_squeezer: list = []
 
 
 def strip(text: Column | str) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from loomsift.functions.batches import slices
+from loomsift.functions.batches import of_each, slices
 from loomsift.functions.samples import DIAGNOSIS, as_samples, numbered, with_provenance
 
 BLOCKS_DDL = "doc string, ord bigint, type string, text string, page int, html string, bbox string"
@@ -48,7 +48,7 @@ def last_tokens(text: Column | str, n: int) -> Column:
 
     @F.arrow_udf("string")
     def tail(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else " ".join(t.rsplit(None, n)[-n:]) for part in slices(texts) for t in part.to_pylist()], pa.string())
+        return of_each(texts, lambda t: " ".join(t.rsplit(None, n)[-n:]))
 
     return tail(text)
 

@@ -40,6 +40,15 @@ def test_map_rows_holds_few_rows(spark):
     assert (r.n, r.chars) == (2000, 2000 * 120_000) and r.kb < 234_000  # all texts at once are as much
 
 
+def test_counting_tokens_takes_few_bytes():
+    texts = pa.array(["one two  three " * 1000, None, "", "　x y "] * 500)
+    tracemalloc.start()
+    counts = T.counted_tokens(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert counts.to_pylist() == [3000, None, 0, 2] * 500 and peak < 3 * texts.nbytes
+
+
 def test_sections_of_a_prompt():
     prompt = "[task]\nqa\n[context]\n a [count]\nb\n[x1]\nc\n[count]\n\n[kind]\n"
     assert [section(prompt, n) for n in ("task", "context", "count", "kind", "none")] == ["qa", "a [count]\nb\n[x1]\nc", "b\n[x1]\nc", "", ""]
