@@ -8,11 +8,12 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from loomsift.functions.batches import slices
 from loomsift.functions.samples import split_gate, with_provenance
 from loomsift.functions.text import PREFERENCE, answer_to_judge, is_task, judge_context, strip
 from loomsift.operators.models import LLM, json_of, map_rows
@@ -68,12 +69,15 @@ def toxicity_scores(samples: DataFrame, scorer: Scorer = lexicon_scorer, text_fi
     Whole texts are scored; for a scorer with a limit of length, ``window`` is its characters, and a text's score is that of its worst window.
     """
 
-    @F.pandas_udf("array<double>")
-    def score(texts: pd.Series) -> pd.Series:
-        parts = [[windows(x, window) for x in row] for row in texts]
-        flat = [p for row in parts for text in row for p in text]
-        found = iter(scorer(flat) if flat else [])
-        return pd.Series([[max(float(next(found)) for _ in text) for text in row] for row in parts])
+    @F.arrow_udf("array<double>")
+    def score(texts: pa.Array) -> pa.Array:
+        out: list[list[float] | None] = []
+        for some in slices(texts):
+            parts = [[windows(x, window) for x in row] for row in some.to_pylist()]
+            flat = [p for row in parts for text in row for p in text]
+            found = iter(scorer(flat) if flat else [])
+            out += [[max(float(next(found)) for _ in text) for text in row] for row in parts]
+        return pa.array(out, pa.list_(pa.float64()))
 
     one = lambda f: F.array(F.struct(F.lit(f).alias("field"), F.col(f).alias("text")))
     rollouts = F.transform("responses", lambda x, i: F.struct(F.concat(F.lit("response_"), i.cast("string")).alias("field"), x.alias("text")))
@@ -91,27 +95,28 @@ def toxicity_gate(samples: DataFrame, pass_threshold: float = 0.1, reject_thresh
     if not pass_threshold < reject_threshold:
         raise ValueError("pass_threshold must be under reject_threshold")
 
-    @F.pandas_udf("struct<reason:string,notes:string>")
-    def decide(worst: pd.Series, field: pd.Series, text: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("struct<reason:string,notes:string>")
+    def decide(worst: pa.Array, field: pa.Array, text: pa.Array) -> pa.Array:
         out = []
         for s, f, t in zip(worst, field, text, strict=True):
-            notes: dict[str, Any] = {"passed": True, "phase": "classifier", "max_toxicity_score": None if pd.isna(s) else round(s, 4), "worst_field": f}
+            s, f = s.as_py(), f.as_py()
+            notes: dict[str, Any] = {"passed": True, "phase": "classifier", "max_toxicity_score": None if s is None else round(s, 4), "worst_field": f}
             reason = None
-            if pd.isna(s):
+            if s is None or s != s:
                 notes = {"passed": True, "phase": "skipped_no_text"}
             elif s >= reject_threshold or (s >= pass_threshold and llm is None):
                 reason = f"toxic_content:classifier:{s:.3f}"
             elif s >= pass_threshold:
                 try:
-                    judged, reply = max((score_in(llm.generate(prompt(task="toxicity", answer=p), temperature=0.0).text, "toxicity_score") for p in windows(t, JUDGE_WINDOW)), key=lambda x: x[0])
+                    judged, reply = max((score_in(llm.generate(prompt(task="toxicity", answer=p), temperature=0.0).text, "toxicity_score") for p in windows(t.as_py(), JUDGE_WINDOW)), key=lambda x: x[0])
                 except Exception:  # noqa: BLE001
                     judged, reply = 1.0, {}
                 notes |= {"phase": "llm_judge", "llm_score": judged, "categories": reply.get("categories", []), "reasoning": reply.get("reasoning", "")}
                 if judged >= llm_reject_threshold:
                     reason = f"toxic_content:llm_judge:{judged:.3f}"
             notes["passed"] = reason is None
-            out.append((reason, json.dumps(notes)))
-        return pd.DataFrame(out, columns=["reason", "notes"])
+            out.append({"reason": reason, "notes": json.dumps(notes)})
+        return pa.array(out, pa.struct([("reason", pa.string()), ("notes", pa.string())]))
 
     scored = toxicity_scores(samples, scorer, text_field, window).withColumn("_worst", F.array_max("_scores")).withColumn("_d", decide("_worst.score", "_worst.field", "_worst.text"))
     config = {"pass": pass_threshold, "reject": reject_threshold, "llm": llm.config_hash() if llm else None}

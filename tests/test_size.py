@@ -49,6 +49,16 @@ def test_counting_tokens_takes_few_bytes():
     assert counts.to_pylist() == [3000, None, 0, 2] * 500 and peak < 3 * texts.nbytes
 
 
+def test_scorer_gets_few_texts(spark):
+    def scorer(texts):
+        assert sum(map(len, texts)) < 1 << 23
+        return [float(len(t) % 7) / 7 for t in texts]
+
+    rows = sample(spark, [{"output": f"{k} " * 3000, "task_type": "language_modeling"} for k in range(1500)]).coalesce(1)
+    passed, rejected = judges.toxicity_gate(rows, scorer=scorer)
+    assert passed.count() + rejected.count() == 1500
+
+
 def test_sections_of_a_prompt():
     prompt = "[task]\nqa\n[context]\n a [count]\nb\n[x1]\nc\n[count]\n\n[kind]\n"
     assert [section(prompt, n) for n in ("task", "context", "count", "kind", "none")] == ["qa", "a [count]\nb\n[x1]\nc", "b\n[x1]\nc", "", ""]
