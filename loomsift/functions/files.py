@@ -45,6 +45,27 @@ def files_under(folder: str | Path) -> list[str]:
     return sorted(n for n in names if not any(part.startswith(".") for part in n.split("/")))
 
 
+def joined(spark: SparkSession, folder: str, target: str, n: int) -> None:
+    """The visible files of a folder as ``n`` files of another, each streamed together by a task, a piece in memory at a time."""
+    names = [x for x in files_under(folder) if not x.rpartition("/")[2].startswith("_")]
+    system, at = opened(target)
+    system.create_dir(at, recursive=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                system, at = opened(below(target, f"part-{k:05d}"))
+                with system.open_output_stream(at) as out:
+                    for name in names[k::n]:
+                        _, source = opened(below(folder, name))
+                        with system.open_input_stream(source) as f:
+                            while data := f.read(1 << 20):
+                                out.write(data)
+                yield pa.record_batch([pa.array([k])], ["id"])
+
+    spark.range(0, n, 1, n).mapInArrow(run, "id long").collect()
+
+
 def checksums(spark: SparkSession, folder: str | Path, names: list[str]) -> dict[str, str]:
     """SHA-256 of files of a folder, each streamed by a task."""
     root = str(folder) if "://" in str(folder) else os.path.abspath(folder)

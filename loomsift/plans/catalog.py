@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomsift.functions import samples as S
+from loomsift.functions.files import joined
 from loomsift.functions.store import checkpointed, own_folder
 from loomsift.functions.text import n_tokens
 from loomsift.operators import chunking, embedding, gates, generate, judges, minhash, normalize, pii, recovery, sinks
@@ -353,10 +354,23 @@ def retrieval_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ingest projections
 
 
+#: Bytes of the tables that rows come from for each file that they are staged in.
+SHARE = 1 << 25
+
+
+def parts_of(rows: DataFrame) -> int:
+    """How many files rows are staged in, and tasks that write them: by the size of their tables, three at least."""
+    leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    return max(3, min(-(-size // SHARE), 10_000))
+
+
 def staged(spark: SparkSession, rows: DataFrame, kind: str, parts: int = 3) -> str:
-    """The rows as several files of a format in the shared folder, for the readers to find."""
+    """The rows as several files of a format in the shared folder, for the readers to find; ``parts`` of JSON, else as many as
+    the rows are large.
+    """
     path = own_folder(spark, "source") + f".{kind}"
-    spread = rows.repartition(parts)
+    spread = rows.repartition(parts_of(rows))
     if kind == "jsonl":
         spread.select(F.to_json(F.struct("*"))).write.text(path)
     elif kind == "csv":
@@ -388,7 +402,10 @@ def read_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT count(*) AS n, count(*) AS ids, count(*) AS places, count(*) AS line_numbers, 3::BIGINT AS files FROM documents")
 def read_jsonl_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Without ids in the rows: every row has an id and a place of its own, and lines are numbered from 1 in each file."""
-    rows = ingested(spark, table(spark, sf_dir, "documents").select(F.coalesce("text", F.lit("")).alias("text")))
+    texts = table(spark, sf_dir, "documents").select(F.coalesce("text", F.lit("")).alias("text"))
+    whole = own_folder(spark, "source") + ".jsonl"
+    joined(spark, staged(spark, texts, "jsonl"), whole, 3)
+    rows = ingest(spark, Source(whole))[0]
     line = F.get_json_object(F.element_at("provenance_chain", 1)["notes"], "$.line_number").cast("int")
     return rows.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.count_distinct("_seq").alias("places"), F.count(line).alias("line_numbers"), F.count_if(line == 1).alias("files"))
 
@@ -418,7 +435,7 @@ def read_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT coalesce(text, '') AS output, source, count(*) OVER () AS ids FROM documents")
 def read_parquet_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents without ids as four files of Parquet; ids and places are unique over all of them."""
+    """Documents without ids as several files of Parquet; ids and places are unique over all of them."""
     rows = ingested(spark, table(spark, sf_dir, "documents").select("text", "source"), "parquet")
     unique = rows.agg(F.least(F.count_distinct("id"), F.count_distinct("_seq")).alias("ids"))
     return rows.select("output", meta("source").alias("source")).crossJoin(F.broadcast(unique))
@@ -429,7 +446,8 @@ def ingest_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line is a sample or a reject with its reason: a tenth of them are cut off."""
     line = F.to_json(F.struct("text", "lang"))
     path = own_folder(spark, "source") + ".jsonl"
-    table(spark, sf_dir, "documents").repartition(3).select(F.when(F.col("doc_id") % 10 == 3, F.concat(F.lit("{"), line)).otherwise(line)).write.text(path)
+    rows = table(spark, sf_dir, "documents")
+    rows.repartition(parts_of(rows)).select(F.when(F.col("doc_id") % 10 == 3, F.concat(F.lit("{"), line)).otherwise(line)).write.text(path)
     good, bad, _ = ingest(spark, Source(path))
     kinds = good.select(F.lit("kept").alias("kind")).union(bad.select(F.substring_index("rejection_reason", ":", 1)))
     return kinds.groupBy("kind").agg(F.count("*").alias("n"))

@@ -116,3 +116,14 @@ def test_windows_of_tokens(spark):
     over = chunking.with_overlap(chunking.fixed_chunks(df, 10, 0), 4).orderBy("chunk_index")
     assert [r.text for r in over.collect()] == [" ".join(words[max(0, k - 4) if k else 0 : k + 10]) for k in range(0, len(words), 10)]
     assert "regexp" not in plan(over).lower()
+
+
+@pytest.mark.parametrize("name", ["read_jsonl", "ingest_rejects", "read_parquet_parts", "read_jsonl_places", "union_sources"])
+def test_staged_in_as_many_files_as_the_table_is_large(spark, sf, monkeypatch, name):
+    from oracle import difference
+
+    rows = spark.read.parquet(f"{sf}/documents.parquet")
+    assert catalog.parts_of(rows) == 3
+    monkeypatch.setattr(catalog, "SHARE", 1 << 14)
+    assert 8 < catalog.parts_of(rows) == catalog.parts_of(rows.select("text")) < 1000
+    assert difference(catalog.QUERIES[name](spark, sf), catalog.ORACLE_SQL[name], sf) == ""
