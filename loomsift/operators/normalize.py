@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import math
 import random
+import re
 import unicodedata
+from collections.abc import Callable
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from loomsift.functions.batches import of_each
 from loomsift.functions.samples import in_order, with_provenance
 from loomsift.functions.text import col, dedup_text, squeezed, strip
 from loomsift.operators.gates import category_of
@@ -20,40 +23,46 @@ MOJIBAKE = [(good.encode().decode("latin-1"), plain) for good, plain in (("\u201
 TRANSFORMS = ("strip_html", "normalise_unicode", "fix_encoding_artifacts", "remove_control_chars", "collapse_whitespace")
 
 
-@F.pandas_udf(StringType())
-def nfc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
+_MARKUP = re.compile("<[^>]+>")
+_CONTROL = re.compile(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]")
+#: Blanks that aren't a single space already.
+_RUNS = re.compile(r"[ \t\r\f\x0B]{2,}|[\t\r\f\x0B]")
 
 
-def strip_html(x: Column | str) -> Column:
-    return F.regexp_replace(col(x), "<[^>]+>", "")
+def _fixed(x: str) -> str:
+    if any(first in x for first in _FIRST):
+        for bad, good in MOJIBAKE:
+            x = x.replace(bad, good)
+    return x
 
 
-def fix_encoding(x: Column | str) -> Column:
-    out = col(x)
-    for bad, good in MOJIBAKE:
-        out = F.replace(out, F.lit(bad), F.lit(good))
-    return out
+_FIRST = sorted({bad[0] for bad, _ in MOJIBAKE})
 
 
-def remove_control(x: Column | str) -> Column:
-    return F.regexp_replace(col(x), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
+_EACH: dict[str, Callable[[str], str]] = {
+    "strip_html": lambda x: _MARKUP.sub("", x) if "<" in x else x,
+    "normalise_unicode": lambda x: x if x.isascii() else unicodedata.normalize("NFC", x),
+    "fix_encoding_artifacts": _fixed,
+    "remove_control_chars": lambda x: _CONTROL.sub("", x),
+    "collapse_whitespace": lambda x: _RUNS.sub(" ", x),
+}
 
 
-def collapse_whitespace(x: Column | str) -> Column:
-    return F.regexp_replace(col(x), r"[ \t\r\f\x0B]+", " ")
+def _steps(*names: str) -> Callable[[Column | str], Column]:
+    """Transforms of a column, one after the other in one pass over each text."""
+    fns = [_EACH[n] for n in names]
+    udf = F.arrow_udf(lambda texts: of_each(texts, lambda x: reduce(lambda y, fn: fn(y), fns, x)), StringType())
+    return lambda x: udf(col(x))
 
 
-_STEPS = {"strip_html": strip_html, "normalise_unicode": nfc, "fix_encoding_artifacts": fix_encoding, "remove_control_chars": remove_control, "collapse_whitespace": collapse_whitespace}
+_STEPS = {name: _steps(name) for name in TRANSFORMS}
+strip_html = _STEPS["strip_html"]
 
 
 def cleaned(x: Column | str, transforms: tuple[str, ...] = TRANSFORMS) -> Column:
     """The transforms in their fixed order, then white space off both ends."""
-    out = col(x)
-    for name in TRANSFORMS:
-        if name in transforms:
-            out = _STEPS[name](out)
-    return strip(out)
+    names = [n for n in TRANSFORMS if n in transforms]
+    return strip(_steps(*names)(x) if names else col(x))
 
 
 def clean_text(samples: DataFrame, transforms: tuple[str, ...] = TRANSFORMS, fields: tuple[str, ...] = ("instruction", "input", "output")) -> DataFrame:

@@ -118,6 +118,13 @@ def test_windows_of_tokens(spark):
     assert "regexp" not in plan(over).lower()
 
 
+def test_squeezing(spark):
+    text = "".join(f"{c}w{k}" for k, c in enumerate(T.BLANKS)) + "​᠎ x"
+    df = spark.createDataFrame([(text,), (None,), ("",)], "t string").select(T.squeezed("t").alias("a"), F.array_join(T.tokens("t"), " ").alias("b"))
+    assert all(r.a == r.b for r in df.collect())
+    assert "regexp" not in plan(spark.createDataFrame([("x",)], "t string").select(T.squeezed("t"))).lower()
+
+
 @pytest.mark.parametrize("name", ["read_jsonl", "ingest_rejects", "read_parquet_parts", "read_jsonl_places", "union_sources"])
 def test_staged_in_as_many_files_as_the_table_is_large(spark, sf, monkeypatch, name):
     from oracle import difference
